@@ -42,7 +42,11 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable:
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, folder: settled(fn(Tables(spark, folder)))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return settled(fn(Tables(spark, folder)))
+
+        run.family = fn.__module__.rsplit(".", 1)[-1]
+        QUERIES[name] = run
         COVERS[name] = covers
         if sql is not None:
             CHECK_SQL[name] = sql
