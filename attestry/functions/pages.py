@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,30 +87,6 @@ def adjacent_text(blocks: DataFrame, doc: str, kind: str) -> DataFrame:
 TABLE = r"(?is)(<table\b.*?</table>)"
 ROW = r"(?is)(<tr\b.*?</tr>)"
 CELL = r"(?is)(<t[dh]\b[^>]*>.*?</t[dh]>)"
-GRID = "array<struct<row:int,col:int,text:string>>"
-
-
-@F.pandas_udf(GRID)
-def _lay_out(rows: pd.Series) -> pd.Series:
-    """Place cells on the grid of one table; a spanning cell repeats on every place it covers."""
-
-    def place(table) -> list[dict]:
-        taken, out = set(), []
-        for r, cells in enumerate(table):
-            c = 0
-            for cell in cells:
-                while (r, c) in taken:
-                    c += 1
-                for dr in range(cell["down"]):
-                    for dc in range(cell["across"]):
-                        taken.add((r + dr, c + dc))
-                        out.append({"row": r + dr, "col": c + dc, "text": cell["text"]})
-                c += cell["across"]
-        return out
-
-    return rows.map(place)
-
-
 def page_tables(pages: DataFrame, doc: str, html: str) -> DataFrame:
     """``(doc, table, row, col, text)`` with row and column spans filled."""
 
@@ -126,5 +101,37 @@ def page_tables(pages: DataFrame, doc: str, html: str) -> DataFrame:
         )
 
     found = pages.select(doc, F.posexplode(F.regexp_extract_all(html, F.lit(TABLE), F.lit(1))).alias("table", "t"))
-    grid = found.select(doc, "table", _lay_out(F.transform(F.regexp_extract_all("t", F.lit(ROW), F.lit(1)), cells)).alias("g"))
-    return grid.select(doc, "table", F.explode("g").alias("c")).select(doc, "table", "c.row", "c.col", "c.text")
+    slots = lambda r: F.flatten(F.transform(cells(r), lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["down"].alias("down")), c["across"])))
+    rows = F.transform(F.regexp_extract_all("t", F.lit(ROW), F.lit(1)), slots)
+    grid = found.select(doc, "table", F.explode(lay_out(rows)).alias("c"))
+    return grid.select(doc, "table", F.explode(F.sequence(F.col("c.row"), F.col("c.row") + F.col("c.down") - 1)).alias("row"), "c.col", "c.text")
+
+
+def lay_out(rows: Column) -> Column:
+    """Places of all cells of one table as ``(row, col, text, down)``.
+
+    One fold over the rows carries, per column, how many further rows a cell from above still covers; the cells of a row
+    take the free columns from left to right.
+    """
+    start = F.struct(F.lit(0).alias("row"), F.array().cast("array<int>").alias("held"), F.array().cast("array<struct<row:int,col:int,text:string,down:int>>").alias("out"))
+
+    def bind(value: Column, use) -> Column:
+        """Evaluate a value once and use it several times."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def add(acc: Column, line: Column) -> Column:
+        held = acc["held"]
+        columns = F.sequence(F.lit(0), F.size(held) + F.size(line))
+        free = F.filter(columns, lambda c: F.coalesce(F.get(held, c), F.lit(0)) == 0)
+
+        def put(free: Column) -> Column:
+            return F.transform(line, lambda s, i: F.struct(acc["row"].alias("row"), F.get(free, i).alias("col"), s["text"].alias("text"), s["down"].alias("down")))
+
+        def after(placed: Column) -> Column:
+            downs = F.map_from_arrays(F.transform(placed, lambda p: p["col"]), F.transform(placed, lambda p: p["down"]))
+            left = bind(downs, lambda d: F.transform(columns, lambda c: F.greatest(F.coalesce(F.try_element_at(d, c), F.get(held, c), F.lit(0)) - 1, F.lit(0))))
+            return F.struct((acc["row"] + 1).alias("row"), left.alias("held"), F.concat(acc["out"], placed).alias("out"))
+
+        return bind(bind(free, put), after)
+
+    return F.aggregate(rows, start, add, lambda acc: acc["out"])

@@ -36,7 +36,7 @@ def normalize(col: Column) -> Column:
 def sanitize_label(col: Column) -> Column:
     """One-line label: line breaks as a written-out backslash n, brackets as parentheses."""
     col = F.regexp_replace(col, r"^\s+|\s+$", "")
-    return F.translate(F.regexp_replace(col, r"[\r\n]+", r"\\\\n"), "[]", "()")
+    return F.translate(F.regexp_replace(col, r"[\r\n]+", r"\\n"), "[]", "()")
 
 
 REDACTED = "[REDACTED]"

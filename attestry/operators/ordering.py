@@ -71,28 +71,31 @@ def running(
     number: str = "rn",
     size: str | None = None,
     parts: int | None = None,
+    lows: Mapping[str, str] | None = None,
+    highs: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Row number, running sums (output name to column) and optionally the row count per key. ``order`` must be unique."""
-    sums = dict(sums or {})
+    """Row number, running sums, minima and maxima (output name to column) and the row count per key. ``order`` must be unique."""
+    folds = [(o, c, F.sum, lambda a, b: a + b) for o, c in (sums or {}).items()]
+    folds += [(o, c, F.min, F.least) for o, c in (lows or {}).items()] + [(o, c, F.max, F.greatest) for o, c in (highs or {}).items()]
     cut = with_spans(df, order, parts)
     inside = Window.partitionBy(*keys, SPAN).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({number: F.row_number().over(inside).cast("long"), **{o: F.sum(c).over(upto) for o, c in sums.items()}})
-    sizes = cut.groupBy(*keys, SPAN).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
+    local = cut.withColumns({number: F.row_number().over(inside).cast("long"), **{o: f(c).over(upto) for o, c, f, _ in folds}})
+    sizes = cut.groupBy(*keys, SPAN).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_s_{o}") for o, c, f, _ in folds])
     earlier = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys,
         SPAN,
         F.sum("_n").over(earlier).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"),
-        *[F.sum(f"_s_{o}").over(earlier).alias(f"_s_{o}") for o in sums],
+        *[f(f"_s_{o}").over(earlier).alias(f"_s_{o}") for o, _, f, _ in folds],
     )
     joined = local.join(offsets, [*keys, SPAN])
     add = {number: F.col(number) + F.coalesce("_before", F.lit(0))}
-    add |= {o: F.coalesce(F.col(o) + F.col(f"_s_{o}"), F.col(o), F.col(f"_s_{o}")) for o in sums}
+    add |= {o: F.coalesce(join(F.col(o), F.col(f"_s_{o}")), F.col(o), F.col(f"_s_{o}")) for o, _, _, join in folds}
     if size:
         add[size] = F.col("_size")
-    return joined.withColumns(add).drop(SPAN, "_before", "_size", *[f"_s_{o}" for o in sums])
+    return joined.withColumns(add).drop(SPAN, "_before", "_size", *[f"_s_{o}" for o, *_ in folds])
 
 
 def shifted(
