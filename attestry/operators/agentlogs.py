@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import item_type, short_description
 from attestry.operators.evaluation import hash_order
-from attestry.operators.ordering import exact_quantiles, running, shifted
+from attestry.operators.ordering import exact_quantiles, once, running, shifted
 
 
 def sigmoid(x: Column) -> Column:
@@ -212,7 +212,7 @@ def merge_calls(calls: DataFrame, session: str, order: Sequence[str], prompt: st
     """Sequence number per session: a call continues the sequence only if the earlier prompt and reply are an exact prefix of its prompt."""
     prev = shifted(calls.withColumn("_both", F.concat(prompt, reply)), [session], order, {"_prev": "_both"}, parts=parts)
     new = F.when(F.col("_prev").isNotNull() & F.startswith(F.col(prompt), F.col("_prev")), 0).otherwise(1).cast("long")
-    return running(prev.withColumn("_new", new), [session], order, {"sequence": "_new"}, number="_rn", parts=parts).drop("_both", "_prev", "_new", "_rn")
+    return running(once(prev.withColumn("_new", new).drop("_both", "_prev")), [session], order, {"sequence": "_new"}, number="_rn", parts=parts).drop("_new", "_rn")
 
 
 def prefix_tree(calls: DataFrame, rollout: str, call: str, messages: str) -> DataFrame:
@@ -286,9 +286,9 @@ def evict_plan(items: DataFrame, view: str, order: str, length: str, payload: Co
     guarded = F.col("_rn") > F.col("_n") - tail
     folded = over & ~guarded & F.col("_pay") & (F.col(length) > pointer)
     j = j.withColumns({"_guard": guarded, "_fold": folded, "_len2": F.when(folded, pointer).otherwise(F.col(length)).cast("long")})
+    j = once(j.withColumn("_take", F.when(F.col("_guard"), 0).otherwise(F.col("_len2")).cast("long")).drop("_cum0", "_n", "_rn", length))
     after = j.groupBy(view).agg((F.sum("_len2") - budget).alias("_excess"))
-    j = j.withColumn("_take", F.when(F.col("_guard"), 0).otherwise(F.col("_len2")).cast("long"))
-    cum = running(j.drop("_cum0", "_n", "_rn"), [view], [order], {"_cum": "_take"}, number="_rn2", parts=parts).join(after, view)
+    cum = running(j, [view], [order], {"_cum": "_take"}, number="_rn2", parts=parts).join(after, view)
     evicted = ~F.col("_guard") & (F.col("_excess") > 0) & (F.col("_cum") - F.col("_take") < F.col("_excess"))
     action = F.when(evicted, "evict").when(F.col("_fold"), "fold").otherwise("keep")
     return cum.select(view, order, action.alias("action"))

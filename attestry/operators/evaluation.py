@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.operators.ordering import exact_quantiles, running, shifted
+from attestry.operators.ordering import exact_quantiles, once, running, shifted
 
 
 def _stack(names: Mapping[str, Column], key: str, value: str) -> Column:
@@ -202,7 +202,7 @@ def run_variance(df: DataFrame, model: str, repeat: str, passed: Column) -> Data
 
 def moving_rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, parts: int | None = None) -> DataFrame:
     """Mean of the last ``width`` rows at every row: a difference of running sums, joined on the row number."""
-    cum = running(df, keys, order, {"_sum": value}, number="rn", parts=parts)
+    cum = once(running(df, keys, order, {"_sum": value}, number="rn", parts=parts))
     back = cum.select(*keys, (F.col("rn") + width).alias("rn"), F.col("_sum").alias("_old"))
     j = cum.join(back, [*keys, "rn"], "left")
     rate = (F.col("_sum") - F.coalesce("_old", F.lit(0))) / F.least(F.col("rn"), F.lit(width)).cast("double")
@@ -261,7 +261,7 @@ def cumulative_pass(attempts: DataFrame, item: str, k: str, passed: Column, part
     """Share of items passed after at most k revisions."""
     per = attempts.groupBy(item).agg(F.min(F.when(passed, F.col(k))).alias("first"))
     n = per.agg(F.count(F.lit(1)).cast("double")).scalar()
-    counts = per.filter("first is not null").groupBy(F.col("first").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    counts = once(per.filter("first is not null").groupBy(F.col("first").alias("k")).agg(F.count(F.lit(1)).alias("c")))
     r = running(counts, [], ["k"], {"_cum": "c"}, number="_rn", parts=parts)
     return r.select("k", (F.col("_cum") / n).alias("pass_rate"))
 

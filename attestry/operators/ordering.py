@@ -16,9 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.session import written
+
 SPAN = "_span"
 
 
+def once(df: DataFrame) -> DataFrame:
+    """Write a derived input to the shared folder before it is ordered: ordering reads its input three times."""
+    return written(df, "ordered")
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     """A double that does not decrease along the column's own order."""
     kind = df.schema[name].dataType
@@ -129,7 +136,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
     """One row per (key, distinct value): ``n`` equal rows, ``n_before``, ``n_to``, ``avg_rank`` and the key's ``n_all``."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = once(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     ranked = running(counts, keys, [value], {"n_to": "n"}, number="_rn", parts=parts).drop("_rn")
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"))
     ranked = ranked.withColumn("n_before", F.col("n_to") - F.col("n"))

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.operators.ordering import running, value_ranks
-from attestry.session import written
+from attestry.operators.ordering import once, running, value_ranks
 
 Z95 = 1.959963984540054
 
@@ -128,7 +127,7 @@ def mcnemar_exact(df: DataFrame, first: Column, second: Column, keys: Sequence[s
 
 def mann_whitney(df: DataFrame, value: str, first: Column, second: Column, keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """U, z with tie correction and p for two samples picked by flags. Values are counted first, so ties cost one row."""
-    counts = df.filter(first | second).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("n1"))
+    counts = once(df.filter(first | second).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("n1")))
     ranked = running(counts, list(keys), [value], {"n_to": "n"}, parts=parts)
     n = F.col("n").cast("double")
     rank = F.col("n_to") - (F.col("n") - 1) / 2
@@ -167,10 +166,11 @@ def pairwise_mann_whitney(df: DataFrame, value: str, group: str, contrasts: Sequ
 
 def benjamini_hochberg(df: DataFrame, key: str, p: str, parts: int | None = None) -> DataFrame:
     """Adjusted p: the running minimum from the largest p down of p * n / rank."""
+    df = once(df)
     flipped = df.withColumn("_neg", -F.col(p)).withColumn("_nk", -F.col(key))
     n = df.agg(F.count(F.lit(1))).scalar()
     ranked = running(flipped, [], ["_neg", "_nk"], number="_rn", parts=parts).withColumn("_q", F.col(p) * n / (n - F.col("_rn") + 1))
-    ranked = written(ranked, "ranked")
+    ranked = once(ranked)
     folded = running(ranked, [], ["_neg", "_nk"], lows={"_low": "_q"}, number="_r2", parts=parts)
     return folded.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("_low"))).drop("_neg", "_nk", "_rn", "_q", "_r2", "_low")
 
