@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.text import squash
+from attestry.functions.text import bind, squash
 
 HIDDEN = r"(?is)<(script|style|nav)\b.*?</(?:script|style|nav)>|<!--.*?-->|<!DOCTYPE[^>]*>"
 FOOTNOTE = r"(?is)(<span class=\"ltx_note ltx_role_footnote[^>]*>.*?</span></span></span>)"
@@ -115,10 +115,6 @@ def lay_out(rows: Column) -> Column:
     """
     start = F.struct(F.lit(0).alias("row"), F.array().cast("array<int>").alias("held"), F.array().cast("array<struct<row:int,col:int,text:string,down:int>>").alias("out"))
 
-    def bind(value: Column, use) -> Column:
-        """Evaluate a value once and use it several times."""
-        return F.get(F.transform(F.array(value), use), 0)
-
     def add(acc: Column, line: Column) -> Column:
         held = acc["held"]
         columns = F.sequence(F.lit(0), F.size(held) + F.size(line))

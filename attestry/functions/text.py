@@ -130,7 +130,16 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), r"[\s.,;:!?|()\[\]{}\"'%*#$&<>/=-]+"), lambda w: w != "")
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate a value once and use it several times; inside a lambda an outer expression would run again per element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def grams(words: Column, n: int) -> Column:
     """Runs of n neighbouring words joined by blanks; empty when the text is shorter."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")), F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1)))
+        return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")), F.array().cast("array<string>"))
+
+    return bind(words, runs)
