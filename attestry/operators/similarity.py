@@ -157,7 +157,7 @@ def list_overlap(top: DataFrame, group: str) -> DataFrame:
     return j.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")).cast("double")).alias("jaccard"))
 
 
-def style_auc(texts: DataFrame, text: str, label: str, problem: str, folds: int = 5, features: int = 1 << 18) -> DataFrame:
+def style_auc(texts: DataFrame, text: str, label: str, problem: str, folds: int = 5, features: int = 1 << 18, steps: int = 8) -> DataFrame:
     """AUC per fold of a logistic regression on hashed character 3- to 5-gram counts of unit length; problems never straddle folds."""
     starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
     pieces = lambda n: F.coalesce(F.transform(starts(n), lambda i: F.substring(F.col(text), i, F.lit(n))), F.array().cast("array<string>"))
@@ -167,7 +167,7 @@ def style_auc(texts: DataFrame, text: str, label: str, problem: str, folds: int
     score = BinaryClassificationEvaluator(metricName="areaUnderROC")
     out = []
     for fold in range(folds):
-        model = LogisticRegression(maxIter=15, regParam=0.01).fit(ready.filter(F.col("fold") != fold))
+        model = LogisticRegression(maxIter=steps, regParam=0.01, standardization=False).fit(ready.filter(F.col("fold") != fold))
         held = ready.filter(F.col("fold") == fold)
         n = held.groupBy().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("l")).head()
         if n.l == 2:

@@ -64,7 +64,7 @@ def _(t):
 NOTES_SQL = f"""docs as (select d.*, l.quality, l.toxic from documents d left join labels l using (doc_id)),
 lines as (
   select * from (values (0, '', '', '# Index of Papers'), (1, '', '', ''),
-    (2, '', '', '<!-- Generated by `save_paper.py index` from frontmatter. Edits here are overwritten; edit the papers instead. -->'),
+    (2, '', '', '<!-- Generated by `write_index` from frontmatter. Edits here are overwritten; edit the papers instead. -->'),
     (3, '', '', ''), (4, '', '', '# Notes'), (5, '', '', ''), (8, '', '', ''), (9, '', '', '# Sources'), (10, '', '', '')) v(section, published, title, line)
   union all select 6, '', 'Note ' || doc_id, '* [Note ' || doc_id || '](' || doc_id || '.md) (' || case quality when 1 then 'human-reviewed' else 'machine-confirmed' end || '; draft) - ' || {sentence_sql('text')}
     from docs where quality is not null

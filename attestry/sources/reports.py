@@ -31,16 +31,16 @@ def source_line() -> Column:
     return F.concat(F.lit("* ["), "title", F.lit("](sources/"), "id", F.lit(".md) ("), tag, F.lit(") - "), short_description(F.col("description")))
 
 
-# Fixed lines of the report.
+# Fixed lines of the report; the second names the tool that wrote it.
 HEADER = "# Index of Papers"
-GENERATED = "<!-- Generated by `save_paper.py index` from frontmatter. Edits here are overwritten; edit the papers instead. -->"
+GENERATED = "<!-- Generated by `{tool}` from frontmatter. Edits here are overwritten; edit the papers instead. -->"
 NO_NOTES, NO_SOURCES = "_No notes yet._", "_No sources yet._"
 
 
-def index_lines(notes: DataFrame, sources: DataFrame) -> DataFrame:
+def index_lines(notes: DataFrame, sources: DataFrame, tool: str = "write_index") -> DataFrame:
     """Report lines with their sort key ``(section, published, title)``: notes first, then sources, each newest first."""
     spark = notes.sparkSession
-    head = [(0, HEADER), (1, ""), (2, GENERATED), (3, ""), (4, "# Notes"), (5, ""), (8, ""), (9, "# Sources"), (10, "")]
+    head = [(0, HEADER), (1, ""), (2, GENERATED.format(tool=tool)), (3, ""), (4, "# Notes"), (5, ""), (8, ""), (9, "# Sources"), (10, "")]
     fixed = spark.createDataFrame(head, "section int, line string").select("section", F.lit("").alias("published"), F.lit("").alias("title"), "line")
 
     def listed(df: DataFrame, section: int, line: Column, date: Column, empty: str) -> DataFrame:
