@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.text import bind, squash
+from attestry.session import spread
 
 HIDDEN = r"(?is)<(script|style|nav)\b.*?</(?:script|style|nav)>|<!--.*?-->|<!DOCTYPE[^>]*>"
 FOOTNOTE = r"(?is)(<span class=\"ltx_note ltx_role_footnote[^>]*>.*?</span></span></span>)"
@@ -52,7 +53,7 @@ def page_blocks(pages: DataFrame, doc: str, html: str) -> DataFrame:
     )
     body = F.regexp_replace(shown, FOOTNOTE, "")
     pieces = F.split(F.regexp_replace(body, BLOCK_TAG, f"{OPEN}$1$2{NAMED}$3{BODY}"), OPEN)
-    rows = pages.select(doc, F.posexplode(F.concat(pieces, notes, links)).alias("ord", "piece"))
+    rows = spread(pages.select(doc, html)).select(doc, F.posexplode(F.concat(pieces, notes, links)).alias("ord", "piece"))
     tag = F.lower(F.regexp_extract("piece", f"^([^{NAMED}]*){NAMED}", 1))
     attrs = F.regexp_extract("piece", f"(?s){NAMED}([^{BODY}]*){BODY}", 1)
     kind = F.when(tag == "footnote", "footnote").when(tag == "a", "link").otherwise(_kind(tag, attrs))

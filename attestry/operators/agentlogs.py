@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestry.functions.text import item_type, short_description
 from attestry.operators.evaluation import hash_order
 from attestry.operators.ordering import exact_quantiles, once, running, shifted
+from attestry.session import spread
 
 
 def sigmoid(x: Column) -> Column:
@@ -42,7 +43,7 @@ def segment_instructions(docs: DataFrame, key: str, text: str) -> DataFrame:
     Headings, code, tables, whole-line bold labels and fragments under two words are payload.
     """
     flat = F.regexp_replace(F.col(text), FENCE, "\n\x01code\n")
-    lines = docs.select(key, F.posexplode(F.split(flat, "\n")).alias("line", "l")).filter(F.trim("l") != "")
+    lines = spread(docs.select(key, text)).select(key, F.posexplode(F.split(flat, "\n")).alias("line", "l")).filter(F.trim("l") != "")
     payload = F.col("l").rlike(r"^\s*#|^\s*\||\x01code") | F.col("l").contains(" | ") | F.col("l").rlike(r"^\s*\*\*[^*]+\*\*:?\s*$")
     bare = F.regexp_replace("l", LIST_ITEM, "")
     parts = F.when(payload, F.array("l")).otherwise(F.split(F.regexp_replace(bare, r"([.!?])\s+", "$1\x02"), "\x02"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from attestry.functions.text import tokens
 from attestry.operators.evaluation import hash_order
-from attestry.session import written
+from attestry.session import spread, written
 
 K1, B = 1.2, 0.75
 
@@ -24,7 +24,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = Non
     travel on, and a query's list is cut to k before the last shuffle.
     """
     d = docs if where is None else docs.filter(where)
-    words = d.select("doc", tokens(F.col("text")).alias("w"))
+    words = spread(d.select("doc", "text")).select("doc", tokens(F.col("text")).alias("w"))
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
     posts = words.select("doc", F.size("w").alias("len"), F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi")
     tf = posts.groupBy("doc", "len", "t").agg(F.count(F.lit(1)).alias("tf"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from attestry.functions.text import grams, tokens
 from attestry.operators.ordering import exact_quantiles, once, running
-from attestry.session import written
+from attestry.session import spread, written
 
 
 def exact_dedup(df: DataFrame, key: str, canonical: Column) -> DataFrame:
@@ -36,7 +36,7 @@ def shared_with_seeds(docs: DataFrame, key: str, seeds: DataFrame, seed: str, n:
     Documents meet seeds through grams of seeds alone, so a gram common among documents costs nothing by itself.
     """
     wanted = seeds.select(F.col(seed), F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram"))
-    have = docs.select(F.col(key), F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram"))
+    have = spread(docs.select(key, "text")).select(F.col(key), F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram"))
     out = have.join(wanted, "gram").groupBy(key, seed).agg(F.count(F.lit(1)).alias("shared"))
     if marker is None:
         return out
@@ -48,7 +48,7 @@ def decontaminate(train: DataFrame, key: str, bench: DataFrame, item: str, n: in
     """Per training text the highest share of a benchmark item's n-grams it holds, zero when none."""
     sizes = bench.select(F.col(item), F.array_distinct(grams(tokens(F.col("text")), n)).alias("g")).filter(F.size("g") > 0)
     wanted = sizes.select(item, F.size("g").alias("_n"), F.explode("g").alias("gram"))
-    have = train.select(F.col(key), F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram"))
+    have = spread(train.select(key, "text")).select(F.col(key), F.explode(F.array_distinct(grams(tokens(F.col("text")), n))).alias("gram"))
     hits = have.join(wanted, "gram").groupBy(key, item, "_n").agg(F.count(F.lit(1)).alias("c"))
     best = hits.groupBy(key).agg(F.max(F.col("c") / F.col("_n")).alias("similarity"))
     return train.select(key).join(best, key, "left").select(key, F.round(F.coalesce("similarity", F.lit(0.0)), 9).alias("similarity"))
@@ -73,7 +73,7 @@ def near_copies(docs: DataFrame, key: str, text: str, n: int = 3, threshold: flo
     compared with the smallest key of each of its lists, which settles a crowd of copies in linear work; only documents
     that are still open meet the rest of their lists.
     """
-    sets = docs.select(F.col(key).alias("id"), F.array_sort(gram_set(F.col(text), n)).alias("s")).filter(F.size("s") > 0)
+    sets = spread(docs.select(key, text)).select(F.col(key).alias("id"), F.array_sort(gram_set(F.col(text), n)).alias("s")).filter(F.size("s") > 0)
     sets = written(sets.withColumn("d", F.sha2(F.to_json("s"), 256)), "grams")
     group = sets.groupBy("d").agg(F.min("id").alias("lead"))
     leads = written(sets.join(group, [sets.d == group.d, sets.id == group.lead], "left_semi").select("id", "s"), "leads")
@@ -133,7 +133,7 @@ def diverse_select(items: DataFrame, key: str, text: str, fitness: Column, k: in
 def distinctive_ngrams(docs: DataFrame, group: str, text: str, background: Column, least: int = 10, top: int = 40, prior: float = 1000.0) -> DataFrame:
     """The most distinctive 1- to 3-grams of each group: log-odds z against a fixed background with a Dirichlet prior."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    marked = docs.select(F.col(group), background.alias("_bg"), words.alias("w"))
+    marked = spread(docs.select(F.col(group), background.alias("_bg"), text)).select(group, "_bg", words.alias("w"))
     each = marked.select(group, "_bg", F.explode(F.concat(*[grams(F.col("w"), n) for n in (1, 2, 3)])).alias("gram"))
     counts = written(each.groupBy(group, "gram").agg(F.count(F.lit(1)).alias("y"), F.count_if("_bg").alias("b")), "grams")
     pool = counts.groupBy("gram").agg(F.sum("y").alias("all"), F.sum("b").alias("back")).filter(F.col("all") >= least)
@@ -161,7 +161,7 @@ def style_auc(texts: DataFrame, text: str, label: str, problem: str, folds: int
     """AUC per fold of a logistic regression on hashed character 3- to 5-gram counts of unit length; problems never straddle folds."""
     starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
     pieces = lambda n: F.coalesce(F.transform(starts(n), lambda i: F.substring(F.col(text), i, F.lit(n))), F.array().cast("array<string>"))
-    d = texts.select(F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(problem), F.lit(folds)).cast("int").alias("fold"), F.concat(*[pieces(n) for n in (3, 4, 5)]).alias("g"))
+    d = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism).select(F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(problem), F.lit(folds)).cast("int").alias("fold"), F.concat(*[pieces(n) for n in (3, 4, 5)]).alias("g"))
     hashed = HashingTF(inputCol="g", outputCol="tf", numFeatures=features).transform(d)
     ready = written(Normalizer(inputCol="tf", outputCol="features", p=2.0).transform(hashed).select("label", "fold", "features"), "style")
     score = BinaryClassificationEvaluator(metricName="areaUnderROC")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.operators.ordering import once, running, value_ranks
+from attestry.operators.ordering import once, running, span_count, value_ranks
 
 Z95 = 1.959963984540054
 
@@ -208,6 +208,8 @@ def cluster_bootstrap(clusters: DataFrame, cluster: str, top: str, bottom: str,
     draws add up in partial sums: what is shuffled is one row per task and draw. Eight draws share one digest.
     """
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col(cluster).cast("string"), F.col("_block").cast("string")), 256)
+    # Each small row becomes hundreds of draws, so the rows are spread evenly first.
+    clusters = clusters.repartition(span_count(clusters, None), cluster)
     blocks = clusters.select(*keys, cluster, top, bottom, F.explode(F.sequence(F.lit(0), F.lit((draws + 7) // 8 - 1))).alias("_block"))
     hexed = blocks.withColumn("_d", digest).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(7))))
     draw = (F.col("_block") * 8 + F.col("_i")).alias("draw")

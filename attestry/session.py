@@ -33,6 +33,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores; a large scan stays as it is.
+
+    For work that costs far more per row than moving the row, such as cutting texts into n-grams. Use it on scans only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write once to the shared folder and read back: every later branch sees the same rows at no second cost."""
     path = shared_folder(df.sparkSession, purpose)
