@@ -39,7 +39,7 @@ def parse_documents(df: DataFrame, content: str, fields: Sequence[str], keep: Se
 
 
 def read_documents(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return parse_documents(raw, "value", fields, ["path"])
 
 
