@@ -66,7 +66,11 @@ def idle_sessions(events: DataFrame, session: str, ts: str, gap: str, lateness:
 
 
 def ttl_dedup(calls: DataFrame, key: Sequence[str], ts: str, ttl: str) -> DataFrame:
-    """Calls whose key was not seen within the ttl."""
+    """Calls whose key was not seen within the ttl.
+
+    A repeat inside the ttl never passes. After it, the key passes again once the watermark has gone by, that is in the
+    batch after the one that moved it; the batch form with exact expiry is ``agentlogs.ttl_hits``.
+    """
     return calls.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(key))
 
 

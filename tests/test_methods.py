@@ -120,3 +120,35 @@ def test_ingest_sees_earlier_batches(spark, folder):
     none = spark.createDataFrame([], "doc long, version int, fingerprint string")
     got = sorted(r.status for r in jobs.ingest(stream, lambda: none, "doc", "ing").collect())
     assert got == ["new-version-available", "saved", "saved", "up-to-date"]
+
+
+def test_style_auc_tells_two_hands_apart(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["abra", "cadabra", "alakazam"] if i % 2 else ["lorem", "ipsum", "dolor"]) for _ in range(20)), i % 2, f"p{i % 12}") for i in range(60)]
+    got = similarity.style_auc(spark.createDataFrame(rows, "id int, t string, y int, p string"), "t", "y", "p", folds=2, features=1 << 10, steps=4).collect()
+    assert got and all(r.auc > 0.99 for r in got)
+
+
+def test_repeats_inside_the_ttl_are_suppressed(spark, folder):
+    rows = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:10:00", 2), ("b", "2024-01-01 00:20:00", 3), ("z", "2024-01-01 09:00:00", 4), ("y", "2024-01-01 09:10:00", 5), ("a", "2024-01-01 09:30:00", 6)]
+    df = spark.createDataFrame(rows, "k string, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
+    for i in range(1, 7):
+        df.filter(F.col("v") == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.read_stream(spark, f"{folder}/in", df, per_batch=1)
+    got = sorted(r.v for r in jobs.drain(jobs.ttl_dedup(stream, ["k"], "ts", "1 hour"), "ttl").collect())
+    assert got == [1, 3, 4, 5, 6]
+
+
+def test_leaf_recall_counts_neighbours_in_the_own_leaf(spark):
+    near = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (3, 1)], "id long, neighbour long")
+    leaves = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 0, 1)], "id long, topic int, leaf long")
+    assert similarity.leaf_recall(near, leaves, "id").head().recall == 0.5
+
+
+def test_as_of_close_is_strictly_after(spark):
+    from attestry.operators import records
+
+    reviews = spark.createDataFrame([("k", 1, 10), ("k", 2, 20), ("j", 3, 5)], "key string, id long, at long")
+    runs = spark.createDataFrame([("k", 7, 10), ("k", 8, 15), ("k", 9, 15), ("j", 6, 5)], "key string, id long, at long")
+    got = {r.review: r.run for r in records.closes_after(reviews, runs, "key", parts=3).collect()}
+    assert got == {1: 8, 2: None, 3: None}
