@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: str | None = None
+
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -25,11 +27,16 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; the setting is filled in only where it is unset."""
+    """A fresh path below ``spark.checkpoint.dir``; only a local master may leave it unset, and then gets a temporary folder.
+
+    The caller owns the folder: nothing here deletes it, so the cluster should clean it by age.
+    """
+    global _LOCAL
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.abspath("spark-warehouse/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

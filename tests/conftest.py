@@ -13,8 +13,6 @@ from attestry.session import local_session
 def spark():
     s = local_session(4, "6g")
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return s
 
 
