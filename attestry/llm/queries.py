@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import licenses, toxicity, url_filters
+from attestry.llm import licenses, line_dedup, mixing, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, labels.filter(~held(F.col("doc_id"))))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP7_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+told AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS said FROM lines),
+w AS (SELECT doc_id, i AS p, lead(i) OVER o AS q, lead(i, 2) OVER o AS r, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c FROM told WHERE said WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT a, b, c, min(struct_pack(d := doc_id, p := p)) AS first FROM w WHERE r IS NOT NULL GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest([p, q, r]) AS i FROM w JOIN f USING (a, b, c) WHERE r IS NOT NULL AND struct_pack(d := doc_id, p := p) > first),
+left_ AS (SELECT t.doc_id, string_agg(line, chr(10) ORDER BY i) AS text, bool_or(said) AS said FROM told t ANTI JOIN gone g USING (doc_id, i) GROUP BY t.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  md5(CASE WHEN n_removed IS NULL THEN coalesce(d.text, '') WHEN said THEN l.text ELSE '' END) AS text_md5
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_ l USING (doc_id)"""
+
+
+@query("op7_line_dedup", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
