@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import licenses, line_dedup, mixing, toxicity, url_filters
+from attestry.llm import jaccard_join, licenses, line_dedup, mixing, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +85,23 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_ l USING (doc_id)"""
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     cut = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+classes AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+t AS (SELECT id, len(s) AS n, unnest(s) AS g FROM classes),
+common AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (na + nb - k)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links)
+, walk AS (SELECT id AS a, id AS b FROM classes UNION SELECT walk.a, both_.b FROM walk JOIN both_ ON walk.b = both_.a),
+low AS (SELECT a, min(b) AS component_id FROM walk GROUP BY a)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(low.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN classes ON list_sort(s.s) = classes.s LEFT JOIN low ON classes.id = low.a"""
+
+
+@query("op5_ngram_jaccard_join", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.link(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
