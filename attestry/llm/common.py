@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
@@ -21,6 +21,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once however often ``fn`` names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import SPACE
+from attestry.llm.common import SPACE, bound
 from attestry.session import written
 
 WIDTH = 3
@@ -46,9 +46,9 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     left = docs.select(*[F.col(f"`{c}`") for c in names], named["key"].alias("_k"), named["digest"].alias("_d"))
     joined = left.join(gone, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_digest")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    bare = F.length(F.trim(F.translate(cut, SPACE + "\n", " " * len(SPACE) + " "))) == 0
-    now = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).when(bare, F.lit("")).otherwise(cut)
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
+    cut = bound(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
+    told = lambda x: F.length(F.trim(F.translate(x, SPACE, " " * len(SPACE)))) > 0
+    now = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(bound(cut, lambda x: F.when(told(x), x).otherwise(F.lit(""))))
     out = [now.alias(c) if c == text else F.col(f"`{c}`") for c in names]
     return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

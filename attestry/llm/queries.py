@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import jaccard_join, licenses, line_dedup, mixing, toxicity, url_filters
+from attestry.llm import jaccard_join, licenses, line_dedup, mixing, quality, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,31 @@ FROM s LEFT JOIN classes ON list_sort(s.s) = classes.s LEFT JOIN low ON classes.
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
+
+
+_OP3_RATES = [("symbol_rate", 50, False), ("dup_line_rate", 750, False), ("repeat_rate", 750, False), ("mean_length", 30, True)]
+OP3_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), 1) AS i FROM documents),
+wins AS (SELECT doc_id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM wins WHERE c IS NOT NULL),
+again AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(length(w) - length(regexp_replace(w, '[#*$%&|<>]', '', 'g'))) AS n_symbols FROM words GROUP BY doc_id),
+base AS (SELECT doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, coalesce(n_symbols, 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 10000 // greatest(word_chars, 1) AS symbol_rate, n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_rate, n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS mean_length FROM base),
+v AS (SELECT lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'mean_length']) AS measure, unnest([symbol_rate, dup_line_rate, repeat_rate, mean_length]) AS x FROM m WHERE NOT base_failed),
+e AS (SELECT *, CASE WHEN x < 64 THEN x ELSE (x // pow(2, length(bin(x)) - 6)::BIGINT) * pow(2, length(bin(x)) - 6)::BIGINT END AS low FROM v),
+q1 AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(low, 0.25) AS q25, quantile_disc(low, 0.5) AS q50 FROM e GROUP BY ALL),
+q2 AS (SELECT lang, measure, count(*) AS n, quantile_disc(low, 0.25) AS q25, quantile_disc(low, 0.5) AS q50 FROM e GROUP BY ALL),
+q3 AS (SELECT measure, quantile_disc(low, 0.25) AS q25, quantile_disc(low, 0.5) AS q50 FROM e GROUP BY ALL),
+q AS (SELECT q1.lang, q1.source, measure, CASE WHEN q1.n >= 100 THEN q1.q25 WHEN q2.n >= 100 THEN q2.q25 ELSE q3.q25 END AS q25, CASE WHEN q1.n >= 100 THEN q1.q50 WHEN q2.n >= 100 THEN q2.q50 ELSE q3.q50 END AS q50
+  FROM q1 JOIN q2 USING (measure) JOIN q3 USING (measure) WHERE q1.lang IS NOT DISTINCT FROM q2.lang),
+t AS (SELECT lang, source, """ + ", ".join(f"max(CASE WHEN measure = '{m}' THEN q50 + 6 * greatest(q50 - q25, {k}) END) AS {m}_hi, max(CASE WHEN measure = '{m}' THEN q50 - 6 * greatest(q50 - q25, {k}) END) AS {m}_lo" for m, k, _ in _OP3_RATES) + r""" FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(""" + " OR ".join(f"{m} > {m}_hi" + (f" OR {m} < {m}_lo" if low else "") for m, _, low in _OP3_RATES) + r""", false) AS kept
+FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).drop("failed")
