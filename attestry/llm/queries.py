@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import jaccard_join, licenses, line_dedup, mixing, quality, toxicity, url_filters
+from attestry.llm import jaccard_join, licenses, line_dedup, mixing, quality, toxicity, url_filters, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,8 @@ FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DIS
 @query("op3_quality_rules", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).drop("failed")
+
+
+@query("op1_embedding_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"))
