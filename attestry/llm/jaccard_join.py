@@ -2,10 +2,11 @@
 
 Texts are sets of hashed shingles; texts with equal sets are one class. Classes fall into groups by their smallest
 shingle, so that near copies meet. The matrix holds, for each group, the union of its members' index prefixes; a class
-asks it with its probe prefix and gets the groups that may hold a partner (a pair at the threshold shares a shingle of
-both prefixes under one global order, frequent shingles last). A candidate group is first compared by its leader. It is
-opened, member by member, only where a part of it is not yet connected with the asking class and the union of that part
-holds enough of the class's shingles. Every comparison is exact on the sets.
+asks it with its probe prefix. Both follow one global order with frequent shingles last, and are so long that a pair at
+the threshold shares a twentieth of the class's shingles there: a group that holds fewer of them cannot hold a partner.
+A group that qualifies is first compared by its leader. It is opened, member by member, only where a part of it is not
+yet connected with the asking class. Small bit sets, of which no pair at the threshold may differ too much, pass over
+most pairs; the rest are compared exactly on their sets.
 """
 
 from __future__ import annotations
@@ -46,42 +47,93 @@ def frequent_shingles(docs: DataFrame, size: int, share: float, over: int, most:
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
+def asked_overlap(n: int) -> int:
+    """Shingles that a class of ``n`` must find in a group's part of the matrix."""
+    return -(-n // 20)
+
+
+def probe_length(n: int, percent: int) -> int:
+    return min(n, n - needed(n, percent) + asked_overlap(n))
+
+
+def index_length(n: int, percent: int) -> int:
+    """Long enough for every asking class that is not smaller: it shares at least 2p / (1 + p) of this set, and is at most 1 / p as large."""
+    return min(n, n - -(-2 * percent * n // (100 + percent)) + -(-5 * n // percent))
+
+
+def bit_set(s: np.ndarray) -> np.ndarray:
+    """A power of two of 64-bit words with two bits or more per shingle."""
+    size = 1 << max(0, int(np.ceil(np.log2(2 * len(s) / 64))))
+    place = (mixed(s) >> np.uint64(8)) % np.uint64(64 * size)
+    flags = np.zeros(64 * size, np.uint8)
+    flags[place.astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per text: ``id, t`` (hash of the text), ``n``, the class ``x`` (and ``x2``, the rest of its digest), group ``g``, probe prefix."""
+    """Per text: ``id, t`` (hash of the text), ``n``, the class ``x``, group ``g``, and at a class's first text in a task its probe
+    prefix, the length of its index prefix and its bit set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
+        seen: set[int] = set()
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 s = shingles(text, memo, size)
                 if not len(s):
-                    rows.append((0, None, None, None, np.empty(0, np.int64)))
+                    rows.append((0, None, None, None, 0, None))
                     continue
+                x = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
                 at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
                 often = hot[at] == s if len(hot) else np.zeros(len(s), bool)
                 rare = s[~often]
-                probe = np.concatenate([rare, s[often]])[: len(s) - needed(len(s), percent) + 1]
-                group = mixed((rare if len(rare) else s) ^ np.uint64(0x5851F42D4C957F2D)).min()
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                rows.append((len(s), int(digest[0]), int(digest[1]), int(group.astype(np.int64)), probe.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "x", "x2", "g", "probe"])
-            for c in ("x", "x2", "g"):
+                group = int((rare if len(rare) else s)[0].astype(np.int64))
+                if x in seen:
+                    rows.append((len(s), x, group, None, 0, None))
+                    continue
+                seen.add(x)
+                probe = np.concatenate([rare, s[often]])[: probe_length(len(s), percent)]
+                rows.append((len(s), x, group, probe.view(np.int64), index_length(len(s), percent), bit_set(s)))
+            out = pd.DataFrame(rows, columns=["n", "x", "g", "probe", "short", "bits"])
+            for c in ("x", "g"):
                 out[c] = out[c].astype("Int64")
             out.insert(0, "id", batch["id"].values)
             out.insert(1, "t", batch["t"].values)
             yield out
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, t long, n long, x long, x2 long, g long, probe array<long>")
+    return docs.mapInPandas(run, f"id {kind}, t long, n long, x long, g long, probe array<long>, short int, bits array<long>")
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose sizes and bit sets do not rule out the threshold."""
+    left, right = (classes.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
+    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), lambda p, q: p.bitwiseOR(q))
+    fold = lambda s, o: F.when(F.size(s) > F.size(o), half(F.col(s))).otherwise(F.col(s))
+    apart = F.aggregate(F.zip_with(fold("sa", "sb"), fold("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    return sized.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def class_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """``x, n, s``: the whole sets of the classes in ``pairs``, cut anew from one text of each."""
+    active = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).distinct()
+    reps = written(classes.join(active, "x").select("x", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t")), "active")
+    texts = rows.join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        for batch in batches:
+            sets = [shingles(t, memo, size).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"x": batch["x"].values, "n": np.array([len(s) for s in sets], np.int64), "s": sets})
+
+    return written(texts.mapInPandas(cut, "x long, n long, s array<long>").dropDuplicates(["x"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of classes whose sets reach the threshold."""
-    left, right = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    sized = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").filter(fits).select("a", "b")
-    both = sized.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return both.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -99,50 +151,33 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     bounds the list of frequent shingles that tasks receive (8 bytes each); whatever is not on it is handled exactly.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    hot = frequent_shingles(rows, size, 0.3, over, most)
+    hot = frequent_shingles(rows, size, 0.25, over, most)
     told = written(signatures(rows, hot, size, percent), "signatures")
     some = told.filter("n > 0")
-    classes = written(some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.min("g").alias("g")), "classes")
+    classes = written(some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.min("g").alias("g"), F.max("bits").alias("bits")), "classes")
     groups = written(classes.groupBy("g").agg(F.min("x").alias("leader"), F.count(F.lit(1)).alias("members")), "groups")
 
-    # The smaller of two texts shares at least 2p / (1 + p) of its set: a shorter prefix of it is enough in the matrix.
-    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    matrix = some.select("x", "g", F.explode(F.slice("probe", F.lit(1), short.cast("int"))).alias("token")).groupBy("token", "g").agg(F.min("x").alias("least"), F.max("x").alias("most"))
-    asked = some.select("x", F.explode("probe").alias("token"))
-    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").filter("not (least = most and least = x)")
-    found = written(met.select("x", "h").distinct(), "candidates").join(groups.withColumnRenamed("g", "h"), "h")
+    first = some.filter("probe is not null")
+    matrix = first.select("g", F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token")).distinct()
+    asked = first.select("x", F.ceil(F.col("n") / 20).cast("int").alias("ask"), F.explode("probe").alias("token"))
+    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").groupBy("x", "h", "ask").agg(F.count(F.lit(1)).alias("k")).filter("k >= ask")
+    own = classes.select("x", F.col("g").alias("h"))
+    found = met.select("x", "h").union(own).distinct().join(groups.withColumnRenamed("g", "h"), "h").filter("not (members = 1 and leader = x)")
     found = written(found, "candidates")
 
-    open_groups = found.filter("members > 1").select("h").distinct()
-    inside = classes.join(open_groups.withColumnRenamed("h", "g"), "g").select("x")
-    active = written(found.select("x").union(found.select(F.col("leader").alias("x"))).union(inside).distinct(), "active")
-    reps = classes.join(active, "x").select("x", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t"))
-    texts = rows.join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for batch in batches:
-            sets = [shingles(t, memo, size).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"x": batch["x"].values, "n": np.array([len(s) for s in sets], np.int64), "s": sets})
-
-    sets = written(texts.mapInPandas(cut, "x long, n long, s array<long>").dropDuplicates(["x"]), "sets")
-    pairs = written(found.filter("x <> leader").select(*ordered("x", "leader")).distinct(), "pairs")
-    edges = written(verified(pairs, sets, percent), "links")
-    labels = components(edges)
+    pairs = written(alike(found.filter("x <> leader").select(*ordered("x", "leader")).distinct(), classes, percent), "pairs")
+    labels = components(verified(pairs, class_sets(rows, classes, pairs, size), percent))
 
     # Groups of several members: the parts that their leaders have not connected with the asking class.
-    crowd = classes.join(open_groups.withColumnRenamed("h", "g"), "g").join(labels.toDF("x", "c"), "x", "left")
-    crowd = written(crowd.select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("n").alias("ny"), F.coalesce("c", "x").alias("c")), "crowd")
-    asking = found.filter("members > 1").select("x", "h").join(labels.toDF("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x"))
-    apart = written(asking.join(crowd.select("h", "c").distinct(), "h").filter("c <> cx"), "apart")
-    if not apart.isEmpty():
-        union = crowd.join(sets.select(F.col("x").alias("y"), F.explode("s").alias("token")), "y").select("h", "c", "token").distinct()
-        shared = apart.join(sets.select("x", "n", F.explode("s").alias("token")), "x").join(union, ["h", "c", "token"])
-        enough = shared.groupBy("x", "h", "c", "n").agg(F.count(F.lit(1)).alias("k")).filter(100 * F.col("k") >= percent * F.col("n"))
-        opened = enough.join(crowd, ["h", "c"]).filter((100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")) & (F.col("x") != F.col("y")))
-        more = written(opened.select(*ordered("x", "y")).distinct(), "pairs").join(pairs, ["a", "b"], "left_anti")
-        edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(more, sets, percent))
-        labels = components(edges)
+    crowd = classes.select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("n").alias("ny")).join(groups.filter("members > 1").select(F.col("g").alias("h")), "h")
+    crowd = written(crowd.join(labels.toDF("y", "cy"), "y", "left").withColumn("cy", F.coalesce("cy", "y")), "crowd")
+    asking = written(found.filter("members > 1").select("x", "h").join(classes.select("x", "n"), "x").join(labels.toDF("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x")), "asking")
+    opened = asking.join(crowd, "h").filter((F.col("cx") != F.col("cy")) & (100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")))
+    more = alike(opened.select(*ordered("x", "y")).distinct(), classes, percent).join(pairs, ["a", "b"], "left_anti")
+    more = written(more, "pairs")
+    if not more.isEmpty():
+        links = verified(more, class_sets(rows, classes, more, size), percent)
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
     placed = classes.join(labels.toDF("x", "c"), "x", "left").select("x", "low", F.coalesce("c", "x").alias("c"))
     lowest = placed.groupBy("c").agg(F.min("low").alias("component_id"))
