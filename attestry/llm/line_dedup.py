@@ -45,7 +45,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     gone = written(covered.groupBy("_key", "_digest").agg(F.collect_set("at").alias("_gone")), "covered")
 
     left = docs.select(*[F.col(f"`{c}`") for c in names], named["key"].alias("_k"), named["digest"].alias("_d"))
-    joined = left.join(gone, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_digest")), "left")
+    # A merge join whatever the sizes: the same plan, and the same share of shuffle, at every scale.
+    joined = left.join(gone.hint("merge"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_digest")), "left")
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
     cut = bound(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     told = lambda x: F.length(F.trim(F.translate(x, SPACE, " " * len(SPACE)))) > 0
