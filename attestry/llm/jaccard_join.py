@@ -120,7 +120,8 @@ def class_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int)
     """``x, n, s``: the whole sets of the classes in ``pairs``, cut anew from one text of each."""
     active = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).distinct()
     reps = written(classes.join(active, "x").select("x", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t")), "active")
-    texts = rows.join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
+    # A merge join whatever the sizes: the same plan, and the same share of shuffle, at every scale.
+    texts = rows.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
@@ -142,7 +143,8 @@ def ordered(a: str, b: str) -> list:
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, over: int = 32, most: int = 200_000) -> DataFrame:
-    """One row per row of ``docs``: key, ``n_shingles``, ``class_id``, ``component_id`` (smallest key reachable by links).
+    """One row per row of ``docs``: key, ``n_shingles``, ``digest`` (hash of the text), ``class_id``, ``group_id`` (the smallest
+    class reachable), ``component_id`` (smallest key reachable by links).
 
     Two texts link when ``100 * intersection >= percent * union``. A-Z are lower-cased; fewer than ``size`` words are one
     shingle. Null, empty and wordless texts have an empty set, no class and their own key as component. Null keys take
@@ -181,6 +183,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
     placed = classes.join(labels.toDF("x", "c"), "x", "left").select("x", "low", F.coalesce("c", "x").alias("c"))
     lowest = placed.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = written(placed.join(written(lowest, "lowest"), "c").select(F.col("x").alias("class_id"), "component_id"), "named")
-    out = told.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("x").alias("class_id")).join(named, "class_id", "left")
-    return out.select(key, "n_shingles", "class_id", F.coalesce("component_id", key).alias("component_id"))
+    named = written(placed.join(written(lowest, "lowest"), "c").select(F.col("x").alias("class_id"), F.col("c").alias("group_id"), "component_id"), "named")
+    out = told.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("t").alias("digest"), F.col("x").alias("class_id")).join(named, "class_id", "left")
+    return out.select(key, "n_shingles", "digest", "class_id", "group_id", F.coalesce("component_id", key).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """``docs`` with one row of each linked group: the one with the smallest key, of equal keys the smallest hash of the text.
+
+    All rows without a set stay (null, empty and wordless texts), those equal in key and text once. Columns pass through.
+    """
+    told = link(docs, key, text, **options)
+    lead = told.filter(F.col(key).eqNullSafe(F.col("component_id")))
+    kept = lead.groupBy(F.coalesce("group_id", "digest").alias("_g"), F.col(key).alias("_k")).agg(F.min("digest").alias("_d")).select("_k", "_d").distinct()
+    kept = written(kept, "kept").hint("merge")
+    named = docs.withColumn("_t", F.xxhash64(F.col(f"`{text}`")))
+    stay = named.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_d")))
+    return stay.dropDuplicates(["_k", "_d"]).select(*[F.col(f"`{c}`") for c in docs.columns])

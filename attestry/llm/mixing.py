@@ -12,7 +12,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -97,16 +97,16 @@ def landing(size: np.ndarray, chance: np.ndarray, want: float) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, block: int = 1000, sized: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: key, source, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, block: int = 1000) -> DataFrame:
+    """One row per row of ``docs``: key, source, ``digest`` (hash of the text), ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     ``size`` counts words (null and empty texts: 0; such texts are taken 0 times or more without effect). Reruns agree:
-    blocks and draws come from hashes, and rows that agree in key, source and size are exchangeable. A null key is a key
+    blocks and draws come from hashes, and rows that agree in key, source and text are exchangeable. A null key is a key
     like any other, null is a source of its own (last in order). An empty table gives an empty result. Other columns are
     not read. ``most`` times its size is the most that is taken of a text, since no ratio exceeds it.
     """
-    size = F.size(words(F.col(f"`{text}`"))) if sized is None else sized
-    rows = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size")), "sizes")
+    size = F.size(words(F.col(f"`{text}`")))
+    rows = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), size.cast("long").alias("size")), "sizes")
     sources = ranked_sources(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")))
     goal = written(targets(sources, weights, total, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     turn, settled = 0, []
 
     def fly(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "key"], kind="stable", na_position="first").reset_index(drop=True)
+        frame = frame.sort_values(["size", "digest", "key"], kind="stable", na_position="first").reset_index(drop=True)
         size, chance = frame["size"].to_numpy(float), frame["chance"].to_numpy(float)
         place, block_, last = int(frame["place"].iloc[0]), int(frame["block"].iloc[0]), bool(frame["last"].iloc[0])
         # Sizes are met in a mixed order, so that the three open texts differ.
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     while True:
         n_blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("long")
-        cut = now.withColumn("last", n_blocks == 1).withColumn("block", F.pmod(F.xxhash64("key", "size", F.lit(turn)), n_blocks)).drop("n")
+        cut = now.withColumn("last", n_blocks == 1).withColumn("block", F.pmod(F.xxhash64("key", "digest", F.lit(turn)), n_blocks)).drop("n")
         flown = written(cut.groupBy("place", "block").applyInPandas(fly, schema), "flown")
         open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
         settled.append(flown.filter(~open_))
@@ -141,4 +141,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     for more in settled[1:]:
         done = done.union(more)
     copies = (F.col("whole") + F.col("chance").cast("long")).alias("copies")
-    return done.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return done.select(F.col("key").alias(key), F.col("source").alias(source), "digest", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options: object) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its ``copies``; rows equal in key, source and text share theirs. Columns pass through."""
+    told = mix(docs, key, text, source, **options).groupBy(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("_n")).filter("_n > 0")
+    told = written(told, "copies").hint("merge")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_d"))
+    once = docs.join(told, same).dropDuplicates(["_k", "_s", "_d"])
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

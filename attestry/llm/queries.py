@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import jaccard_join, licenses, line_dedup, mixing, quality, toxicity, url_filters, vector_dedup
+from attestry.llm import jaccard_join, licenses, line_dedup, mixing, pieces, private_data, quality, toxicity, url_filters, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_embedding_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op4_private_data")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    told = private_data.find_private(table(spark, folder, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private_data.KINDS]
+    return told.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
+
+
+# Where the public tokenizers lie; their place is a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.encode(table(spark, folder, "documents"), PIECE_MODEL)
+    margin = (F.get("scores", F.lit(0)) - F.get("scores", F.lit(1))).alias("margin")
+    return found.select("doc_id", "n_pieces", "score", margin, F.xxhash64("ids").alias("ids_hash"), "decoded")
