@@ -116,12 +116,34 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
+def likely(rows: DataFrame, reps: DataFrame, log_bits: int = 26) -> DataFrame:
+    """Rows whose hash ``t`` may be among ``reps``: a Bloom filter of a fixed size (8 MB) spares most texts the shuffle.
+
+    The join that follows decides. With very many classes the filter fills up and lets more texts through, no fewer.
+    """
+    mask, t = (1 << log_bits) - 1, F.col("_t")
+    places = F.array(t.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(t, log_bits).bitwiseAND(F.lit(mask)))
+    words = reps.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    flags = np.zeros(1 << (log_bits - 6), np.int64)
+    flags[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = flags.view(np.uint64)
+        for batch in batches:
+            t = batch["t"].to_numpy(np.int64).view(np.uint64)
+            ok = np.ones(len(batch), bool)
+            for p in (t & np.uint64(mask), (t >> np.uint64(log_bits)) & np.uint64(mask)):
+                ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            yield batch[ok]
+
+    return rows.mapInPandas(some, rows.schema)
+
+
 def class_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """``x, n, s``: the whole sets of the classes in ``pairs``, cut anew from one text of each."""
     active = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).distinct()
     reps = written(classes.join(active, "x").select("x", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t")), "active")
-    # A merge join whatever the sizes: the same plan, and the same share of shuffle, at every scale.
-    texts = rows.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
+    texts = likely(rows, reps).join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
@@ -153,7 +175,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     bounds the list of frequent shingles that tasks receive (8 bytes each); whatever is not on it is handled exactly.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    hot = frequent_shingles(rows, size, 0.25, over, most)
+    # A little more than index prefixes reach: only what stands in the matrix can meet many classes.
+    hot = frequent_shingles(rows, size, 0.2, over, most)
     told = written(signatures(rows, hot, size, percent), "signatures")
     some = told.filter("n > 0")
     classes = written(some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.min("g").alias("g"), F.max("bits").alias("bits")), "classes")
@@ -161,8 +184,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
     first = some.filter("probe is not null")
     matrix = first.select("g", F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token")).distinct()
-    asked = first.select("x", F.ceil(F.col("n") / 20).cast("int").alias("ask"), F.explode("probe").alias("token"))
-    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").groupBy("x", "h", "ask").agg(F.count(F.lit(1)).alias("k")).filter("k >= ask")
+    asked = first.select("x", F.explode("probe").alias("token"))
+    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").groupBy("x", "h").agg(F.count(F.lit(1)).alias("k"))
+    met = met.join(classes.select("x", "n"), "x").filter(F.col("k") >= F.ceil(F.col("n") / 20))
     own = classes.select("x", F.col("g").alias("h"))
     found = met.select("x", "h").union(own).distinct().join(groups.withColumnRenamed("g", "h"), "h").filter("not (members = 1 and leader = x)")
     found = written(found, "candidates")
