@@ -28,6 +28,13 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def small(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.DataFrame]:
+    """Smaller batches: a text gives hundreds of hashes, and what goes out at once is held twice."""
+    for batch in batches:
+        for start in range(0, len(batch), most):
+            yield batch.iloc[start : start + most]
+
+
 def frequent_shingles(docs: DataFrame, size: int, share: float, over: int, most: int) -> np.ndarray:
     """Sorted hashes of shingles that stand among the first ``share`` of more than ``over`` texts, the ``most`` frequent ones.
 
@@ -35,8 +42,8 @@ def frequent_shingles(docs: DataFrame, size: int, share: float, over: int, most:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for batch in batches:
+        memo = WordHashes(200_000)
+        for batch in small(batches):
             sets = [shingles(t, memo, size) for t in batch["text"]]
             first = [s[: int(np.ceil(share * len(s))) + 1] for s in sets]
             tokens, n = np.unique(np.concatenate(first), return_counts=True) if first else (np.empty(0, np.uint64), np.empty(0, int))
@@ -75,9 +82,9 @@ def signatures(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Dat
     prefix, the length of its index prefix and its bit set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
+        memo = WordHashes(200_000)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch["text"]:
                 s = shingles(text, memo, size)
@@ -146,8 +153,8 @@ def class_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int)
     texts = likely(rows, reps).join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for batch in batches:
+        memo = WordHashes(200_000)
+        for batch in small(batches):
             sets = [shingles(t, memo, size).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"x": batch["x"].values, "n": np.array([len(s) for s in sets], np.int64), "s": sets})
 

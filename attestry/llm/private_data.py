@@ -73,14 +73,18 @@ def found(text: Column, pattern: str, hint: str, ok: Callable[[Column], Column]
     return F.when(F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]"), inner).otherwise(none)
 
 
+def named(kind: str) -> Column:
+    return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["left"].alias("left")))
+
+
 def contexts(left: Column, value: Column) -> Column:
     """Lexical patterns of an instance: the word before it, the two words before it, a key and a beginning inside it."""
     one = F.lower(F.regexp_extract(left, r"(\p{L}+)[^\p{L}]*$", 1))
     two = F.lower(F.regexp_extract(left, r"(\p{L}+[^\p{L}]+\p{L}+)[^\p{L}]*$", 1))
     key = F.lower(F.regexp_extract(value, r"^([A-Za-z_-]{2,32})=", 1))
     start = F.regexp_extract(value, r"^([A-Z]{3,8})(?=[A-Z0-9]*[0-9])", 1)
-    named = [F.when(c != "", F.concat(F.lit(f"{n}:"), c)) for n, c in (("before", one), ("two before", two), ("key", key), ("start", start))]
-    return F.array_compact(F.array(*named))
+    told = [F.when(c != "", F.concat(F.lit(f"{n}:"), c)) for n, c in (("before", one), ("two before", two), ("key", key), ("start", start))]
+    return F.array_compact(F.array(*told))
 
 
 def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 4, support: int = 5, confident: float = 0.6) -> DataFrame:
@@ -98,7 +102,7 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", round
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kinds = {"email": found(t, EMAIL, "@"), "ip": found(t, IP, ".", ip_ok), "card": found(t, CARD, "", card_ok), "phone": found(t, PHONE, "+", phone_ok)}
     first = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), *[c.alias(k) for k, c in kinds.items()], found(t, RUN, "").alias("run"))
-    merged = F.flatten(F.array(*[F.transform(F.col(k), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["left"].alias("left"))) for k in KINDS]))
+    merged = F.flatten(F.array(*[named(k) for k in KINDS]))
     told = written(first.select("key", "digest", merged.alias("base"), "run"), "spans")
 
     seeds = told.select("key", "digest", F.explode("base").alias("s")).select("key", "digest", "s.start", "s.end", F.lit(1.0).alias("score"), contexts(F.col("s.left"), F.lit("")).alias("at"))
