@@ -66,7 +66,7 @@ def construct_counts(blocks: DataFrame, doc: str, kinds: list[str]) -> DataFrame
     return blocks.groupBy(doc).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
 
 
-def section_path(blocks: DataFrame, doc: str, levels: int = 3) -> DataFrame:
+def section_path(blocks: DataFrame, doc: str, levels: int = 6) -> DataFrame:
     """Carry the heading outline to every block. Bounded by one document, which came from one row."""
     order = Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     level = F.when(F.col("kind") == "heading", F.substring("tag", 2, 1).cast("int"))
@@ -93,7 +93,7 @@ def page_tables(pages: DataFrame, doc: str, html: str) -> DataFrame:
 
     def span(cell: Column, name: str) -> Column:
         digits = F.regexp_extract(cell, rf"(?i)^<t[dh]\b[^>]*{name}=\"?([0-9]+)", 1)
-        return F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(1))
+        return F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(1))
 
     def cells(row: Column) -> Column:
         return F.transform(

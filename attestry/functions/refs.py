@@ -16,7 +16,7 @@ def ref_id(col: Column) -> Column:
 
 def ref_version(col: Column) -> Column:
     found = F.regexp_extract(F.trim(col), REF, 2)
-    return F.when(found != "", found.cast("int"))
+    return F.when(found != "", found.try_cast("int"))
 
 
 def canonical_ref(col: Column) -> Column:

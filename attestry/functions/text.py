@@ -56,14 +56,23 @@ FRONTMATTER = r"^---\n(?:[^\n]*\n)*?---\n"
 TABLE_ROW = r"(?m)^[ \t]*\|.*$"
 REFERENCES = r"(?s)(^|\n)#+ References.*$"
 NUMBER = r"(^|[^A-Za-z0-9_.])([0-9]+(?:[.,][0-9]+)*%?)"
+# The same for Spark: what has been taken is never given back, so a long list of numbers needs no depth.
+NUMBER_ONCE = NUMBER.replace(")*%?", ")*+%?")
 YEAR = r"^(19|20)[0-9][0-9]$"
 
 
+def without_frontmatter(col: Column) -> Column:
+    """The text after a metadata block at its start; without a closing line the text stays as it is."""
+    end = F.locate("\n---\n", col, 4)
+    return F.when(col.startswith("---\n") & (end > 0), col.substr(end + 5, F.length(col))).otherwise(col)
+
+
 def extract_numbers(col: Column) -> Column:
     """Distinct numbers of the running text; years, table rows, metadata and the reference list do not count."""
-    for region in (FRONTMATTER, REFERENCES, TABLE_ROW):
+    col = without_frontmatter(col)
+    for region in (REFERENCES, TABLE_ROW):
         col = F.regexp_replace(col, region, "")
-    found = F.regexp_extract_all(col, F.lit(NUMBER), F.lit(2))
+    found = F.regexp_extract_all(col, F.lit(NUMBER_ONCE), F.lit(2))
     return F.array_distinct(F.filter(found, lambda x: ~x.rlike(YEAR)))
 
 
@@ -85,15 +94,26 @@ def short_description(col: Column, limit: int = 220) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
 
 
-# A JSON object with up to three levels of nesting.
-JSON_OBJECT = r"(\{[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*\})"
 REFUSAL = r"(?i)\b(can't|cannot|can not|unable to) (help|assist)"
 
 
 def first_json(col: Column) -> Column:
-    """The first JSON object in a plain or fenced reply, or null."""
-    found = F.regexp_extract(col, JSON_OBJECT, 1)
-    return F.when(found != "", found)
+    """The JSON object that the first brace of a plain or fenced reply opens, of any depth, or null.
+
+    One pass over the signs keeps the depth, and knows strings and escapes; it ends at the brace that closes the first.
+    """
+    rest = F.when(F.contains(col, F.lit("{")), col.substr(F.locate("{", col), F.length(col)))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("text"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        inside, at = s["text"], s["at"] + 1
+        depth = s["depth"] + F.when(inside, 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        closed = (s["end"] == 0) & ~inside & (c == "}") & (depth == 0)
+        quoted = F.when((c == '"') & ~s["escaped"], ~inside).otherwise(inside)
+        return F.struct(at.alias("at"), depth.alias("depth"), quoted.alias("text"), (inside & (c == "\\") & ~s["escaped"]).alias("escaped"), F.when(closed, at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), start, step, lambda s: s["end"])
+    return F.when(end > 0, F.substring(rest, F.lit(1), end))
 
 
 def reply_status(col: Column, schema: str, required: str) -> Column:
@@ -103,6 +123,7 @@ def reply_status(col: Column, schema: str, required: str) -> Column:
     return (
         F.when(col.isNull() | (F.trim(col) == ""), "failed")
         .when(found.isNull() & col.rlike(REFUSAL), "refused")
+        .when(found.isNull(), "failed")
         .when(parsed[required].isNull(), "invalid")
         .otherwise("ok")
     )

@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEPARATOR = "\x1f"
+SEPARATOR, MARK = "\x1f", "\x1e"
 
 
 def row_digest(*cols: str | Column) -> Column:
-    """SHA-256 of the columns joined with a unit separator; nulls count as empty text."""
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    """SHA-256 of the columns joined with a unit separator.
+
+    Separators inside values are marked and a null has a mark of its own, so other values never give the same text.
+    """
+    kept = [F.replace((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(MARK), F.lit(MARK * 2)) for c in cols]
+    parts = [F.coalesce(F.replace(v, F.lit(SEPARATOR), F.lit(MARK + SEPARATOR)), F.lit(MARK + "0")) for v in kept]
     return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)
 
 

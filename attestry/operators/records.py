@@ -15,13 +15,15 @@ from attestry.session import written
 def disposition_state(findings: DataFrame, log: DataFrame, resolvable: DataFrame) -> DataFrame:
     """Last disposition per finding and whether it closes it.
 
-    ``findings(review, finding, severity)``, ``log(finding, disposition, ref, at, seq)``, ``resolvable(disposition, ref)``
-    lists references that exist for that kind of disposition. A finding without a resolving disposition is open.
+    ``findings(review, finding, severity)``, ``log(finding, disposition, ref, at, seq)``, ``resolvable(disposition, ref,
+    finding)`` lists references that exist for that kind of disposition; one that names a finding resolves only that one,
+    a null finding resolves any. A finding without a resolving disposition is open.
     """
     last = log.groupBy("finding").agg(F.max(F.struct("at", "seq", "disposition", "ref")).alias("l")).select("finding", "l.disposition", "l.ref")
-    ok = resolvable.select("disposition", "ref", F.lit(1).alias("_ok")).distinct()
-    joined = findings.join(last, "finding", "left").join(ok, ["disposition", "ref"], "left")
-    state = F.when(F.col("disposition").isNull(), "open").when(F.col("_ok").isNull(), "unresolved").otherwise("closed")
+    general = resolvable.filter("finding is null").select("disposition", "ref", F.lit(1).alias("_any")).distinct()
+    named = resolvable.filter("finding is not null").select("disposition", "ref", "finding", F.lit(1).alias("_own")).distinct()
+    joined = findings.join(last, "finding", "left").join(general, ["disposition", "ref"], "left").join(named, ["disposition", "ref", "finding"], "left")
+    state = F.when(F.col("disposition").isNull(), "open").when(F.coalesce("_any", "_own").isNull(), "unresolved").otherwise("closed")
     return joined.select("review", "finding", "severity", "disposition", state.alias("state"))
 
 
@@ -112,11 +114,13 @@ def by_status(claims: DataFrame, statuses: Sequence[str]) -> DataFrame:
 
     Long form on purpose: one status may hold a third of all claims, so no list is collected.
     """
-    spark = claims.sparkSession
-    sizes = claims.groupBy("claim_status").agg(F.count(F.lit(1)).alias("n"))
-    known = spark.createDataFrame([(s,) for s in statuses], "claim_status string")
-    frame = known.join(sizes, "claim_status", "left").select("claim_status", F.coalesce("n", F.lit(0)).alias("n"))
-    return frame.join(claims.select("claim_status", "id"), "claim_status", "left")
+    listed = claims.filter(F.col("claim_status").isin(*statuses))
+    # One entry per listed status: the sizes are a single value, and no join meets a status with most of the claims.
+    sizes = listed.groupBy("claim_status").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("claim_status", "n")))).scalar()
+    full = listed.select("claim_status", F.try_element_at(sizes, F.col("claim_status")).alias("n"), "id")
+    known = claims.sparkSession.createDataFrame([(s,) for s in statuses], "claim_status string")
+    empty = known.withColumn("n", F.coalesce(F.try_element_at(sizes, F.col("claim_status")), F.lit(0).cast("long"))).filter("n = 0")
+    return full.unionByName(empty.withColumn("id", F.lit(None).cast(claims.schema["id"].dataType)))
 
 
 def zero_filled(df: DataFrame, col: str, values: Sequence[str], what: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.operators.ordering import once, running, span_count, value_ranks
+from attestry.session import written
 
 Z95 = 1.959963984540054
 
@@ -325,7 +326,7 @@ def threshold_gates(df: DataFrame, criteria: Sequence[tuple[str, Column, float,
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Test of independence: statistic, degrees of freedom and p by the incomplete gamma series."""
+    """Test of independence: statistic, degrees of freedom and p."""
     table = confusion(df, a, b)
     rows = table.groupBy("a").agg(F.sum("n").alias("n_a"))
     cols = table.groupBy("b").agg(F.sum("n").alias("n_b"))
@@ -337,11 +338,20 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return g.withColumn("p", chi_square_tail(F.col("chi2"), F.col("df")))
 
 
-def chi_square_tail(x: Column, df: Column, terms: int = 400) -> Column:
-    """Upper tail of the chi-square distribution for moderate statistics."""
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """Upper tail of the chi-square distribution, by the regularised incomplete gamma function.
+
+    Below ``df / 2 + 1`` the lower part is summed as a series, above it the upper part is a continued fraction, taken from
+    its far end. In its own range each settles within a number of steps that grows with the square root of ``df``.
+    """
     h, k = x / 2, df / 2.0
-    series = F.aggregate(F.sequence(F.lit(0), F.lit(terms)), F.lit(0.0), lambda acc, i: acc + F.exp((k + i) * F.ln(h) - h - log_gamma(k + i + 1.0)))
-    return F.when(x <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - series))
+    steps = (F.lit(120) + 12 * F.sqrt(k)).cast("int")
+    scale = F.exp(k * F.ln(h) - h - log_gamma(k))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), steps), start, lambda acc, i: F.struct((acc["term"] * h / (k + i)).alias("term"), (acc["sum"] + acc["term"] * h / (k + i)).alias("sum")), lambda acc: acc["sum"])
+    fraction = F.aggregate(F.sequence(steps, F.lit(1), F.lit(-1)), h + 2 * steps + 1 - k, lambda acc, i: h + 2 * i - 1 - k + i * (k - i) / acc)
+    upper = F.when(h < k + 1, 1 - scale / k * series).otherwise(scale / fraction)
+    return F.when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), upper)))
 
 
 def paired_t(df: DataFrame, delta: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -374,18 +384,22 @@ def pair_wins(df: DataFrame, winner: str, loser: str) -> DataFrame:
     return df.filter(F.col(winner) != F.col(loser)).groupBy(F.col(winner).alias("winner"), F.col(loser).alias("loser")).agg(F.count(F.lit(1)).alias("wins"))
 
 
-def bradley_terry(wins: DataFrame, rounds: int, max_pairs: int = 100_000) -> DataFrame:
-    """Strengths from pair wins by minorise-maximise steps. The pair table is small by nature, which is checked."""
-    rows = wins.limit(max_pairs + 1).collect()
-    if len(rows) > max_pairs:
-        raise ValueError(f"more than {max_pairs} pairs")
-    names = sorted({r.winner for r in rows} | {r.loser for r in rows})
-    at = {n: i for i, n in enumerate(names)}
-    w = np.zeros((len(names), len(names)))
-    for r in rows:
-        w[at[r.winner], at[r.loser]] += r.wins
-    games, strength = w + w.T, np.ones(len(names))
-    for _ in range(rounds):
-        strength = w.sum(1) / (games / (strength[:, None] + strength[None, :])).sum(1)
-        strength = strength / strength.sum()
-    return wins.sparkSession.createDataFrame([(n, float(s)) for n, s in zip(names, strength)], "name string, strength double")
+def bradley_terry(wins: DataFrame, rounds: int, per_write: int = 3) -> DataFrame:
+    """Strengths from pair wins by minorise-maximise steps, each a join of the pair table with the strengths of both sides.
+
+    The strengths are written every ``per_write`` rounds, which bounds the plan.
+    """
+    ways = wins.select(F.col("winner").alias("name"), F.col("loser").alias("other"), F.col("wins").alias("won"), F.col("wins").alias("games"))
+    ways = ways.union(wins.select("loser", "winner", F.lit(0).cast("long"), "wins"))
+    games = written(ways.groupBy("name", "other").agg(F.sum("won").alias("won"), F.sum("games").alias("games")), "games")
+    strength = games.select("name").distinct().withColumn("strength", F.lit(1.0))
+    for n in range(1, rounds + 1):
+        both = games.join(strength, "name").join(strength.toDF("other", "theirs"), "other")
+        raw = both.groupBy("name").agg((F.sum("won") / F.sum(F.col("games") / (F.col("strength") + F.col("theirs")))).alias("strength"))
+        if n % per_write and n < rounds:
+            # The sum of strengths is free until a round that is written.
+            strength = raw
+        else:
+            raw = written(raw, "strengths")
+            strength = raw.withColumn("strength", F.col("strength") / raw.agg(F.sum("strength")).scalar())
+    return strength

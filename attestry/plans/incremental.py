@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import item_type
 from attestry.operators import digests
-from attestry.plans.agentlogs import FAMILIES, KIND_SQL
+from attestry.plans.agentlogs import FAMILIES, K_SQL, KIND_SQL
 from attestry.plans.catalogue import Tables, query
 from attestry.streaming import jobs
 
@@ -35,9 +35,11 @@ def _(t):
     return jobs.drain(s, "sessions").withColumns(ntz("started", "closed"))
 
 
-@query("stream_ttl_dedup", "M101")
+@query("stream_ttl_dedup", "M101", f"""
+with c as (select user_id, {K_SQL} as k, ts, event_id, ts - lag(ts) over (partition by user_id, {K_SQL} order by ts, event_id) as d from events)
+select user_id, k, ts, event_id from c where (d is null or d > interval 1 hour) and ts < (select max(ts) from events) - interval 1 day""")
 def _(t):
-    s = jobs.ttl_dedup(_events(t).select("user_id", "k", "ts", "event_id"), ["user_id", "k"], "ts", "1 hour")
+    s = jobs.ttl_dedup(_events(t).select("user_id", "k", "ts", "event_id"), ["user_id", "k"], "ts", "event_id", 3_600_000_000)
     return jobs.drain(s, "fresh").withColumns(ntz("ts"))
 
 

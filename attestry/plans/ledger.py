@@ -341,7 +341,7 @@ states as (select o_custkey as review, o_orderkey as finding, case when o_orderp
     case when l is null then 'open'
       when l[1] = 'accept' and l[2] in (select p_partkey from part where p_size > 10) then 'closed'
       when l[1] = 'reject' and l[2] in (select s_suppkey from supplier where s_acctbal > 0) then 'closed'
-      when l[1] = 'test' and l[2] in (select s_suppkey from supplier where s_nationkey > 5) then 'closed'
+      when l[1] = 'test' and exists (select 1 from lineitem x where x.l_suppkey = l[2] and x.l_orderkey + x.l_linenumber % 2 = o_orderkey) then 'closed'
       else 'unresolved' end as state
   from orders left join last on finding = o_orderkey)"""
 
@@ -357,9 +357,9 @@ def _states(t: Tables) -> DataFrame:
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )
     good = (
-        t.part.filter("p_size > 10").select(F.lit("accept").alias("disposition"), F.col("p_partkey").alias("ref"))
-        .unionByName(t.supplier.filter("s_acctbal > 0").select(F.lit("reject").alias("disposition"), F.col("s_suppkey").alias("ref")))
-        .unionByName(t.supplier.filter("s_nationkey > 5").select(F.lit("test").alias("disposition"), F.col("s_suppkey").alias("ref")))
+        t.part.filter("p_size > 10").select(F.lit("accept").alias("disposition"), F.col("p_partkey").alias("ref"), F.lit(None).cast("long").alias("finding"))
+        .unionByName(t.supplier.filter("s_acctbal > 0").select(F.lit("reject").alias("disposition"), F.col("s_suppkey").alias("ref"), F.lit(None).cast("long").alias("finding")))
+        .unionByName(t.lineitem.select(F.lit("test").alias("disposition"), F.col("l_suppkey").alias("ref"), (F.col("l_orderkey") + F.col("l_linenumber") % 2).alias("finding")))
     )
     return records.disposition_state(f, log, good)
 

@@ -141,9 +141,9 @@ def _(t):
 def _replies(t: Tables) -> DataFrame:
     reply = (
         F.when(F.col("event_type") == "error", F.lit("I can't help with this."))
-        .when(F.col("event_type") == "signup", F.lit(""))
-        .when(F.col("event_type") == "view", F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nor {\"k\": 1}")))
-        .when(F.col("event_type") == "click", F.concat(F.lit('{"z": '), "props", F.lit("}")))
+        .when(F.col("event_type") == "signup", F.when(F.col("value") > 50, "I read it.").otherwise(""))
+        .when(F.col("event_type") == "view", F.concat(F.lit('Sure:\n```json\n{"s": "}{\\"}", "d": {"a": {"b": {"c": {}}}}, "k": '), F.get_json_object("props", "$.k"), F.lit('}\n```\nor {"k": 1}')))
+        .when(F.col("event_type") == "click", F.concat(F.lit('{"z": {"y": {"x": '), "props", F.lit("}}}")))
         .otherwise(F.col("props"))
     )
     return t.events.select("event_id", reply.alias("reply"))
@@ -301,8 +301,10 @@ def _(t):
 
 
 @query("section_path", "A52", f"""
-with {BLOCKS_SQL} select page_id, ord, coalesce(last_value(case when tag = 'h1' then text end ignore nulls) over (partition by page_id order by ord), '') as section
-from shown""")
+with {BLOCKS_SQL}, heads as (select page_id, ord as at, substr(tag, 2)::int as level, text as head, lead(ord) over (partition by page_id, substr(tag, 2) order by ord) as next from shown where kind = 'heading'),
+up as (select s.page_id, s.ord, h.level, h.head from shown s join heads h on h.page_id = s.page_id and h.at <= s.ord and (h.next is null or h.next > s.ord)
+  where not exists (select 1 from heads x where x.page_id = s.page_id and x.level < h.level and x.at > h.at and x.at <= s.ord))
+select s.page_id, s.ord, coalesce(string_agg(head, ' / ' order by level), '') as section from shown s left join up using (page_id, ord) group by s.page_id, s.ord""")
 def _(t):
     return pages.section_path(_blocks(t), "page_id").select("page_id", "ord", "section")
 

@@ -6,12 +6,14 @@ Sinks and checkpoints live in the shared folder, so a lost executor or a restart
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from attestry.operators.records import upsert_decision
 from attestry.session import shared_folder
@@ -65,13 +67,42 @@ def idle_sessions(events: DataFrame, session: str, ts: str, gap: str, lateness:
     return g.select(session, F.col("w.start").alias("started"), F.col("w.end").alias("closed"), "events")
 
 
-def ttl_dedup(calls: DataFrame, key: Sequence[str], ts: str, ttl: str) -> DataFrame:
-    """Calls whose key was not seen within the ttl.
+def ttl_dedup(calls: DataFrame, key: Sequence[str], ts: str, tie: str, ttl_us: int, lateness: str = LATENESS) -> DataFrame:
+    """Calls (key, ``ts``, ``tie``) whose key was not called within the ttl before them: the rule of ``agentlogs.ttl_hits``.
 
-    A repeat inside the ttl never passes. After it, the key passes again once the watermark has gone by, that is in the
-    batch after the one that moved it; the batch form with exact expiry is ``agentlogs.ttl_hits``.
+    Calls may come out of order by ``lateness``. They wait in their key's state until the watermark has passed them and are
+    then judged in order of time, so the result does not depend on batches. A key's state ends once its last call is older
+    than the ttl and none waits.
     """
-    return calls.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(key))
+    names, kinds = [*key, ts, tie], {f.name: f.dataType for f in calls.schema.fields}
+    out = T.StructType([T.StructField(c, kinds[c]) for c in names])
+    state = T.StructType([T.StructField("last", T.LongType()), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(kinds[tie]))])
+
+    def step(own: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, at, ties = held.get if held.exists else (None, [], [])
+        waiting = list(zip(at, ties))
+        if not held.hasTimedOut:
+            for batch in batches:
+                waiting += zip(batch["_us"].tolist(), batch[tie].tolist())
+        mark = held.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        fresh = []
+        while waiting and waiting[0][0] < mark:
+            us, name = waiting.pop(0)
+            if last is None or us - last > ttl_us:
+                fresh.append((*own, us, name))
+            last = us
+        if waiting or (last is not None and last + ttl_us >= mark):
+            held.update((last, [a for a, _ in waiting], [b for _, b in waiting]))
+            held.setTimeoutTimestamp(max((waiting[0][0] if waiting else last + ttl_us) // 1000 + 1, mark // 1000 + 1))
+        elif held.exists:
+            held.remove()
+        frame = pd.DataFrame(fresh, columns=names)
+        frame[ts] = pd.to_datetime(frame[ts], unit="us")
+        yield frame
+
+    marked = calls.withWatermark(ts, lateness).withColumn("_us", F.unix_micros(F.col(ts)))
+    return marked.groupBy(*key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
 
 
 def constraint_registry(turns: DataFrame, session: str, text: str, is_constraint: Column) -> DataFrame:
