@@ -3,7 +3,7 @@
 Texts are sets of hashed shingles; texts with equal sets are one class. Classes fall into groups by their smallest
 shingle, so that near copies meet. The matrix holds, for each group, the union of its members' index prefixes; a class
 asks it with its probe prefix. Both follow one global order with frequent shingles last, and are so long that a pair at
-the threshold shares a twentieth of the class's shingles there: a group that holds fewer of them cannot hold a partner.
+the threshold shares a fortieth of the class's shingles there: a group that holds fewer of them cannot hold a partner.
 A group that qualifies is first compared by its leader. It is opened, member by member, only where a part of it is not
 yet connected with the asking class. Small bit sets, of which no pair at the threshold may differ too much, pass over
 most pairs; the rest are compared exactly on their sets.
@@ -56,7 +56,7 @@ def frequent_shingles(docs: DataFrame, size: int, share: float, over: int, most:
 
 def asked_overlap(n: int) -> int:
     """Shingles that a class of ``n`` must find in a group's part of the matrix."""
-    return -(-n // 20)
+    return -(-n // 40)
 
 
 def probe_length(n: int, percent: int) -> int:
@@ -65,7 +65,7 @@ def probe_length(n: int, percent: int) -> int:
 
 def index_length(n: int, percent: int) -> int:
     """Long enough for every asking class that is not smaller: it shares at least 2p / (1 + p) of this set, and is at most 1 / p as large."""
-    return min(n, n - -(-2 * percent * n // (100 + percent)) + -(-5 * n // percent))
+    return min(n, n - -(-2 * percent * n // (100 + percent)) + -(-5 * n // (2 * percent)))
 
 
 def bit_set(s: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     # A little more than index prefixes reach: only what stands in the matrix can meet many classes.
-    hot = frequent_shingles(rows, size, 0.2, over, most)
+    hot = frequent_shingles(rows, size, 0.17, over, most)
     told = written(signatures(rows, hot, size, percent), "signatures")
     some = told.filter("n > 0")
     classes = written(some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.min("g").alias("g"), F.max("bits").alias("bits")), "classes")
@@ -191,9 +191,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
     first = some.filter("probe is not null")
     matrix = first.select("g", F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token")).distinct()
-    asked = first.select("x", F.explode("probe").alias("token"))
-    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").groupBy("x", "h").agg(F.count(F.lit(1)).alias("k"))
-    met = met.join(classes.select("x", "n"), "x").filter(F.col("k") >= F.ceil(F.col("n") / 20))
+    asked = first.select("x", "g", F.explode("probe").alias("token"))
+    # A class's own group is a candidate anyway.
+    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").filter("h <> g").groupBy("x", "h").agg(F.count(F.lit(1)).alias("k"))
+    met = met.join(classes.select("x", "n"), "x").filter(F.col("k") >= F.ceil(F.col("n") / 40))
     own = classes.select("x", F.col("g").alias("h"))
     found = met.select("x", "h").union(own).distinct().join(groups.withColumnRenamed("g", "h"), "h").filter("not (members = 1 and leader = x)")
     found = written(found, "candidates")
