@@ -50,8 +50,8 @@ def frequent_shingles(docs: DataFrame, size: int, share: float, over: int, most:
             yield pd.DataFrame({"token": tokens.view(np.int64), "n": n.astype(np.int64)})
 
     counts = docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") > over).orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
+    rows = counts.filter(F.col("n") > over).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
+    return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
 def asked_overlap(n: int) -> int:
@@ -130,9 +130,9 @@ def likely(rows: DataFrame, reps: DataFrame, log_bits: int = 26) -> DataFrame:
     """
     mask, t = (1 << log_bits) - 1, F.col("_t")
     places = F.array(t.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(t, log_bits).bitwiseAND(F.lit(mask)))
-    words = reps.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    words = reps.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     flags = np.zeros(1 << (log_bits - 6), np.int64)
-    flags[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = flags.view(np.uint64)

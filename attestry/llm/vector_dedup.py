@@ -149,7 +149,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     classes = written(good.groupBy("c").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vectors")
     n = classes.count()
     part = F.pmod(F.xxhash64("c", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, n)) * (1 << 30))
-    sample = classes.filter(part).select("v").toPandas()["v"]  # bounded by sample_rows
+    sample = classes.filter(part).select("v").toArrow().column("v").to_pandas()  # bounded by sample_rows
     forest: dict[int, list[Tree]] = {}
     for d in sorted({len(a) for a in sample}):
         x = unit_rows(sample[[len(a) == d for a in sample]])
