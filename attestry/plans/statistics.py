@@ -63,7 +63,6 @@ def _(t):
     return st.fisher_exact(t.labels, F.col("quality") == 1, F.col("toxic") == 1)
 
 
-MW_SQL = """r as (select {g} as g, l_discount, (rank() over w + (rank() over w + count(*) over (partition by {g0} l_discount) - 1)) / 2.0 as rk from lineitem {f} window w as ({p} order by l_discount))"""
 
 
 def mw_sql(a: str, b: str, col: str = "l_returnflag", value: str = "l_extendedprice") -> str:
@@ -288,7 +287,6 @@ def _(t):
     return st.icc_1_1(t.lineitem, "l_orderkey", "l_quantity")
 
 
-PAIRS_SQL = """select o_orderpriority as winner, c_mktsegment as loser from orders join customer on c_custkey = o_custkey"""
 
 
 @query("pair_wins", "M122", """

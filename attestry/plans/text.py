@@ -82,7 +82,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.explode(text.extract_equations(_equation_text())).alias("equation"))
 
 
-TEX_SQL = r"""select l_orderkey as file, string_agg('Row ' || l_returnflag || l_linenumber || ' & ' || l_quantity::int || '.5 & \result{r' || l_suppkey || '/m/acc}{mean}{2} and x_' || l_linenumber || ' \cite{k' || l_partkey || ', m' || l_suppkey || '} % note ' || l_partkey, chr(10) order by l_partkey, l_suppkey, l_linenumber) as tex from lineitem group by 1"""
 
 
 def _tex_lines(t: Tables) -> DataFrame:
