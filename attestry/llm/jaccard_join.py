@@ -1,12 +1,14 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Texts are sets of hashed shingles; texts with equal sets are one class. Classes fall into groups by their smallest
-shingle, so that near copies meet. The matrix holds, for each group, the union of its members' index prefixes; a class
-asks it with its probe prefix. Both follow one global order with frequent shingles last, and are so long that a pair at
-the threshold shares a fortieth of the class's shingles there: a group that holds fewer of them cannot hold a partner.
-A group that qualifies is first compared by its leader. It is opened, member by member, only where a part of it is not
-yet connected with the asking class. Small bit sets, of which no pair at the threshold may differ too much, pass over
-most pairs; the rest are compared exactly on their sets.
+Texts are sets of hashed shingles; texts with equal sets are one class. Classes are first partitioned into groups of
+similar ones: each is compared with the leader of every bucket of equal minima it falls into, and what reaches the
+threshold is one group, connected already. The matrix holds, for each group, the union of its members' index prefixes; a
+class asks it with its probe prefix. Both follow one global order with frequent shingles last, and are so long that a
+pair at the threshold shares a fortieth of the class's shingles there: a group that holds fewer of them cannot hold a
+partner. A class never asks its own group, so a crowd of near copies costs no more than its size. A group that qualifies
+is first compared by its leader. It is opened, member by member, only where a part of it is not yet connected with the
+asking class. Small bit sets, of which no pair at the threshold may differ too much, pass over most pairs; the rest are
+compared exactly on their sets.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import WordHashes, components, mixed, shingles
@@ -77,8 +79,17 @@ def bit_set(s: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little").view(np.int64)
 
 
+# Odd multipliers give each minimum an order of its own.
+ORDERS = np.arange(1, 13, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+
+
+def minima(s: np.ndarray) -> np.ndarray:
+    """The smallest value of a set in each of the orders: near copies share most of them."""
+    return np.array([mixed(s * m).min() for m in ORDERS], np.uint64)
+
+
 def signatures(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per text: ``id, t`` (hash of the text), ``n``, the class ``x``, group ``g``, and at a class's first text in a task its probe
+    """Per text: ``id, t`` (hash of the text), ``n``, the class ``x``, and at a class's first text in a task its minima, probe
     prefix, the length of its index prefix and its bit set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,25 +103,28 @@ def signatures(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Dat
                     rows.append((0, None, None, None, 0, None))
                     continue
                 x = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
-                at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
-                often = hot[at] == s if len(hot) else np.zeros(len(s), bool)
-                rare = s[~often]
-                group = int((rare if len(rare) else s)[0].astype(np.int64))
                 if x in seen:
-                    rows.append((len(s), x, group, None, 0, None))
+                    rows.append((len(s), x, None, None, 0, None))
                     continue
                 seen.add(x)
+                at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
+                often = hot[at] == s if len(hot) else np.zeros(len(s), bool)
+                rare = s[~often]
                 probe = np.concatenate([rare, s[often]])[: probe_length(len(s), percent)]
-                rows.append((len(s), x, group, probe.view(np.int64), index_length(len(s), percent), bit_set(s)))
-            out = pd.DataFrame(rows, columns=["n", "x", "g", "probe", "short", "bits"])
-            for c in ("x", "g"):
-                out[c] = out[c].astype("Int64")
+                rows.append((len(s), x, minima(s).view(np.int64), probe.view(np.int64), index_length(len(s), percent), bit_set(s)))
+            out = pd.DataFrame(rows, columns=["n", "x", "keys", "probe", "short", "bits"])
+            out["x"] = out["x"].astype("Int64")
             out.insert(0, "id", batch["id"].values)
             out.insert(1, "t", batch["t"].values)
             yield out
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, t long, n long, x long, g long, probe array<long>, short int, bits array<long>")
+    return docs.mapInPandas(run, f"id {kind}, t long, n long, x long, keys array<long>, probe array<long>, short int, bits array<long>")
+
+
+def near(n: Column, m: Column, percent: int) -> Column:
+    """Sizes at which two sets may reach the threshold."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -167,6 +181,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def connected(pairs: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
+    """Components of the pairs that reach the threshold, together with those in ``labels``.
+
+    Sets travel first for one pair of each class, its smallest partner, then for pairs that these links leave apart: in a
+    crowd of near copies nearly all pairs join what is joined already.
+    """
+    chosen = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "chosen")
+    labels = joined(verified(chosen, sets, percent), labels)
+    rest = pairs.join(chosen, ["a", "b"], "left_anti")
+    for c in "ab":
+        rest = rest.join(labels.toDF(c, f"c{c}"), c, "left")
+    rest = written(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    return labels if rest.isEmpty() else joined(verified(rest, sets, percent), labels)
+
+
+def joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Components of links and of the components in ``labels``."""
+    return components(links if labels is None else links.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -186,32 +220,42 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     hot = frequent_shingles(rows, size, 0.17, over, most)
     told = written(signatures(rows, hot, size, percent), "signatures")
     some = told.filter("n > 0")
-    classes = written(some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.min("g").alias("g"), F.max("bits").alias("bits")), "classes")
-    groups = written(classes.groupBy("g").agg(F.min("x").alias("leader"), F.count(F.lit(1)).alias("members")), "groups")
-
-    first = some.filter("probe is not null")
-    matrix = first.select("g", F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token")).distinct()
-    asked = first.select("x", "g", F.explode("probe").alias("token"))
-    # A class's own group is a candidate anyway.
+    classes = some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.count("probe").alias("copies"), F.max("keys").alias("keys"), F.max("bits").alias("bits"))
+    classes = written(classes, "classes")
+
+    buckets = classes.select("x", "n", F.posexplode("keys").alias("i", "key"))
+    # Another leader in each order: a class that is too far from one may be near the next.
+    leads = buckets.groupBy("i", "key").agg(F.min(F.struct(F.xxhash64("x", "i").alias("o"), "x", "n")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    close = buckets.join(leads, ["i", "key"]).filter((F.col("x") != F.col("lead.x")) & near(F.col("n"), F.col("lead.n"), percent))
+    close = written(alike(close.select(*ordered("x", "lead.x")).distinct(), classes, percent), "close")
+    labels = connected(close, class_sets(rows, classes, close, size), percent)
+
+    # The smallest class of a group names and leads it. Classes that are alone, and stand in one task, need no distinct.
+    placed = written(classes.join(labels.toDF("x", "g"), "x", "left").select("x", "n", "copies", F.coalesce("g", "x").alias("g"), F.col("g").isNull().alias("alone")), "placed")
+    groups = written(placed.groupBy("g").agg(F.max(F.when(F.col("x") == F.col("g"), F.col("n"))).alias("nl"), F.count(F.lit(1)).alias("members")), "groups")
+    first = some.filter("probe is not null").select("x", "probe", "short").join(placed.filter("not alone or copies > 1").select("x", "g"), "x", "left")
+    lone, many = first.filter("g is null").withColumn("g", F.col("x")), first.filter("g is not null")
+    held = lambda d: d.select("g", F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token"))
+    asks = lambda d: d.select("x", "g", F.explode("probe").alias("token"))
+    matrix = held(lone).union(held(many).distinct())
+    asked = asks(lone).union(asks(many).distinct())
     met = asked.join(matrix.withColumnRenamed("g", "h"), "token").filter("h <> g").groupBy("x", "h").agg(F.count(F.lit(1)).alias("k"))
-    met = met.join(classes.select("x", "n"), "x").filter(F.col("k") >= F.ceil(F.col("n") / 40))
-    own = classes.select("x", F.col("g").alias("h"))
-    found = met.select("x", "h").union(own).distinct().join(groups.withColumnRenamed("g", "h"), "h").filter("not (members = 1 and leader = x)")
-    found = written(found, "candidates")
+    met = met.join(placed.select("x", "n"), "x").filter(F.col("k") >= F.ceil(F.col("n") / 40))
+    found = met.select("x", "h", "n").join(groups.withColumnRenamed("g", "h"), "h").withColumn("near", near(F.col("n"), F.col("nl"), percent))
+    found = written(found.filter("near or members > 1"), "candidates")
 
-    pairs = written(alike(found.filter("x <> leader").select(*ordered("x", "leader")).distinct(), classes, percent), "pairs")
-    labels = components(verified(pairs, class_sets(rows, classes, pairs, size), percent))
+    pairs = written(alike(found.filter("near").select(*ordered("x", "h")).distinct(), classes, percent), "pairs")
+    labels = connected(pairs, class_sets(rows, classes, pairs, size), percent, labels)
 
     # Groups of several members: the parts that their leaders have not connected with the asking class.
-    crowd = classes.select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("n").alias("ny")).join(groups.filter("members > 1").select(F.col("g").alias("h")), "h")
+    crowd = placed.filter("not alone").select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("n").alias("ny"))
     crowd = written(crowd.join(labels.toDF("y", "cy"), "y", "left").withColumn("cy", F.coalesce("cy", "y")), "crowd")
-    asking = written(found.filter("members > 1").select("x", "h").join(classes.select("x", "n"), "x").join(labels.toDF("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x")), "asking")
-    opened = asking.join(crowd, "h").filter((F.col("cx") != F.col("cy")) & (100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")))
+    asking = written(found.filter("members > 1").select("x", "h", "n").join(labels.toDF("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x")), "asking")
+    opened = asking.join(crowd, "h").filter((F.col("cx") != F.col("cy")) & near(F.col("n"), F.col("ny"), percent))
     more = alike(opened.select(*ordered("x", "y")).distinct(), classes, percent).join(pairs, ["a", "b"], "left_anti")
     more = written(more, "pairs")
     if not more.isEmpty():
-        links = verified(more, class_sets(rows, classes, more, size), percent)
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+        labels = joined(verified(more, class_sets(rows, classes, more, size), percent), labels)
 
     placed = classes.join(labels.toDF("x", "c"), "x", "left").select("x", "low", F.coalesce("c", "x").alias("c"))
     lowest = placed.groupBy("c").agg(F.min("low").alias("component_id"))
