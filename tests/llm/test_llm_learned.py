@@ -166,6 +166,28 @@ def test_toxicity_held_out_and_disguises(spark, toxic_corpus):
     assert all(by[i] < 0.1 for i in (6, 7, 8)), by
 
 
+@pytest.fixture(scope="module")
+def english_model(spark):
+    rnd = random.Random(12)
+    vocab = "the of and to in is it was for on that with this idea good thing will letter people house water small little made over our out day they have from one had word but not what all were when your can said there use each which she how their a a a an as at be by he if we i i you so up do no go me my".split()
+    rows = [(i, " ".join([rnd.choice(vocab) for _ in range(60)] + ([rnd.choice(["stupid", "idiot", "worthless"])] if i % 6 == 0 else []))) for i in range(900)]
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(900)], "doc_id long, toxic int"))
+
+
+def scores(spark, model, texts):
+    out = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    return {texts[r.doc_id]: r.score for r in out}
+
+
+def test_toxicity_spaces_in_the_lattice(spark, english_model):
+    bad = ["you i d i o t!", "what a s t u p i d idea", "s t u p 1 d", "you are s\tt\tu\tp\ti\td", "i\nd\ni\no\nt", "an  i  d  i  o  t", "stuupid", "he is a i d i o t, so we go", "$ t u p ! d", "st up id", "w-o r t h l e s s", "s t u p i d i d i o t", "so ss tt uu pp ii dd"]
+    by = scores(spark, english_model, bad)
+    assert all(v >= 0.7 for v in by.values()), by
+    fine = ["it is a good idea", "i am at it as he is so", "a b c d e f g", "1 2 3 4 5 a 6 7", "will all little people letter", "x " * 50_000, "- - - - a"]
+    by = scores(spark, english_model, fine)
+    assert all(v < 0.1 for v in by.values()), by
+
+
 def test_toxicity_without_labels_and_empty(spark, toxic_corpus):
     docs, labels, _ = toxic_corpus
     none = toxicity.fit(docs, labels.limit(0))
