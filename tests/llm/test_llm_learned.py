@@ -188,6 +188,16 @@ def test_toxicity_spaces_in_the_lattice(spark, english_model):
     assert all(v < 0.1 for v in by.values()), by
 
 
+def test_toxicity_tokens_of_any_length(spark, english_model):
+    rest = "the,people,in,this,house,have,water,from,over,there,and,they,will,not,go,out,"
+    bad = ["stu" + "u" * 100 + "pid", "i.d.i.o.t." * 10, rest + "1d10t," + rest, (rest + "stup1d").replace(",", "/"), "这个人" * 30 + "。s.t.u.p.i.d。" + "很好" * 20, "w0rthl3ss," * 5_000]
+    by = scores(spark, english_model, bad)
+    assert all(v >= 0.7 for v in by.values()), [(k[:40], v) for k, v in by.items()]
+    fine = [rest * 10, "/".join(["people.house", "w4ter"] * 50), "这个人" * 100 + "1", "a1" * 100_000, "x" * 100_000]
+    by = scores(spark, english_model, fine)
+    assert all(v < 0.1 for v in by.values()), [(k[:40], v) for k, v in by.items()]
+
+
 def test_toxicity_without_labels_and_empty(spark, toxic_corpus):
     docs, labels, _ = toxic_corpus
     none = toxicity.fit(docs, labels.limit(0))
