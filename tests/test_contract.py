@@ -1,6 +1,9 @@
 """The driver contract and the coverage of the inventory."""
 
 import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
@@ -28,3 +31,18 @@ def test_no_hint_no_cross_join_no_local_checkpoint():
         code = path.read_text()
         for word in ("crossJoin(", "broadcast(", "localCheckpoint(", ".toPandas("):
             assert word not in code, (path, word)
+
+
+def test_entry_without_the_optional_subpackage(folder):
+    skip = shutil.ignore_patterns("llm", "__pycache__")
+    shutil.copytree(ROOT / "attestry", f"{folder}/attestry", ignore=skip)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(ROOT / name, folder)
+    code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()), any(k[:2] == 'op' and k[2:3].isdigit() or k == 'pipeline' for k in e.queries()))"
+    for without in ([], ["corpus_pipeline.py"]):
+        for name in without:
+            Path(folder, name).unlink()
+        out = subprocess.run([sys.executable, "-I", "-c", code], cwd=folder, capture_output=True, text=True, timeout=300)
+        assert out.returncode == 0, out.stderr
+        n, known, own = out.stdout.split()
+        assert int(n) > 180 and known == "True" and own == "False"

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from attestry.operators import evaluation, retrieval, similarity, survival
+from attestry.operators import agentlogs, evaluation, retrieval, similarity, survival
 from attestry.streaming import jobs
 
 
@@ -130,13 +130,16 @@ def test_style_auc_tells_two_hands_apart(spark):
 
 
 def test_repeats_inside_the_ttl_are_suppressed(spark, folder):
-    rows = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:10:00", 2), ("b", "2024-01-01 00:20:00", 3), ("z", "2024-01-01 09:00:00", 4), ("y", "2024-01-01 09:10:00", 5), ("a", "2024-01-01 09:30:00", 6)]
+    rows = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:10:00", 2), ("b", "2024-01-01 00:20:00", 3), ("z", "2024-01-01 09:00:00", 4), ("a", "2024-01-01 09:30:00", 5), ("a", "2024-01-01 10:30:00", 6), ("z", "2024-01-01 10:00:01", 7), ("y", "2024-01-03 00:00:00", 8), ("y", "2024-01-03 00:01:00", 9)]
     df = spark.createDataFrame(rows, "k string, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
-    for i in range(1, 7):
+    for i in range(1, 10):
         df.filter(F.col("v") == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = jobs.read_stream(spark, f"{folder}/in", df, per_batch=1)
-    got = sorted(r.v for r in jobs.drain(jobs.ttl_dedup(stream, ["k"], "ts", "1 hour"), "ttl").collect())
-    assert got == [1, 3, 4, 5, 6]
+    stream = jobs.read_stream(spark, f"{folder}/in", df, per_batch=2)
+    got = sorted(r.v for r in jobs.drain(jobs.ttl_dedup(stream.select("k", "ts", "v"), ["k"], "ts", "v", 3_600_000_000), "ttl").collect())
+    batch = agentlogs.ttl_hits(df.withColumn("at", F.unix_micros("ts")), "k", "at", "v", 3_600_000_000, parts=2)
+    # One day of lateness behind the last call: the calls of the third of January still wait.
+    want = sorted(r.v for r in batch.filter("not hit and ts < timestamp'2024-01-02 00:01:00'").collect())
+    assert got == want == [1, 3, 4, 5, 7]
 
 
 def test_leaf_recall_counts_neighbours_in_the_own_leaf(spark):
