@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import jaccard_join, lexical_search, licenses, line_dedup, mixing, pieces, private_data, quality, toxicity, url_filters, vector_dedup
+from attestry.llm import alignment, jaccard_join, lexical_search, licenses, line_dedup, mixing, pieces, private_data, quality, toxicity, url_filters, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,6 +151,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 # Where the public tokenizers lie; their place is a parameter of the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 @query("op8_sentencepiece")
@@ -176,3 +177,9 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
 @query("op11_lexical_search", OP11_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    texts, _ = alignment.align(table(spark, folder, "documents"), BYTE_MODEL, PIECE_MODEL, digest=True)
+    return texts.withColumnRenamed("groups", "groups_sha256")

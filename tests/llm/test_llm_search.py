@@ -1,12 +1,13 @@
 """Lexical search, nearest neighbours and tokenizer alignment against brute force, and their edge cases."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
 
-from attestry.llm import lexical_search
+from attestry.llm import alignment, lexical_search
 
 
 def words(text):
@@ -79,3 +80,73 @@ def test_ball_trees_bound_every_row_and_leave_leaves_closed():
     opened = tree.search(queries, list(range(1600)), best, 5, np.ones(25, np.int64))
     assert opened < 0.5 * 25 * sum(1 for n in tree.nodes if not n[2])
     assert all([-b[0] for b in best[i]] == [s for s in sorted(scores[:, i])[::-1][:5] if s > 0] for i in range(25))
+
+
+# --- tokenizer alignment
+
+
+A, B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def aligned(texts):
+    """Groups and links token by token, counts over all pairs of occurrences."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    signs = {c: b for c, b in alignment.byte_alphabet().items()}
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    out, links = [], []
+    for text in texts:
+        if not text:
+            out.append((0, 0, 0, "")), links.append([])
+            continue
+        left = [(i, bytes(signs[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+        right = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
+        if not b"".join(x for _, x in left) == b"".join(x for _, x in right) == b" " + text.encode():
+            out.append((0, 0, 0, "")), links.append([])
+            continue
+        place = lambda side: [(i, sum(len(x) for _, x in side[:k]), sum(len(x) for _, x in side[: k + 1])) for k, (i, _) in enumerate(side)]
+        left, right = place(left), place(right)
+        both = sorted({e for *_, e in left} & {e for *_, e in right})
+        groups = [(",".join(str(i) for i, _, e in left if lo < e <= hi), ",".join(str(i) for i, _, e in right if lo < e <= hi)) for lo, hi in zip([0, *both], both)]
+        links.append([(i, j) for i, s, e in left for j, t, f in right if s < f and t < e])
+        out.append((len(left), len(right), len(groups), ";".join("|".join(g) for g in groups)))
+    count = Counter(p for own in links for p in own)
+    top = {}
+    for (_, j), n in count.items():
+        top[j] = max(top.get(j, 0), n)
+    return [(*o[:3], len(own), sum(count[p] == top[p[1]] for p in own), sum(count[p] for p in own), o[3]) for o, own in zip(out, links)], count
+
+
+def test_alignment_equals_all_token_pairs(spark):
+    rng = random.Random(4)
+    base = ["the stupidity of anticonstitutionalism", "ünïcödé — naïve façade", "<|endoftext|> and <s> </s> <unk>", "日本語のテキスト 👩‍👩‍👧 x", "  two  spaces\n\n\tand tabs ", "a", " ", "1234567890.55", "un▁der", "l'État s'est-il 'll 've"]
+    values = [(i, " ".join(rng.sample(base, rng.randrange(1, 4)))) for i in range(60)] + [(60, None), (61, ""), (62, "x" * 3000), (None, "a"), (7, "a"), (7, "a")]
+    want, count = aligned([t for _, t in values])
+    docs = spark.createDataFrame(values, "doc_id long, text string").selectExpr("*", "1 as n_a", "2 as spill", "'k' as key", "3 as part").repartition(3)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    for options in ({}, {"records": 300, "chars": 200, "fan": 2, "radix": 4, "most_bytes": 5_000}):
+        texts, pairs = alignment.align(docs, A, B, **options)
+        assert texts.columns == names
+        assert sorted(map(repr, texts.collect())) == sorted(repr(type(texts.head())(*names)(k, *w)) for (k, _), w in zip(values, want))
+        top = {j: max(n for (_, k), n in count.items() if k == j) for _, j in count}
+        assert sorted((r.a_id, r.b_id, r.n, r.best) for r in pairs.collect()) == sorted((i, j, n, n == top[j]) for (i, j), n in count.items())
+    hashed = {r.doc_id: r.groups for r in alignment.align(docs, A, B, digest=True)[0].filter("doc_id < 10").collect()}
+    assert hashed[3] == hashlib.sha256(want[3][-1].encode()).hexdigest()
+
+
+def test_alignment_of_an_empty_table(spark):
+    texts, pairs = alignment.align(spark.createDataFrame([], "doc_id long, text string"), A, B)
+    assert texts.count() == 0 and pairs.count() == 0
+
+
+def test_runs_merge_across_blocks():
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(0, 200_000, n)) for n in (1, 60_000, 90_000, 5)]
+    counts = [rng.integers(1, 9, len(k)) for k in keys]
+    got = [np.concatenate(x) for x in zip(*alignment.merged([alignment.packed(k, c) for k, c in zip(keys, counts)]))]
+    want = Counter()
+    for k, c in zip(keys, counts):
+        want.update(dict(zip(k.tolist(), c.tolist())))
+    assert dict(zip(got[0].tolist(), got[1].tolist())) == want and (np.diff(got[0]) > 0).all()
