@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import alignment, jaccard_join, lexical_search, licenses, line_dedup, mixing, pieces, private_data, quality, toxicity, url_filters, vector_dedup
+from attestry.llm import alignment, jaccard_join, lexical_search, licenses, line_dedup, mixing, nearest, pieces, private_data, quality, toxicity, url_filters, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,6 +179,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @query("op13_tokenizer_alignment")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     texts, _ = alignment.align(table(spark, folder, "documents"), BYTE_MODEL, PIECE_MODEL, digest=True)

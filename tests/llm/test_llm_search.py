@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from attestry.llm import alignment, lexical_search
+from attestry.llm import alignment, lexical_search, nearest
 
 
 def words(text):
@@ -150,3 +150,59 @@ def test_runs_merge_across_blocks():
     for k, c in zip(keys, counts):
         want.update(dict(zip(k.tolist(), c.tolist())))
     assert dict(zip(got[0].tolist(), got[1].tolist())) == want and (np.diff(got[0]) > 0).all()
+
+
+# --- nearest neighbours
+
+
+def nearest_rows(rows, queries, k):
+    """All inner products, the plain way; a query leaves one row equal to it out."""
+    good = [(i, v) for i, v in rows if v and any(v) and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, v in queries:
+        if (i, v) not in good:
+            continue
+        rest = list(good)
+        rest.remove((i, v))
+        scored = sorted((-float(np.dot(v, w)), j is None, j) for j, w in rest if len(w) == len(v))
+        out += [(i, r, j, round(-s, 9)) for r, (s, _, j) in enumerate(scored[:k], 1)]
+    return out
+
+
+def test_nearest_equals_all_products_where_nothing_may_be_missed(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-4, 5, 12)]) for i in range(300)]
+    rows = [(i, rows[0][1] if i % 4 == 0 else v) for i, v in rows]
+    rows += [(300, None), (301, []), (302, [0.0] * 12), (303, [1.0, None] + [0.5] * 10), (304, [float("nan")] + [1.0] * 11), (305, [float("inf")] + [1.0] * 11)]
+    rows += [(306, [1.0, 2.0, 3.0]), (307, [2.0, 2.0, 3.0]), (40, rows[0][1]), (41, rows[41][1]), (None, rows[41][1]), (308, [1e-3 * x for x in rows[5][1]]), (309, [1e3 * x for x in rows[6][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as key", "2 as v", "3 as q", "4 as list", "5 as rank").repartition(4)
+    queries = [(i, v) for i, v in rows if i is not None and i % 20 == 0 or i in (306, 309)]
+    for options in ({}, {"list_rows": 40, "chunk_rows": 16, "block": 4, "columns": 5, "first_lists": 1}):
+        got = nearest.search(df, df.filter("vec_id % 20 = 0 or vec_id in (306, 309)"), k=7, misses=0.0, risk=50.0, **options)
+        assert got.columns == ["query_id", "rank", "vec_id", "score"]
+        order = lambda rows: sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
+        assert order((*tuple(r)[:3], round(r.score, 9)) for r in got.collect()) == order(nearest_rows(rows, queries, 7))
+
+
+def test_nearest_recall_and_empty_tables(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 6000)] + 0.7 * rng.standard_normal((6000, 32))
+    x[::3] = centres[0] + 0.02 * rng.standard_normal((2000, 32))  # a third of all rows stands close together
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(df, df.filter("vec_id % 50 = 0"), list_rows=64).collect()
+    want = nearest_rows(rows, rows[::50], 20)
+    assert len(got) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
+    assert nearest.search(df.limit(0), df).count() == nearest.search(df, df.limit(0)).count() == 0
+
+
+def test_scan_abandons_most_pairs_early():
+    rng = np.random.default_rng(8)
+    x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
+    x[:20] = q + 0.1 * rng.standard_normal((20, 64))
+    cut = lambda m: [m[:, c : c + 16] for c in range(0, 64, 16)]
+    at_q, at_x, done = nearest.scan(cut(x), (x**2).sum(1), cut(q), (q**2).sum(1), np.full(20, 40.0), 1.3)
+    assert {(i, i) for i in range(20)} <= set(zip(at_q.tolist(), at_x.tolist()))
+    assert len(at_q) < 200 and done < 0.7 * 20 * 2000 * 64
