@@ -150,30 +150,19 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         own_lists = known.setdefault(r.dim, Lists(np.zeros((1, r.dim)), np.zeros(1), np.zeros(1)))
         own_lists.sizes[r.list], own_lists.spreads[r.list] = r.n, math.sqrt(r.apart / r.dim)
 
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(some: list[tuple]) -> pa.RecordBatch:
-            d, where = some[0][2:4]
-            x = np.array([s[0] for s in some], np.float64)
-            turned = ((x / scale) @ rotation(d, seed)).astype(np.float32)
-            cut = b"".join(np.ascontiguousarray(turned[:, c : c + columns]).tobytes() for c in range(0, d, columns))
-            values = [pa.array([d], pa.int32()), pa.array([where], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([cut]), pa.array([x.tobytes()]), pa.array([[s[1] for s in some]], pa.list_(keys_type))]
-            return pa.RecordBatch.from_arrays(values, names=["dim", "list", "n", "turned", "original", "keys"])
-
-        held: list[tuple] = []
-        keys_type = None
-        for batch in batches:
-            keys_type = batch.schema.field("keys").type
-            for row in zip(*[batch.column(c).to_pylist() for c in ("v", "keys", "dim", "list")]):
-                if held and (row[2:] != held[0][2:] or len(held) >= chunk_rows):
-                    yield made(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield made(held)
-
-    # Ranges part a list that is larger than its share; a list's rows stay together in the order of a hash.
-    ordered = placed.repartitionByRange("dim", "list", F.xxhash64("v")).sortWithinPartitions("dim", "list")
-    chunks = ordered.select("v", "keys", "dim", "list").mapInArrow(chunked, f"dim int, list int, n int, turned binary, original binary, keys array<array<{key_kind}>>")
+    def chunk(group: pa.Table) -> pa.Table:
+        d, where = group.column("dim")[0].as_py(), group.column("list")[0].as_py()
+        x = np.array(group.column("v").to_pylist(), np.float64)
+        turned = ((x / scale) @ rotation(d, seed)).astype(np.float32)
+        cut = b"".join(np.ascontiguousarray(turned[:, c : c + columns]).tobytes() for c in range(0, d, columns))
+        keys = group.column("keys").combine_chunks()
+        values = [pa.array([d], pa.int32()), pa.array([where], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([cut]), pa.array([x.tobytes()]), pa.array([keys.to_pylist()], pa.list_(keys.type))]
+        return pa.table(values, names=["dim", "list", "n", "turned", "original", "keys"])
+
+    # A list larger than a chunk is dealt into lots by a hash, so that no group grows with its list.
+    parts = placed.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("lots"))
+    lots = placed.join(parts, ["dim", "list"]).withColumn("lot", F.pmod(F.xxhash64("v", F.lit(seed)), "lots"))
+    chunks = lots.groupBy("dim", "list", "lot").applyInArrow(chunk, f"dim int, list int, n int, turned binary, original binary, keys array<array<{key_kind}>>")
     chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
     def probe(first: bool):
