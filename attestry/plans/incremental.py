@@ -43,9 +43,16 @@ def _(t):
     return jobs.drain(s, "fresh").withColumns(ntz("ts"))
 
 
-@query("stream_registry", "M102", f"select distinct conv_id, text from conversations where role = 'user' and {KIND_SQL} = 'constraint'")
+@query("stream_registry", "M102", f"""
+with c as (select *, conv_id * 3600 + turn * 240 as ts from conversations where role = 'user'), e as (select max(ts) - 86400 as mark from c),
+l as (select *, ts - lag(ts) over (partition by conv_id order by ts) > 600 as cut from c), s as (select *, sum(coalesce(cut, false)::int) over (partition by conv_id order by ts) as part from l),
+f as (select conv_id, part, text, min(turn) as turn from s where {KIND_SQL} = 'constraint' and ts < (select mark from e) group by all)
+select conv_id, turn, row_number() over (partition by conv_id, part order by turn, text) as number, text from f""")
 def _(t):
-    s = jobs.constraint_registry(_stream(t, "conversations"), "conv_id", "text", item_type(F.col("text"), FAMILIES) == "constraint")
+    own = Tables(jobs.with_timers(t.spark), t.folder)
+    # The table has no times: conversations begin an hour apart from the second day on, turns follow every four minutes. A pause over ten minutes ends a registry.
+    turns = _stream(own, "conversations").withColumn("at", F.timestamp_seconds(F.lit(86_400) + F.col("conv_id") * 3600 + F.col("turn") * 240))
+    s = jobs.constraint_registry(turns, "conv_id", "at", "turn", "text", item_type(F.col("text"), FAMILIES) == "constraint", idle="10 minutes")
     return jobs.drain(s, "registry")
 
 

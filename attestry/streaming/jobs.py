@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from attestry.operators.records import upsert_decision
 from attestry.session import shared_folder
@@ -105,13 +106,88 @@ def ttl_dedup(calls: DataFrame, key: Sequence[str], ts: str, tie: str, ttl_us: i
     return marked.groupBy(*key).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
 
 
-def constraint_registry(turns: DataFrame, session: str, text: str, is_constraint: Column) -> DataFrame:
-    """New constraints per session as user turns arrive.
-
-    State is keyed by session and text together, so a session with a third of all turns is spread over the state stores.
+class Registry(StatefulProcessor):
+    """The constraints of one session: turns wait until the watermark has passed them and are then read in order of time."""
+
+    NAMES = ["_key", "_turn", "_number", "_text"]
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "text string", "number int")
+        self.waiting = handle.getListState("waiting", "at long, turn long, text string")
+        self.last = handle.getValueState("last", "at long, number int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList(list(zip(batch["its_ms"].tolist(), batch["its_turn"].tolist(), batch["its_text"].tolist())))
+                first = min(batch["its_ms"].min(), first if first is not None else batch["its_ms"].min())
+        if first is not None:
+            self.handle.registerTimer(max(int(first), timerValues.getCurrentWatermarkInMs()) + 1)
+        yield pd.DataFrame(columns=self.NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        turns = sorted(self.waiting.get()) if self.waiting.exists() else []
+        last, number = self.last.get() if self.last.exists() else (None, 0)
+        fresh, left = [], [t for t in turns if t[0] >= mark]
+        for at, turn, text in turns[: len(turns) - len(left)]:
+            if last is not None and at - last > self.idle_ms:
+                self.known.clear()
+                number = 0
+            last = at
+            if text is not None and not self.known.containsKey((text,)):
+                number += 1
+                self.known.updateValue((text,), (number,))
+                fresh.append((*key, turn, number, text))
+        if len(left) < len(turns):
+            self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+        if left:
+            self.last.update((last, number)) if last is not None else None
+            self.handle.registerTimer(left[0][0] + 1)
+        elif last is not None and last + self.idle_ms >= mark:
+            self.last.update((last, number))
+            self.handle.registerTimer(last + self.idle_ms + 1)
+        else:
+            self.known.clear()
+            self.last.clear()
+        yield pd.DataFrame(fresh, columns=self.NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def with_timers(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that states with timers need; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if value := spark.conf.get(name, None):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def constraint_registry(turns: DataFrame, session: str, at: str, turn: str, text: str, is_constraint: Column, idle: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
+    """Each session's registry as it grows: ``(session, turn, number, text)`` for every user turn that states something new.
+
+    ``number`` is the constraint's place in the registry. A session is over once none of its user turns came for ``idle``;
+    a later turn begins a new registry. Turns may come out of order by ``lateness`` and are read once the watermark has
+    passed them, so the rows do not depend on batches. State per session is the registry and the turns that wait; a timer
+    ends it with the session. The stream needs a state store with timers (``with_timers``).
     """
-    fresh = turns.filter((F.col("role") == "user") & is_constraint)
-    return fresh.select(session, text).dropDuplicates([session, text])
+    idle_ms = int(pd.Timedelta(idle) / pd.Timedelta("1ms"))
+    fresh = turns.filter(F.col("role") == "user").withWatermark(at, lateness)
+    rows = fresh.select(session, at, F.unix_millis(at).alias("its_ms"), F.col(turn).alias("its_turn"), F.when(is_constraint, F.col(text)).alias("its_text"))  # this interface renames columns with a leading underscore
+    kinds = {f.name: f.dataType for f in turns.schema.fields}
+    out = T.StructType([T.StructField("_key", kinds[session]), T.StructField("_turn", kinds[turn]), T.StructField("_number", T.IntegerType()), T.StructField("_text", T.StringType())])
+    found = rows.groupBy(session).transformWithStateInPandas(Registry(idle_ms), out, outputMode="Append", timeMode="EventTime")
+    return found.select(F.col("_key").alias(session), F.col("_turn").alias(turn), F.col("_number").alias("number"), F.col("_text").alias(text))
 
 
 def weekly_drift(events: DataFrame, key: str, ts: str, value: str, low: float, high: float, width: str = "7 days", lateness: str = LATENESS) -> DataFrame:

@@ -155,3 +155,28 @@ def test_as_of_close_is_strictly_after(spark):
     runs = spark.createDataFrame([("k", 7, 10), ("k", 8, 15), ("k", 9, 15), ("j", 6, 5)], "key string, id long, at long")
     got = {r.review: r.run for r in records.closes_after(reviews, runs, "key", parts=3).collect()}
     assert got == {1: 8, 2: None, 3: None}
+
+
+def test_registry_grows_by_turn_and_ends_with_its_session(spark, folder):
+    own = jobs.with_timers(spark)
+    hour = lambda h, m=0: 1_700_000_000 + 3600 * h + 60 * m
+    batches = [
+        [("a", hour(0), 1, "user", "keep x"), ("a", hour(0, 4), 2, "user", "keep y"), ("a", hour(0, 2), 2, "assistant", "keep z"), ("b", hour(0, 1), 1, "user", "hello")],
+        [("a", hour(0, 9), 3, "user", "keep x"), ("a", hour(0, 3), 2, "user", "keep w"), ("b", hour(0, 5), 2, "user", "keep x"), ("b", hour(0, 6), 3, "user", None)],  # late but inside the watermark
+        [("a", hour(1), 4, "user", "keep x")],  # a new session of the same name
+        [("z", hour(30), 1, "user", "keep last")],
+        [("z", hour(60), 1, "user", "hello")],
+    ]
+    schema = "s string, sec long, turn long, role string, text string"
+    for rows in batches:
+        own.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("sec")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    like = own.createDataFrame([], schema).withColumn("at", F.timestamp_seconds("sec"))
+    stream = jobs.constraint_registry(jobs.read_stream(own, f"{folder}/in", like, per_batch=1), "s", "at", "turn", "text", F.col("text").startswith("keep"), idle="30 minutes")
+    out, q = f"{folder}/out", None
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", out).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.s, r.turn, r.number, r.text) for r in own.read.parquet(out).collect())
+    assert got == [("a", 1, 1, "keep x"), ("a", 2, 2, "keep w"), ("a", 2, 3, "keep y"), ("a", 4, 1, "keep x"), ("b", 2, 1, "keep x"), ("z", 1, 1, "keep last")]
+    # Of all sessions only the last one still has a turn that waits; registries and times of the others are gone.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    assert q.recentProgress and spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
