@@ -221,6 +221,49 @@ def cluster_bootstrap(clusters: DataFrame, cluster: str, top: str, bottom: str,
     return stats.groupBy(*keys).agg(F.median("s").alias("median"), F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
 
 
+def _stratum(strata: Sequence[str]) -> Column:
+    """One text per stratum; a null is a stratum of its own."""
+    return F.concat_ws(":", F.lit(""), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in strata])
+
+
+def resampled(clusters: DataFrame, cluster: str, draws: int, seed: str, strata: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Exact draws with replacement inside strata: ``(_stratum, cluster, draw, weight)`` for what each draw holds.
+
+    In every draw each stratum is as large as it is. Slot ``i`` of a stratum takes the cluster whose number is a digest of
+    seed, stratum, slot and draw, so a draw needs no shared state; one row per cluster and draw is shuffled, never a
+    cluster's own rows. Four draws share one digest. Null clusters are left out.
+    """
+    named = once(clusters.filter(F.col(cluster).isNotNull()).select(_stratum(strata).alias("_stratum"), cluster).distinct())
+    numbered = once(running(named, ["_stratum"], [cluster], number="_i", size="_n", parts=parts))
+    digest = F.sha2(F.concat(F.lit(seed), "_stratum", F.lit(":"), F.col("_i").cast("string"), F.lit(":"), F.col("_block").cast("string")), 256)
+    slots = numbered.repartition(span_count(numbered, None), "_stratum", cluster).select("_stratum", "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))).alias("_block"))
+    picks = slots.withColumn("_d", digest).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    number = F.conv(F.substring("_d", F.col("_j") * 13 + 1, F.lit(13)), 16, 10).cast("long")
+    taken = picks.select("_stratum", (F.col("_block") * 4 + F.col("_j")).alias("draw"), (number % F.col("_n") + 1).alias("_i")).filter(F.col("draw") < draws)
+    weights = taken.groupBy("_stratum", "draw", "_i").agg(F.count(F.lit(1)).alias("weight"))
+    return weights.join(numbered.select("_stratum", "_i", cluster), ["_stratum", "_i"]).select("_stratum", cluster, "draw", "weight")
+
+
+def with_weights(rows: DataFrame, weights: DataFrame, strata: Sequence[str], cluster: str) -> DataFrame:
+    """``rows`` once per draw that holds their cluster, with ``draw`` and ``weight``."""
+    return rows.withColumn("_stratum", _stratum(strata)).join(weights, ["_stratum", cluster]).drop("_stratum")
+
+
+def resampled_ratios(rows: DataFrame, cluster: str, measures: Mapping[str, tuple[str, str]], draws: int, seed: str, strata: Sequence[str] = (), pairs: Sequence[tuple[str, str]] = (), parts: int | None = None) -> DataFrame:
+    """Intervals ``(statistic, median, low, high, excludes_zero)`` of sum(top) / sum(bottom) per measure, and of differences of ``pairs``.
+
+    ``rows`` holds one row per cluster. All measures of a draw see the same clusters, so a difference is paired by cluster.
+    """
+    drawn = with_weights(rows, resampled(rows, cluster, draws, seed, strata, parts), strata, cluster)
+    ratio = {n: F.sum(F.col(a) * F.col("weight")) / F.sum(F.col(b) * F.col("weight")) for n, (a, b) in measures.items()}
+    sums = drawn.groupBy("draw").agg(*[r.alias(f"_m{i}") for i, r in enumerate(ratio.values())])
+    at = {n: F.col(f"_m{i}") for i, n in enumerate(measures)}
+    every = at | {f"{a} - {b}": at[a] - at[b] for a, b in pairs}
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), v.cast("double").alias("v")) for n, v in every.items()])).alias("r")).select("r.*")
+    out = long.groupBy("statistic").agg(F.median("v").alias("median"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+    return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 def confusion(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
 

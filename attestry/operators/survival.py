@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.ordering import exact_quantiles, once, running
+from attestry.operators.statistics import resampled, with_weights
 
 
 def rule_key(col: Column) -> Column:
@@ -144,6 +146,37 @@ def smoothed_hazard(table: DataFrame, bandwidth: float = 2.0, upto: int = 50) ->
     return g.filter("events >= 1")
 
 
+def hazard_draws(spells: DataFrame, age: str, event: Column, repo: str, draws: int, seed: str, strata: Sequence[str] = (), bandwidth: float = 2.0, upto: int = 50, parts: int | None = None) -> DataFrame:
+    """Smoothed hazard ``(draw, point, rate, events)`` in every bootstrap draw of whole repositories inside strata.
+
+    Weights meet the counts of a repository's exits per age, so a draw never meets a spell: rows are repository by age by
+    draw, and from the first sum on draw by age. Ages beyond reach of the last point only add to the risk set.
+    """
+    top = upto + math.ceil(bandwidth)
+    seen = F.least(F.col(age), F.lit(top))
+    counts = once(spells.groupBy(*strata, repo, seen.alias("age")).agg(F.count(F.lit(1)).alias("out"), F.count_if(event & (F.col(age) < top)).alias("events")))
+    drawn = with_weights(counts, resampled(counts, repo, draws, seed, strata, parts), strata, repo)
+    sums = drawn.groupBy("draw", "age").agg(F.sum(F.col("weight") * F.col("out")).alias("out"), F.sum(F.col("weight") * F.col("events")).alias("events"))
+    # At most ``top`` rows per draw from here on.
+    older = Window.partitionBy("draw").orderBy(F.desc("age"))
+    hazard = sums.withColumn("hazard", F.col("events") / F.sum("out").over(older)).filter(F.col("age") < top)
+    near = hazard.withColumn("point", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("age") - bandwidth)), F.least(F.lit(upto), F.ceil(F.col("age") + bandwidth)))))
+    u = (F.col("point") - F.col("age")) / bandwidth
+    rates = near.filter(F.abs(u) < 1).groupBy("draw", "point").agg(F.sum(0.75 * (1 - u * u) * F.col("hazard") / bandwidth).alias("rate"), F.sum("events").alias("events"))
+    return rates.filter("events >= 1")
+
+
+def hazard_bands(rates: DataFrame) -> DataFrame:
+    """Median and 2.5 / 97.5 percentiles of the rate per age over the draws."""
+    return rates.groupBy("point").agg(F.count(F.lit(1)).alias("draws"), F.median("rate").alias("median"), F.percentile("rate", 0.025).alias("low"), F.percentile("rate", 0.975).alias("high"))
+
+
+def hazard_slope(rates: DataFrame) -> DataFrame:
+    """Interval of the slope of the log rate over age."""
+    slopes = rates.filter("rate > 0").groupBy("draw").agg(F.regr_slope(F.ln("rate"), F.col("point").cast("double")).alias("slope"))
+    return slopes.agg(F.count("slope").alias("draws"), F.median("slope").alias("median"), F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
+
+
 def risk_table(spells: DataFrame, age: str, event: Column, covariates: Sequence[str], upto: int = 50) -> DataFrame:
     """Person-time and events per age interval and covariates, cut off at ``upto``."""
     each = spells.withColumn("_event", event).select(*covariates, age, "_event", F.explode(F.sequence(F.lit(1), F.least(F.col(age), F.lit(upto)))).alias("interval"))

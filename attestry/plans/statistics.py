@@ -141,6 +141,40 @@ def _(t):
     return st.cluster_bootstrap(clusters, "l_orderkey", "top", "bottom", 200, "b", ["l_linestatus"])
 
 
+def resampled_sql(clusters: str, key: str, draws: int, seed: str, stratum: str) -> str:
+    """CTEs up to ``weights(stratum, key, draw, weight)`` over ``clusters``, whose strata are texts."""
+    return f"""numbered as (select {stratum} as s, {key}, row_number() over (partition by {stratum} order by {key}) as i, count(*) over (partition by {stratum}) as n from (select distinct {stratum}, {key} from {clusters}) where {key} is not null),
+taken as (select s, b, ('0x' || substr(sha256('{seed}' || s || ':' || i || ':' || (b // 4)), (b % 4) * 13 + 1, 13))::ubigint % n + 1 as i from numbered, range({draws}) r(b)),
+weights as (select s as stratum, {key}, b as draw, w as weight from (select s, b, i, count(*) as w from taken group by all) join numbered using (s, i))"""
+
+
+STATISTIC_SQL = """stats as (select statistic, v from {ratios}) select statistic, round(median(v), 6) as median, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high,
+  (quantile_cont(v, 0.025) > 0 or quantile_cont(v, 0.975) < 0)::int::bigint as excludes_zero from stats group by 1"""
+SUPPLIERS_SQL = "c as (select ':' || s_nationkey as s, l_suppkey, count(*) filter (l_returnflag = 'R') as returned, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey group by all)"
+
+
+@query("stratified_bootstrap", "M88", f"""
+with {SUPPLIERS_SQL}, {resampled_sql("c", "l_suppkey", 120, "s", "s")},
+d as (select draw, sum(weight * returned) / sum(weight * n) as v from c join weights w on w.stratum = c.s and w.l_suppkey = c.l_suppkey group by 1),
+{STATISTIC_SQL.format(ratios="(select 'returned' as statistic, v from d)")}""")
+def _(t):
+    rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).groupBy("s_nationkey", "l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count(F.lit(1)).alias("n"))
+    return st.resampled_ratios(rows, "l_suppkey", {"returned": ("returned", "n")}, 120, "s", ["s_nationkey"])
+
+
+PAIRED_SQL = "c as (select '' as s, l_partkey, count(*) filter (l_linestatus = 'O' and l_returnflag = 'N') as top_o, count(*) filter (l_linestatus = 'O') as n_o, count(*) filter (l_linestatus = 'F' and l_returnflag = 'N') as top_f, count(*) filter (l_linestatus = 'F') as n_f from lineitem group by l_partkey)"
+
+
+@query("paired_bootstrap", "M88", f"""
+with {PAIRED_SQL}, {resampled_sql("c", "l_partkey", 80, "p", "s")},
+d as (select draw, sum(weight * top_o) / sum(weight * n_o) as o, sum(weight * top_f) / sum(weight * n_f) as f from c join weights w using (l_partkey) group by 1),
+{STATISTIC_SQL.format(ratios="(select 'open' as statistic, o as v from d union all select 'filled', f from d union all select 'open - filled', o - f from d)")}""")
+def _(t):
+    is_n = F.col("l_returnflag") == "N"
+    rows = t.lineitem.groupBy("l_partkey").agg(*[F.count_if(c & (F.col("l_linestatus") == x)).alias(f"{n}_{x.lower()}") for x in "OF" for n, c in (("top", is_n), ("n", F.lit(True)))])
+    return st.resampled_ratios(rows, "l_partkey", {"open": ("top_o", "n_o"), "filled": ("top_f", "n_f")}, 80, "p", pairs=[("open", "filled")])
+
+
 @query("cohen_kappa", "M91", """
 with n as (select count(*)::double as n from labels), o as (select count(*) filter (quality = 1 - toxic) / (select n from n) as po from labels),
 e as (select (sum(quality)::double * sum(1 - toxic) + sum(1 - quality)::double * sum(toxic)) / ((select n from n) * (select n from n)) as pe from labels)

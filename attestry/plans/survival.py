@@ -9,6 +9,7 @@ from attestry.operators import survival as sv
 from attestry.operators.agentlogs import segment_instructions
 from attestry.plans.agentlogs import SEGMENT_SQL
 from attestry.plans.catalogue import Tables, query
+from attestry.plans.statistics import resampled_sql
 
 PRESENCE_SQL = """days as (select user_id, day, row_number() over (partition by user_id order by day) as version from (select distinct user_id, date_trunc('day', ts)::date as day from events)),
 pres as (select distinct e.user_id, e.event_type, d.version from events e join days d on d.user_id = e.user_id and d.day = date_trunc('day', e.ts)::date),
@@ -103,6 +104,29 @@ def _(t):
     return sv.smoothed_hazard(sv.nelson_aalen(_spells(t), "age", F.col("exit_kind") == "deleted"))
 
 
+BAND_SQL = f"""{PRESENCE_SQL}, c as (select ':' || user_id % 5 as s, user_id, least(age, 52) as age, count(*) as o, count(*) filter (exit_kind = 'deleted' and age < 52) as events from spells group by all),
+{resampled_sql("c", "user_id", 60, "h", "s")},
+sums as (select draw, age, sum(weight * o) as o, sum(weight * events) as events from c join weights w on w.stratum = c.s and w.user_id = c.user_id group by all),
+hz as (select draw, age, events, events / sum(o) over (partition by draw order by age desc) as hazard from sums),
+rates as (select draw, point, sum(0.75 * (1 - ((point - age) / 2.0::double) ** 2) * hazard / 2) as rate from hz, range(0, 51) r(point) where age < 52 and abs(point - age) < 2 group by all having sum(events) >= 1)"""
+
+
+def _rates(t: Tables) -> DataFrame:
+    return sv.hazard_draws(_spells(t).withColumn("s", F.col("user_id") % 5), "age", F.col("exit_kind") == "deleted", "user_id", 60, "h", ["s"])
+
+
+@query("hazard_bands", "M88,M89", f"with {BAND_SQL} select point::bigint as point, count(*) as draws, round(median(rate), 6) as median, round(quantile_cont(rate, 0.025), 6) as low, round(quantile_cont(rate, 0.975), 6) as high from rates group by 1")
+def _(t):
+    return sv.hazard_bands(_rates(t))
+
+
+@query("hazard_slope", "M88,M89", f"""
+with {BAND_SQL}, sl as (select draw, regr_slope(ln(rate), point) as slope from rates where rate > 0 group by 1)
+select count(slope) as draws, round(median(slope), 6) as median, round(quantile_cont(slope, 0.025), 6) as low, round(quantile_cont(slope, 0.975), 6) as high from sl""")
+def _(t):
+    return sv.hazard_slope(_rates(t))
+
+
 @query("risk_table", "M90", f"""
 with {PRESENCE_SQL}, e as (select event_type, age, exit_kind, unnest(range(1, least(age, 50) + 1)) as interval from spells)
 select event_type, interval, count(*) as person_time, count(*) filter (exit_kind = 'deleted' and interval = age) as events from e group by all""")

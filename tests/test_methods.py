@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from attestry.operators import agentlogs, evaluation, retrieval, similarity, survival
+from attestry.operators import agentlogs, evaluation, retrieval, similarity, statistics, survival
 from attestry.streaming import jobs
 
 
@@ -180,3 +180,17 @@ def test_registry_grows_by_turn_and_ends_with_its_session(spark, folder):
     # Of all sessions only the last one still has a turn that waits; registries and times of the others are gone.
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
     assert q.recentProgress and spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_draws_keep_every_stratum_at_its_size(spark):
+    rows = [(s, f"{s}{i}", i % 3, 4) for s, n in (("a", 60), ("b", 1), (None, 7)) for i in range(n)] + [("a", None, 1, 1)]
+    df = spark.createDataFrame(rows, "s string, c string, top long, n long")
+    got = statistics.resampled(df, "c", 30, "seed", ["s"], parts=3).collect()
+    size = {}
+    for r in got:
+        size[r._stratum, r.draw] = size.get((r._stratum, r.draw), 0) + r.weight
+    assert len(size) == 90 and set(size.values()) == {60, 1, 7}
+    assert {(r._stratum, r.c, r.draw, r.weight) for r in got} == {(r._stratum, r.c, r.draw, r.weight) for r in statistics.resampled(df.repartition(5), "c", 30, "seed", ["s"], parts=1).collect()}
+    told = {r.statistic: r for r in statistics.resampled_ratios(df, "c", {"x": ("top", "n"), "y": ("n", "n")}, 50, "k", ["s"], pairs=[("y", "x")]).collect()}
+    assert told["y"].low == told["y"].high == 1.0 and told["x"].low < told["x"].median < told["x"].high
+    assert abs(told["y - x"].median - 1 + told["x"].median) < 1e-9 and told["y - x"].excludes_zero
