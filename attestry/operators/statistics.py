@@ -232,9 +232,12 @@ def resampled(clusters: DataFrame, cluster: str, draws: int, seed: str, strata:
     In every draw each stratum is as large as it is. Slot ``i`` of a stratum takes the cluster whose number is a digest of
     seed, stratum, slot and draw, so a draw needs no shared state; one row per cluster and draw is shuffled, never a
     cluster's own rows. Four draws share one digest. Null clusters are left out.
+    Numbers follow the clusters' own order, or that of a hash where they are no numbers.
     """
     named = once(clusters.filter(F.col(cluster).isNotNull()).select(_stratum(strata).alias("_stratum"), cluster).distinct())
-    numbered = once(running(named, ["_stratum"], [cluster], number="_i", size="_n", parts=parts))
+    whole = isinstance(clusters.schema[cluster].dataType, T.NumericType)
+    named = named if whole else once(named.withColumn("_h", F.xxhash64(F.col(cluster))))
+    numbered = once(running(named, ["_stratum"], [cluster if whole else "_h"], number="_i", size="_n", parts=parts))
     digest = F.sha2(F.concat(F.lit(seed), "_stratum", F.lit(":"), F.col("_i").cast("string"), F.lit(":"), F.col("_block").cast("string")), 256)
     slots = numbered.repartition(span_count(numbered, None), "_stratum", cluster).select("_stratum", "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))).alias("_block"))
     picks = slots.withColumn("_d", digest).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(3))))
