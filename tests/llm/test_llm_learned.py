@@ -240,30 +240,49 @@ def test_pieces_n_best_brute():
 
 @needs_model
 def test_pieces_text_level_n_best():
+    from array import array
+
     p = pieces.Pieces.load(PIECE_MODEL)
-    text = "ab cd, e\nf"
-    want = segmentations(p, " " + text)
-    for n in (1, 2, 5):
-        ids, best, scores = pieces.Encoder(p, n).encode(text)
-        assert scores == [s for s, _ in want[:n]] and best == want[0][0]
+    for text in ("ab cd, e\nf", "on the"):
+        want = segmentations(p, " " + text)
+        for n in (1, 2, 3, 5):
+            ids, best, scores, every = pieces.Encoder(p, n).encode(text, all_ids=True)
+            found = [tuple(array("i", i)) for i in every]
+            assert scores == [s for s, _ in want[:n]] and best == want[0][0]
+            assert len(set(found)) == len(found) and set(zip(scores, found)) <= set(want) and found[0] == tuple(array("i", ids))
+
+
+def test_pieces_with_real_scores():
+    p = pieces.Pieces({"a": (1, -1.25), "b": (2, -0.5), "ab": (3, -1.8), "▁": (4, -0.1), "▁a": (5, -1.3)}, list(range(10, 266)), [], -20.5)
+    for c in (" ab", " abba", "aab", " azb"):
+        for n in (1, 3, 7):
+            got, want = pieces.n_best(p, c, n), segmentations(p, c)
+            assert np.allclose([s for s, _ in got], [s for s, _ in want[:n]]) and {i for _, i in got} <= {i for _, i in want} and len(got) == min(n, len(want))
 
 
 @needs_model
 def test_pieces_round_trip_and_edges(spark):
-    p = pieces.Pieces.load(PIECE_MODEL)
     values = [(1, "Hello  world \n\n tabs\tand ▁ blanks "), (2, ""), (3, None), (4, "🦄é你好\x00"), (5, "a" * 20_000), (6, "  "), (1, "again"), (None, "null key"), (7, "word " * 20_000)]
-    out = pieces.encode(spark.createDataFrame(values, "doc_id long, text string").withColumn("ids", F.lit("clash")), PIECE_MODEL).collect()
+    docs = spark.createDataFrame(values, "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    found = pieces.encode(docs, PIECE_MODEL, n=3, all_ids=True)
+    out = pieces.decode(found.withColumn("text", F.lit("old")), PIECE_MODEL).collect()
     assert len(out) == len(values)
     want = {}
     for d, t in values:
         want.setdefault(d, set()).add(t)
     for r in out:
+        assert r.text in want[r.doc_id]
         if r.ids is None:
-            assert r.doc_id == 3 and r.decoded is None and r.score is None
+            assert r.doc_id == 3 and r.decoded is None and r.score is None and r.n_best is None
         else:
-            assert pieces.decode(p, r.ids) in want[r.doc_id] and r.decoded and r.n_pieces == len(r.ids)
+            assert r.decoded and r.n_pieces == len(r.ids) and r.n_best[0] == r.ids and len(r.n_best) == len(r.scores)
             assert r.scores == sorted(r.scores, reverse=True) and r.score == r.scores[0]
-    assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), PIECE_MODEL).count() == 0
+    # Every one of the n best gives the same text back.
+    others = pieces.decode(found.select("doc_id", F.explode("n_best").alias("ids")), PIECE_MODEL, out="again").collect()
+    assert all(r.again in want[r.doc_id] for r in others) and len(others) > len(values)
+    assert pieces.encode(docs.limit(0), PIECE_MODEL).count() == 0
+    odd = spark.createDataFrame([([],), (None,), ([5, None],), ([99_999_999],), ([-1],)], "ids array<int>")
+    assert [r.text for r in pieces.decode(odd, PIECE_MODEL).collect()] == ["", None, None, None, None]
 
 
 # --- the pipeline
