@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from attestry.functions.text import grams, tokens
 from attestry.operators.ordering import exact_quantiles, once, running
-from attestry.session import spread, written
+from attestry.operators.retrieval import dot, neighbour_join, norm
+from attestry.session import shared_folder, spread, written
 
 
 def exact_dedup(df: DataFrame, key: str, canonical: Column) -> DataFrame:
@@ -187,37 +188,67 @@ def keyword_candidates(posts: DataFrame, text: str, spam: Column, families: Mapp
     return g.select(F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"c{i}").alias("n")) for i, n in enumerate(steps)])).alias("r")).select("r.*")
 
 
-def stitch(items: DataFrame, key: str, vector: str, length: str, cluster: str, target: int, cell: int = 2000, overshoot: float = 1.25, parts: int | None = None) -> DataFrame:
-    """Chains of similar items up to a target length: ``(chain, place, key, used)``.
+def stitch(items: DataFrame, key: str, vector: str, length: str, target: int, k: int = 32, overshoot: float = 1.25, width: int | None = None) -> DataFrame:
+    """Chains of similar items up to a target length, over the whole table: ``(chain, place, key, used)``; every item is in one chain.
 
-    Clusters are cut into cells of at most ``cell`` items; inside a cell the lowest unused key starts a chain and the
-    nearest unused item to the chain's centroid follows until the target is reached. The last item is cut where the
-    chain would pass the overshoot limit.
+    The ``width`` smallest unused keys seed chains (by default as many as the unused length fills; with 1 the chains come
+    one after the other). In each round every open chain asks for the candidate nearest to its centroid, by cosine, ties to
+    the smaller key; candidates are the unused among the ``k`` nearest neighbours of its members. An item that several ask
+    for goes to the smallest seed, the others ask again. A chain without candidates gets the ``k`` unused items nearest to
+    its centroid for the next round. It closes at the target; its last item is cut where it would pass the overshoot limit.
+
+    A round costs a few joins on what the open chains ask for; the neighbour graph is built once. Items without a
+    direction (null or zero vectors) are chains of their own; null lengths count as 0; null keys are left out.
     """
-    numbered = running(items.select(key, vector, length, cluster), [cluster], [key], number="_rn", parts=parts)
-    cells = numbered.withColumn("_cell", F.floor((F.col("_rn") - 1) / cell)).drop("_rn")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        keys, size = pdf[key].to_numpy(), pdf[length].to_numpy()
-        z = np.array(pdf[vector].to_list(), dtype=np.float64)
-        z = z / np.linalg.norm(z, axis=1, keepdims=True)
-        free, out = np.ones(len(keys), bool), []
-        while free.any():
-            at = int(np.flatnonzero(free)[0])
-            chain, total, mean, place = int(keys[at]), 0, np.zeros(z.shape[1]), 0
-            while True:
-                free[at] = False
-                used = int(min(size[at], max(0, overshoot * target - total)))
-                place, total, mean = place + 1, total + int(size[at]), mean + z[at]
-                out.append((chain, place, keys[at], used))
-                if total >= target or not free.any():
+    spark = items.sparkSession
+    v, size = F.col(vector).cast("array<double>"), norm(F.col(vector).cast("array<double>"))
+    rows = items.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("len"), F.when(size > 0, F.transform(v, lambda x: x / size)).alias("z"))
+    rows = written(rows, "items")
+    good = rows.filter("z is not null")
+    graph = written(neighbour_join(good.select("id", "z"), "id", "z", k).select("id", "neighbour"), "graph") if not good.isEmpty() else None
+    out, like = shared_folder(spark, "chains"), f"chain {rows.schema['id'].dataType.simpleString()}, place int, id {rows.schema['id'].dataType.simpleString()}, used long"
+    spark.createDataFrame([], like).write.parquet(out)
+    placed = lambda: spark.read.schema(like).parquet(out)
+    unused = lambda d, c: d.join(placed().select(F.col("id").alias(c)), c, "left_anti")
+    cut = lambda total: F.least(F.col("len"), F.greatest(F.lit(0), F.lit(int(overshoot * target)) - total)).cast("long")
+    while True:
+        left = unused(rows, "id")
+        rest = left.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len")).head()
+        if not rest.n:
+            return placed().select("chain", "place", F.col("id").alias(key), "used")
+        seeds = written(left.orderBy("id").limit(width or max(1, -(-rest.len // target))), "seeds")
+        seeds.select(F.col("id").alias("chain"), F.lit(1).alias("place"), "id", cut(F.lit(0)).alias("used")).write.mode("append").parquet(out)
+        chains = seeds.select(F.col("id").alias("chain"), F.lit(1).alias("place"), F.col("len").alias("total"), F.col("z").alias("sum"))
+        fresh, wishes = seeds.select(F.col("id").alias("chain"), "id"), None
+        while graph is not None:
+            open_ = chains.filter((F.col("total") < target) & F.col("sum").isNotNull())
+            near = fresh.join(graph, "id").select("chain", F.col("neighbour").alias("id"))
+            near = unused(near, "id").join(good, "id").select("chain", "id", "len", "z")
+            wishes = near if wishes is None else unused(wishes, "id").unionByName(near)
+            wishes = written(wishes.join(open_.select("chain"), "chain", "left_semi").dropDuplicates(["chain", "id"]), "wishes")
+            score = F.round(dot(F.col("sum"), F.col("z")) / norm(F.col("sum")), 9)
+            best = wishes.join(open_.select("chain", "sum"), "chain").groupBy("chain").agg(F.max_by(F.struct("id", "len", "z"), F.struct(score, -F.col("id"))).alias("b")).select("chain", "b.*")
+            won = best.groupBy("id").agg(F.min("chain").alias("chain"))
+            picks = best.join(won, ["id", "chain"], "left_semi")
+            asked = open_.join(best.select("chain", F.lit(True).alias("_asked")), "chain", "left").join(picks.withColumnRenamed("id", "_pick"), "chain", "left")
+            turn = written(asked.select("chain", "place", "total", "sum", "_pick", "len", "z", F.coalesce("_asked", F.lit(False)).alias("asked")), "turn")
+            told = turn.agg(F.count(F.lit(1)).alias("open"), F.count_if(~F.col("asked")).alias("empty"), F.count("_pick").alias("picked")).head()
+            taken = turn.filter("_pick is not null").select("chain", (F.col("place") + 1).alias("place"), F.col("_pick").alias("id"), "len", "total")
+            if told.picked:
+                taken.select("chain", "place", "id", cut(F.col("total")).alias("used")).write.mode("append").parquet(out)
+            fresh = taken.select("chain", "id")
+            grown = F.when(F.col("_pick").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "z", lambda a, b: a + b))
+            chains = turn.select("chain", (F.col("place") + F.col("_pick").isNotNull().cast("int")).alias("place"), (F.col("total") + F.coalesce("len", F.lit(0))).alias("total"), grown.alias("sum"))
+            if told.empty:
+                pool = written(unused(good, "id"), "pool")
+                asking = written(turn.filter("not asked").select(F.col("chain").alias("id"), F.col("sum").alias("z")), "asking")
+                if not pool.isEmpty():
+                    more = neighbour_join(pool.select("id", "z"), "id", "z", k, asking).select(F.col("id").alias("chain"), F.col("neighbour").alias("id"))
+                    wishes = wishes.unionByName(more.join(good, "id").select("chain", "id", "len", "z"))
+                elif not told.picked:
                     break
-                at = int(np.where(free, z @ (mean / np.linalg.norm(mean)), -np.inf).argmax())
-        return pd.DataFrame(out, columns=["chain", "place", key, "used"])
-
-    kind = items.schema[key].dataType.simpleString()
-    return cells.groupBy(cluster, "_cell").applyInPandas(walk, f"chain long, place int, {key} {kind}, used long")
+            if not told.open:
+                break
 
 
 def split_topics(items: DataFrame, key: str, vector: str, most: int, seed: int = 7, parts: int | None = None) -> DataFrame:

@@ -105,9 +105,10 @@ def _(t):
 
 @query("stitch", "M80")
 def _(t):
+    """All conversations and all vectors; what has no vector is a chain of its own, what has no conversation adds no length."""
     sizes = t.conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("len"))
-    items = sizes.join(t.embeddings, F.col("conv_id") == F.col("vec_id")).select("conv_id", "embedding", "len", "label")
-    return sim.stitch(items, "conv_id", "embedding", "len", "label", target=8000)
+    items = sizes.join(t.embeddings, F.col("conv_id") == F.col("vec_id"), "full_outer").select(F.coalesce("conv_id", "vec_id").alias("conv_id"), "embedding", "len")
+    return sim.stitch(items, "conv_id", "embedding", "len", target=8000)
 
 
 @query("split_topics", "M117")

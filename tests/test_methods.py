@@ -81,11 +81,49 @@ def test_pareto_front_equals_brute_force(spark):
     assert sorted(map(tuple, evaluation.pareto_front(df, "g", "r", "l", "c").collect())) == sorted(x for x in rows if not beaten(x))
 
 
-def test_stitch_uses_every_item_once_and_keeps_the_overshoot_limit(spark):
-    rng = np.random.default_rng(6)
-    rows = [(i, [float(x) for x in rng.normal(size=4)], int(rng.integers(10, 90)), int(i % 2)) for i in range(60)]
-    got = similarity.stitch(spark.createDataFrame(rows, "id long, v array<double>, len long, c int"), "id", "v", "len", "c", target=200, cell=20).toPandas()
-    assert sorted(got["id"]) == list(range(60)) and got.groupby("chain")["used"].sum().max() <= 250
+def stitched(rows, target, k, overshoot=1.25, width=None):
+    """The rounds of ``stitch``, one item after the other."""
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if v is not None and any(v)}
+    size = {i: n or 0 for i, _, n in rows}
+    cos = lambda a, b: round(float(a @ b / np.linalg.norm(a)), 9)
+    near = lambda c, pool: sorted((x for x in pool), key=lambda x: (-cos(c, unit[x]), x))[:k]
+    graph = {i: near(unit[i], [x for x in unit if x != i]) for i in unit}
+    left, out = set(size), []
+    cut = lambda i, total: int(min(size[i], max(0, int(overshoot * target) - total)))
+    while left:
+        seeds = sorted(left)[: width or max(1, -(-sum(size[i] for i in left) // target))]
+        left -= set(seeds)
+        out += [(i, 1, i, cut(i, 0)) for i in seeds]
+        chains = {i: [1, size[i], unit.get(i), set(graph.get(i, ())) & left] for i in seeds}
+        while True:
+            chains = {c: x for c, x in chains.items() if x[1] < target and x[2] is not None}
+            ask = {c: max(x[3], key=lambda i, x=x: (cos(x[2], unit[i]), -i)) for c, x in chains.items() if x[3]}
+            empty = [c for c, x in chains.items() if not x[3]]
+            won = {i: min(c for c in ask if ask[c] == i) for i in ask.values()}
+            left -= set(won)
+            for i, c in won.items():
+                place, total, mean, wish = chains[c]
+                out.append((c, place + 1, i, cut(i, total)))
+                chains[c] = [place + 1, total + size[i], mean + unit[i], wish | set(graph[i])]
+            for c in chains:
+                chains[c][3] &= left
+            for c in empty:
+                chains[c][3] |= set(near(chains[c][2], left & set(unit)))
+            if not chains or not ask and not any(chains[c][3] for c in empty):
+                break
+    return sorted(out)
+
+
+def test_stitch_equals_its_rounds_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 5))
+    rows = [(i, (centres[i % 4] + 0.4 * rng.normal(size=5)).tolist(), int(rng.integers(1, 60))) for i in range(90)]
+    rows[7], rows[11], rows[20] = (7, None, 30), (11, [0.0] * 5, 500), (20, rows[4][1], None)
+    schema = "id long, v array<double>, len long"
+    for target, k, width, some in ((150, 4, None, rows), (60, 20, 1, rows[:9])):
+        got = similarity.stitch(spark.createDataFrame(some, schema).repartition(3), "id", "v", "len", target=target, k=k, width=width).collect()
+        assert sorted(tuple(r) for r in got) == stitched(some, target, k, width=width)
+    assert similarity.stitch(spark.createDataFrame([], schema), "id", "v", "len", target=10).count() == 0
 
 
 def test_split_topics_leaves_fit(spark):
