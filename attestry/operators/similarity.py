@@ -7,10 +7,10 @@ from collections.abc import Mapping
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -251,14 +251,51 @@ def stitch(items: DataFrame, key: str, vector: str, length: str, target: int, k:
                 break
 
 
-def split_topics(items: DataFrame, key: str, vector: str, most: int, seed: int = 7, parts: int | None = None) -> DataFrame:
-    """Leaves of at most ``most`` items by repeated bisection on embeddings; copies no plane can part are cut by key order."""
-    n = items.count()
-    ready = written(items.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")), "topics")
-    model = BisectingKMeans(k=max(2, 4 * -(-n // most)), minDivisibleClusterSize=float(most + 1), maxIter=10, seed=seed, distanceMeasure="cosine").fit(ready)
-    leaf = once(model.transform(ready).select(key, F.col("prediction").alias("topic")))
-    cut = running(leaf, ["topic"], [key], number="_rn", parts=parts)
-    return cut.select(key, "topic", F.floor((F.col("_rn") - 1) / most).alias("leaf"))
+def split_topics(items: DataFrame, key: str, vector: str, most: int, rounds: int = 3, lopsided: float = 1 / 16) -> DataFrame:
+    """Leaves of at most ``most`` items by repeated bisection on embeddings: key, ``topic`` (number of splits), ``leaf`` (its sides).
+
+    All leaves of a level that are too large are split at once, and only these: two far members are the first centres, a
+    few rounds of cosine 2-means follow, and a split that leaves a side with less than ``lopsided`` of its leaf is made at
+    the median between the centres instead, so that levels grow with the logarithm of the table. Centres are joined by
+    leaf and never reach the driver. Equal vectors are one counted class that stays together, however large; so do
+    vectors without a direction (null or zero), as topic -1. Null keys stay; an empty table gives an empty result.
+    """
+    v = F.col(vector).cast("array<double>")
+    size = norm(v)
+    rows = items.select(F.col(key).alias("id"), F.when(size > 0, F.transform(v, lambda x: F.round(x / size, 12))).alias("z"))
+    rows = written(rows.withColumn("_h", F.sha2(F.to_json(F.struct("z")), 256)), "topics")
+    classes = rows.filter("z is not null").groupBy("_h").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("w"))
+    level, done = written(classes.select("_h", "w", array_to_vector("z").alias("z"), F.lit("").alias("leaf")), "level"), []
+    while True:
+        sizes = level.groupBy("leaf").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("classes"))
+        marked = written(level.join(sizes.select("leaf", ((F.col("n") > most) & (F.col("classes") > 1)).alias("large")), "leaf"), "level")
+        done.append(marked.filter("not large").select("_h", "leaf"))
+        large = marked.filter("large").drop("large")
+        if large.isEmpty():
+            break
+        apart = lambda a, b: dot(vector_to_array(a), vector_to_array(b))
+        first = large.groupBy("leaf").agg(F.min_by("z", "_h").alias("a"), F.min("_h").alias("ha"))
+        ends = large.join(first, "leaf").filter("_h <> ha").groupBy("leaf").agg(F.min_by(F.struct("z", "_h"), F.struct(F.round(apart("z", "a"), 9), "_h")).alias("b"), F.first("a").alias("a"), F.first("ha").alias("ha"))
+        ends = written(ends.select("leaf", "a", "ha", F.col("b.z").alias("b"), F.col("b._h").alias("hb")), "centres")
+        centres = ends.select("leaf", "a", "b")
+        # A class keeps the side of the nearer centre; the two first members keep theirs, so no side is ever empty.
+        lean = lambda c: large.join(c, "leaf").withColumn("lean", F.round(apart("z", "b") / F.nullif(norm(vector_to_array("b")), F.lit(0.0)) - apart("z", "a") / F.nullif(norm(vector_to_array("a")), F.lit(0.0)), 9))
+        for _ in range(rounds):
+            side = F.coalesce(F.col("lean") > 0, F.lit(False))
+            means = lean(centres).groupBy("leaf", side.alias("side")).agg(Summarizer.mean(F.col("z"), F.col("w").cast("double")).alias("m"))
+            both = means.groupBy("leaf").agg(F.first(F.when(~F.col("side"), F.col("m")), True).alias("a2"), F.first(F.when(F.col("side"), F.col("m")), True).alias("b2"))
+            centres = written(ends.select("leaf", "a", "b").join(both, "leaf", "left").select("leaf", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")), "centres")
+        told = written(lean(centres).select("leaf", "_h", "w", "z", "lean"), "lean")
+        halves = told.groupBy("leaf").agg(F.avg((F.col("lean") > 0).cast("double")).alias("share"), F.percentile_approx("lean", 0.5, 1000).alias("middle"))
+        cut = F.when((F.col("share") < lopsided) | (F.col("share") > 1 - lopsided), F.col("middle")).otherwise(0.0)
+        right = F.when(F.col("_h") == F.col("ha"), False).when(F.col("_h") == F.col("hb"), True).otherwise(F.coalesce(F.col("lean") > cut, F.lit(False)))
+        split = told.join(halves, "leaf").join(ends.select("leaf", "ha", "hb"), "leaf")
+        level = written(split.select("_h", "w", "z", F.concat("leaf", F.when(right, "1").otherwise("0")).alias("leaf")), "level")
+    leaves = done[0]
+    for part in done[1:]:
+        leaves = leaves.unionByName(part)
+    out = rows.select("id", "_h").join(leaves, "_h", "left")
+    return out.select(F.col("id").alias(key), F.coalesce(F.length("leaf"), F.lit(-1)).alias("topic"), F.coalesce("leaf", F.lit("")).alias("leaf"))
 
 
 def examined_share(leaves: DataFrame) -> DataFrame:

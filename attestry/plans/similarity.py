@@ -123,3 +123,15 @@ def _(t):
     near = rt.neighbour_join(t.embeddings, "vec_id", "embedding", 5)
     recall = sim.leaf_recall(near, leaves, "vec_id").select(F.struct("pairs", "recall")).scalar()
     return sim.examined_share(leaves).select("leaves", "largest", "items", "examined", recall["pairs"].alias("pairs"), recall["recall"].alias("recall"))
+
+
+@query("topic_leaves", "M117", """
+with n as (select count(*) as n, count(distinct embedding) as classes from embeddings) select n as items, 0::bigint as twice, 0::bigint as too_large, 1::bigint as bisected from n""")
+def _(t):
+    """What must hold of the leaves: every item in one, none larger than 40 unless its vectors are equal, no leaf inside another."""
+    leaves = sim.split_topics(t.embeddings, "vec_id", "embedding", 40)
+    sizes = leaves.join(t.embeddings.select("vec_id", "embedding"), "vec_id").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("embedding").alias("classes"))
+    upper = sizes.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("leaf") - 1), lambda i: F.substring(F.col("leaf"), F.lit(1), i))).alias("leaf"))
+    inside = sizes.join(upper.distinct(), "leaf").agg(F.count(F.lit(1))).scalar()
+    large = sizes.agg(F.count_if((F.col("n") > 40) & (F.col("classes") > 1))).scalar()
+    return leaves.agg(F.count(F.lit(1)).alias("items"), (F.count(F.lit(1)) - F.countDistinct("vec_id")).alias("twice"), large.alias("too_large"), (inside == 0).alias("bisected"))

@@ -131,7 +131,12 @@ def test_split_topics_leaves_fit(spark):
     v = np.vstack([rng.normal(size=(80, 4)), np.tile([1.0, 2, 3, 4], (40, 1))])
     leaves = similarity.split_topics(spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>"), "id", "v", 15)
     e = similarity.examined_share(leaves).head()
-    assert e["items"] == 120 and e.largest <= 15
+    # The 40 equal vectors are one class and stay together; all other leaves fit.
+    sizes = leaves.groupBy("topic", "leaf").count().collect()
+    assert e["items"] == 120 and e.largest == 40 and sorted(r["count"] for r in sizes)[-2] <= 15
+    none = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "id long, v array<double>")
+    assert {(r.id, r.topic) for r in similarity.split_topics(none, "id", "v", 1).collect()} == {(1, -1), (2, -1), (3, 0)}
+    assert similarity.split_topics(none.limit(0), "id", "v", 5).count() == 0
 
 
 def test_streams_in_several_batches(spark, folder):
