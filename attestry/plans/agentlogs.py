@@ -88,10 +88,10 @@ for _where, _cond in (("top", "i = 0"), ("middle", "i = (n - 1) // 2"), ("bottom
 
 
 @query("reuse_share", "M26", f"""
-with p as (select event_type || {K_SQL} as k, count(*) as n, count(distinct user_id) as s from events where value > 80 group by 1)
+with p as (select event_type || {K_SQL} as k, count(*) as n, count(distinct user_id) as s from events group by 1)
 select count(*) as keys, sum(n)::bigint as calls, round(avg((s > 1)::int), 6) as recurring_keys, round(sum(n) filter (s > 1) / sum(n), 6) as recurring_calls from p""")
 def _(t):
-    return al.reuse_share(_events(t).filter("value > 80").withColumn("key", F.concat("event_type", "k")), "key", "user_id")
+    return al.reuse_share(_events(t).withColumn("key", F.concat("event_type", "k")), "key", "user_id")
 
 
 @query("latency_breakdown", "M27", """

@@ -34,16 +34,17 @@ def _runs(t: Tables) -> DataFrame:
 def _tables(t: Tables) -> dict:
     m = _messages(t)
     run = F.col("sender") % 10
-    msg = m.filter("run = 'click'").select(run.alias("run"), "ts", "sender", "recipient", "bytes")
+    # Every event type has a channel: clicks and errors are messages, views read a file, purchases and signups write one.
+    msg = m.filter("run in ('click', 'error')").select(run.alias("run"), "ts", "sender", "recipient", "bytes")
     op = F.when(F.col("run") == "view", "read").otherwise("write")
-    files = m.filter("run in ('view', 'purchase')").select(op.alias("op"), (F.col("sender") % 10).alias("run"), "ts", F.col("sender").alias("agent"), F.col("recipient").alias("file"), "bytes")
+    files = m.filter("run not in ('click', 'error')").select(op.alias("op"), (F.col("sender") % 10).alias("run"), "ts", F.col("sender").alias("agent"), F.col("recipient").alias("file"), "bytes")
     turns = t.conversations.select(F.col("conv_id").alias("run"), "turn", "role", F.length("text").alias("tokens"))
     return graphs.logs_to_graph(msg, files, turns)
 
 
 EDGES_SQL = f"""{MSG_SQL}, edges as (
-  select sender % 10 as run, ts, 'agent:' || sender as src, 'agent:' || recipient as dst, 'message' as channel, bytes from m where run = 'click'
-  union all select sender % 10, ts, 'agent:' || sender, 'file:' || recipient, 'write', bytes from m where run = 'purchase'
+  select sender % 10 as run, ts, 'agent:' || sender as src, 'agent:' || recipient as dst, 'message' as channel, bytes from m where run in ('click', 'error')
+  union all select sender % 10, ts, 'agent:' || sender, 'file:' || recipient, 'write', bytes from m where run not in ('click', 'error', 'view')
   union all select sender % 10, ts, 'file:' || recipient, 'agent:' || sender, 'read', bytes from m where run = 'view')"""
 
 

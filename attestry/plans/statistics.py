@@ -82,12 +82,11 @@ def _(t):
 
 
 @query("mcnemar_exact", "M85", f"""
-with g as (select count(*) filter (quality = 1 and toxic = 0) as b, count(*) filter (quality = 0 and toxic = 1) as c from labels where doc_id in (select doc_id from documents where lang <> 'en')),
+with g as (select count(*) filter (quality = 1 and toxic = 0) as b, count(*) filter (quality = 0 and toxic = 1) as c from labels),
 t as (select b, c, unnest(range(0, least(b, c) + 1)) as x from g)
 select b, c, round(least(1, 2 * sum(exp({choose_sql('(b+c)', 'x')} - (b+c) * ln(2)))), 6) as p from t group by b, c""")
 def _(t):
-    d = t.labels.join(t.documents.filter("lang <> 'en'"), "doc_id", "left_semi")
-    return st.mcnemar_exact(d, F.col("quality") == 1, F.col("toxic") == 1)
+    return st.mcnemar_exact(t.labels, F.col("quality") == 1, F.col("toxic") == 1)
 
 
 @query("benjamini_hochberg", "M86", f"""
