@@ -119,6 +119,38 @@ def preservation_rate(before: DataFrame, after: DataFrame, key: Sequence[str], k
     return j.groupBy(kind).agg(F.count(F.lit(1)).alias("items"), F.count("_kept").alias("kept"), F.avg(F.col("_kept").isNotNull().cast("double")).alias("rate"))
 
 
+def locality(placed: DataFrame, constraints: DataFrame, config: str, part: str, topic: str, item: str, length: str) -> DataFrame:
+    """Per configuration: how many constraints its partitions need and lack, and what copies cost.
+
+    ``placed(config, part, topic, item, length)`` says what stands where; ``constraints(config, item, scope)`` what each
+    constraint covers: one topic, or all where the scope is null. A partition needs every constraint whose scope meets one
+    of its topics; it is violated where one is missing. ``overhead`` is the length of all copies over that of the items
+    once, minus one. Needs are found by equality on configuration and topic, and by configuration alone for global scopes.
+    """
+    cells = placed.select(config, part, topic).distinct()
+    rules = constraints.select(config, F.col(item).alias("_rule"), "scope").distinct()
+    scoped = cells.join(rules.filter("scope is not null").withColumnRenamed("scope", topic), [config, topic]).select(config, part, "_rule")
+    everywhere = cells.select(config, part).distinct().join(rules.filter("scope is null").drop("scope"), config).select(config, part, "_rule")
+    need = scoped.unionByName(everywhere).distinct()
+    there = placed.select(config, part, F.col(item).alias("_rule"), F.lit(1).alias("_there")).distinct()
+    lacks = need.join(there, [config, part, "_rule"], "left").groupBy(config).agg(F.count(F.lit(1)).alias("needed"), F.count_if(F.col("_there").isNull()).alias("violations"))
+    copies = placed.select(config, part, item, length).distinct().groupBy(config, item).agg(F.count(F.lit(1)).alias("_n"), F.max(length).alias("_len"))
+    cost = copies.groupBy(config).agg(F.sum(F.col("_n") * F.col("_len")).alias("_all"), F.sum("_len").alias("_once"))
+    out = cost.join(lacks, config, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    share = F.coalesce(F.col("violations") / F.col("needed"), F.lit(0.0))
+    return out.select(config, zero("needed").alias("needed"), zero("violations").alias("violations"), share.alias("violation"), F.coalesce(F.col("_all") / F.nullif(F.col("_once"), F.lit(0)) - 1, F.lit(0.0)).alias("overhead"))
+
+
+def locality_summary(per: DataFrame) -> DataFrame:
+    """Mean violation, share of configurations with one, and mean, median, 90th percentile and worst overhead."""
+    rounded = F.round("overhead", 9)
+    return per.agg(
+        F.count(F.lit(1)).alias("configs"), F.avg("violation").alias("violation"), F.avg((F.col("violations") > 0).cast("double")).alias("violated"), F.avg("overhead").alias("overhead"),
+        F.percentile(rounded, 0.5).alias("median"), F.percentile(rounded, 0.9).alias("p90"), F.max("overhead").alias("worst"),
+    )
+
+
 def initial_convergence(states: DataFrame, group: str, agent: str, order: Sequence[str], state: str) -> DataFrame:
     """Share of agents of a group that begin with its most common first state."""
     first = states.groupBy(group, agent).agg(F.min(F.struct(*order, state)).alias("f"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.functions.text import extract_numbers
 from attestry.operators.ordering import exact_quantiles, once, running, shifted
 
 
@@ -116,11 +117,17 @@ def rate_decomposition(tasks: DataFrame, family: str, treated: Column, in_contex
     return g.withColumn("lift", F.col("overall") - F.col("control"))
 
 
-def paired_lift(pairs: DataFrame, metrics: Mapping[str, tuple[Column, Column]], parts: int | None = None) -> DataFrame:
-    """With-minus-base per metric and composite: mean, median, signs; a missing side counts as failure (zero)."""
+def paired_lift(pairs: DataFrame, metrics: Mapping[str, tuple[Column, Column]], outcomes: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """With-minus-base per metric and composite: mean, median, signs; a missing side counts as failure (zero).
+
+    ``outcomes`` names the metrics that look at the outcome alone; their mean is one more row, ``outcome``.
+    """
     deltas = {m: F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)) for m, (a, b) in metrics.items()}
     composite = sum(deltas.values(), F.lit(0.0)) / len(deltas)
-    long = pairs.select(_stack({**deltas, "composite": composite}, "metric", "delta")).select("r.metric", F.round("r.delta", 9).alias("delta"))
+    views = {"composite": composite}
+    if outcomes:
+        views["outcome"] = sum((deltas[m] for m in outcomes), F.lit(0.0)) / len(outcomes)
+    long = pairs.select(_stack({**deltas, **views}, "metric", "delta")).select("r.metric", F.round("r.delta", 9).alias("delta"))
     d = F.col("delta")
     g = long.groupBy("metric").agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.count_if(d > 0).alias("positive"), F.count_if(d == 0).alias("zero"), F.count_if(d < 0).alias("negative"))
     return g.join(exact_quantiles(long, ["metric"], "delta", {"median": 0.5}, parts), "metric")
@@ -266,9 +273,24 @@ def cumulative_pass(attempts: DataFrame, item: str, k: str, passed: Column, part
     return r.select("k", (F.col("_cum") / n).alias("pass_rate"))
 
 
-def claim_vs_log(claims: DataFrame, log: DataFrame, key: Sequence[str], tolerance: float) -> DataFrame:
-    """Claimed numbers against logged ones: unmatched claims are flagged and replaced by the logged value."""
-    j = claims.join(log.select(*key, F.col("value").alias("logged")), list(key), "left")
+def claims_of(texts: DataFrame, key: Sequence[str], text: Column) -> DataFrame:
+    """Every number of a text with its place: ``(key, place, claimed)``; a text without numbers claims nothing."""
+    found = texts.select(*key, F.posexplode(extract_numbers(text)).alias("place", "_n"))
+    percent = F.endswith(F.col("_n"), F.lit("%"))
+    value = F.translate(F.col("_n"), ",%", "").try_cast("double")
+    return found.select(*key, "place", F.when(percent, value / 100).otherwise(value).alias("claimed"))
+
+
+def claim_vs_log(claims: DataFrame, log: DataFrame, key: Sequence[str], tolerance: float, place: Sequence[str] = ()) -> DataFrame:
+    """Claimed numbers against logged ones: unmatched claims are flagged and replaced by the logged value.
+
+    A key may claim several numbers (told apart by ``place``) and log several: each claim meets the logged value nearest to
+    it, of equally near ones the smaller. Equal claims and equal logged values of a key are compared once.
+    """
+    key = list(key)
+    pairs = claims.select(*key, "claimed").distinct().join(log.select(*key, F.col("value").alias("logged")).distinct(), key)
+    nearest = pairs.groupBy(*key, "claimed").agg(F.min_by("logged", F.struct(F.abs(F.col("claimed") - F.col("logged")), "logged")).alias("logged"))
+    j = claims.join(nearest, [*key, "claimed"], "left").select(*key, *place, "claimed", "logged")
     ok = F.coalesce(F.abs(F.col("claimed") - F.col("logged")) <= tolerance, F.lit(False))
     return j.withColumns({"flagged": ~ok, "shown": F.when(ok, F.col("claimed")).otherwise(F.coalesce("logged", "claimed"))})
 

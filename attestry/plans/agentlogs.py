@@ -133,6 +133,35 @@ def _(t):
     return al.preservation_rate(before, before.filter(F.length("text") < 400), ["kb", "item"], "kind")
 
 
+LOCALITY_SQL = f"""items as (select conv_id as kb, turn as item, role as topic, turn // 3 as chunk, length(text) as len, {KIND_SQL} as kind from conversations),
+rules as (select distinct kb, item, case when topic <> 'system' then topic end as scope from items where kind = 'constraint'),
+placed as ({{placed}}),
+need as (select distinct kb, chunk, r.item as rule from (select distinct kb, chunk, topic from placed) p join rules r using (kb) where r.scope is null or r.scope = p.topic),
+lacks as (select kb, count(*) as needed, count(*) filter (not exists (select 1 from placed p where p.kb = need.kb and p.chunk = need.chunk and p.item = need.rule)) as violations from need group by kb),
+cost as (select kb, sum(len)::double / sum(len) filter (first) - 1 as overhead from (select *, row_number() over (partition by kb, item order by chunk) = 1 as first from (select distinct kb, chunk, item, len from placed)) group by kb),
+per as (select kb, coalesce(violations / needed, 0) as violation, coalesce(violations, 0) as n, coalesce(overhead, 0) as overhead from cost left join lacks using (kb))
+select count(*) as configs, round(avg(violation), 6) as violation, round(avg((n > 0)::int), 6) as violated, round(avg(overhead), 6) as overhead,
+  round(quantile_cont(round(overhead, 9), 0.5), 6) as median, round(quantile_cont(round(overhead, 9), 0.9), 6) as p90, round(max(overhead), 6) as worst from per"""
+PLACED_SQL = {
+    "chunked": "select kb, chunk, topic, item, len from items",
+    "replicated": "select kb, chunk, topic, item, len from items union select i.kb, i.chunk, i.topic, r.item, x.len from (select distinct kb, chunk, topic from items) i join rules r on r.kb = i.kb and (r.scope is null or r.scope = i.topic) join items x on x.kb = r.kb and x.item = r.item",
+}
+for _how, _placed in PLACED_SQL.items():
+
+    @query(f"locality_{_how}", "M30", f"with {LOCALITY_SQL.format(placed=_placed)}")
+    def _(t, how=_how):
+        """Turns in chunks of three, with constraints as they fall or copied to every chunk that their scope meets."""
+        items = al.typed_items(t.conversations, FAMILIES).select("kb", "item", F.col("role").alias("topic"), F.floor(F.col("item") / 3).alias("chunk"), F.length("text").cast("long").alias("len"), "kind")
+        rules = items.filter("kind = 'constraint'").select("kb", "item", F.when(F.col("topic") != "system", F.col("topic")).alias("scope"), "len")
+        placed = items.select("kb", "chunk", "topic", "item", "len")
+        if how == "replicated":
+            cells = placed.select("kb", "chunk", "topic").distinct()
+            near = cells.join(rules.filter("scope is not null").select("kb", F.col("scope").alias("topic"), "item", "len"), ["kb", "topic"]).select(placed.columns)
+            far = cells.join(rules.filter("scope is null").select("kb", "item", "len"), "kb").select(placed.columns)
+            placed = placed.union(near).union(far).distinct()
+        return al.locality_summary(al.locality(placed, rules, "kb", "chunk", "topic", "item", "len"))
+
+
 STATE_SQL = "s as (select c_mktsegment, o_custkey, o_orderstatus, o_orderdate, o_orderkey from orders join customer on c_custkey = o_custkey)"
 
 

@@ -93,11 +93,11 @@ def _(t):
 with p as (select l_orderkey, avg(l_discount) filter (l_returnflag = 'A') as da, avg(l_discount) filter (l_returnflag = 'N') as dn, avg(l_tax) filter (l_returnflag = 'A') as ta, avg(l_tax) filter (l_returnflag = 'N') as tn
   from lineitem where l_returnflag in ('A', 'N') group by 1),
 d as (select coalesce(da, 0) - coalesce(dn, 0) as a, coalesce(ta, 0) - coalesce(tn, 0) as b from p),
-l as (select 'discount' as metric, round(a, 9) as delta from d union all select 'tax', round(b, 9) from d union all select 'composite', round((a + b) / 2, 9) from d)
+l as (select 'discount' as metric, round(a, 9) as delta from d union all select 'tax', round(b, 9) from d union all select 'composite', round((a + b) / 2, 9) from d union all select 'outcome', round(b, 9) from d)
 select metric, count(*) as n, round(avg(delta), 6) as mean, count(*) filter (delta > 0) as positive, count(*) filter (delta = 0) as zero, count(*) filter (delta < 0) as negative, round(median(delta), 6) as median from l group by 1""")
 def _(t):
     two = t.lineitem.filter("l_returnflag in ('A', 'N')").groupBy("l_orderkey").agg(*[F.avg(F.when(F.col("l_returnflag") == f, F.col(c))).alias(n + f) for n, c in (("d", "l_discount"), ("t", "l_tax")) for f in ("A", "N")])
-    return ev.paired_lift(two, {"discount": (F.col("dA"), F.col("dN")), "tax": (F.col("tA"), F.col("tN"))})
+    return ev.paired_lift(two, {"discount": (F.col("dA"), F.col("dN")), "tax": (F.col("tA"), F.col("tN"))}, outcomes=["tax"])
 
 
 @query("verdict_accuracy", "M34", """
@@ -225,18 +225,22 @@ def _(t):
 
 
 @query("claim_vs_log", "M79", """
-with c as (select o_orderkey, case when o_orderpriority = '1-URGENT' then floor(o_totalprice / 2) else floor(o_totalprice) end as claimed from orders)
-select o_orderkey, round(claimed, 6) as claimed, round(s.v, 6) as logged, (coalesce(abs(claimed - s.v) <= 0.5, false) = false)::int::bigint as flagged,
-  round(case when coalesce(abs(claimed - s.v) <= 0.5, false) then claimed else coalesce(s.v, claimed) end, 6) as shown
-from c left join (select o_orderkey, o_totalprice as v from orders where o_orderstatus <> 'P') s using (o_orderkey)""")
-def _(t):
-    from attestry.functions.text import extract_numbers
-
+with o as (select o_orderkey, case when o_orderpriority = '1-URGENT' then floor(o_totalprice / 2) else floor(o_totalprice) end as price, o_custkey + 100000 as cust, o_orderstatus, o_totalprice from orders),
+c as (select o_orderkey, 0 as place, price as claimed from o union all select o_orderkey, 1, cust from o where cust <> price union all select o_orderkey, case when cust = price then 1 else 2 end, 0.25 from o),
+log as (select o_orderkey, o_totalprice as v from o where o_orderstatus <> 'P' union all select o_orderkey, cust + 1 from o where o_orderstatus <> 'F' union all select o_orderkey, 0.25 from o),
+n as (select c.o_orderkey, place, claimed, arg_min(v, row(abs(claimed - v), v)) as logged from c left join log on log.o_orderkey = c.o_orderkey group by all)
+select o_orderkey, place::bigint as place, round(claimed, 6) as claimed, round(logged, 6) as logged, (not coalesce(abs(claimed - logged) <= 0.5, false))::int::bigint as flagged,
+  round(case when coalesce(abs(claimed - logged) <= 0.5, false) then claimed else coalesce(logged, claimed) end, 6) as shown from n""")
+def _(t):
+    """Three numbers per text; the log holds up to three values per order."""
     said = F.when(F.col("o_orderpriority") == "1-URGENT", F.floor(F.col("o_totalprice") / 2)).otherwise(F.floor("o_totalprice"))
-    text = F.concat(F.lit("We spent "), said.cast("decimal(18,2)").cast("string"), F.lit(" overall."))
-    claims = t.orders.select("o_orderkey", extract_numbers(text)[0].cast("double").alias("claimed"))
-    log = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_totalprice").alias("value"))
-    return ev.claim_vs_log(claims, log, ["o_orderkey"], 0.5)
+    number = (F.col("o_custkey") + 100_000).cast("string")
+    text = F.concat(F.lit("We spent "), said.cast("decimal(18,2)").cast("string"), F.lit(" on account "), number, F.lit(", a share of 25% of all."))
+    claims = ev.claims_of(t.orders, ["o_orderkey"], text)
+    price = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_totalprice").cast("double").alias("value"))
+    account = t.orders.filter("o_orderstatus <> 'F'").select("o_orderkey", (F.col("o_custkey") + 100_001).cast("double").alias("value"))
+    share = t.orders.select("o_orderkey", F.lit(0.25).alias("value"))
+    return ev.claim_vs_log(claims, price.union(account).union(share), ["o_orderkey"], 0.5, ["place"])
 
 
 @query("failure_classes", "M106", """
