@@ -246,7 +246,8 @@ def test_pieces_text_level_n_best():
     for text in ("ab cd, e\nf", "on the"):
         want = segmentations(p, " " + text)
         for n in (1, 2, 3, 5):
-            ids, best, scores, every = pieces.Encoder(p, n).encode(text, all_ids=True)
+            ids, best, scores, every = pieces.Encoder(p, n).encode(text)
+            assert pieces.Encoder(p, n, all_ids=False).encode(text)[:3] == (ids, best, scores)
             found = [tuple(array("i", i)) for i in every]
             assert scores == [s for s, _ in want[:n]] and best == want[0][0]
             assert len(set(found)) == len(found) and set(zip(scores, found)) <= set(want) and found[0] == tuple(array("i", ids))
