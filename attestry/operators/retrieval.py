@@ -73,34 +73,42 @@ def centroids(emb: DataFrame, label: str, vector: str) -> DataFrame:
     return packed.select(label, F.transform("_p", lambda p: p["m"]).alias("centroid"))
 
 
-def dense_topk(queries: DataFrame, query: str, vector: str, emb: DataFrame, key: str, emb_vector: str, k: int, limit: int = 1000) -> DataFrame:
-    """Best k vectors by cosine for each of a short list of queries.
+def _packed(rows: DataFrame, name: str, vector: str, block: int = 256) -> tuple[DataFrame, int]:
+    """``block, packed``: vectors in blocks of about ``block``, each as an array of (name, vector, length); and the number of blocks."""
+    good = rows.filter(norm(F.col(vector)) > 0)
+    blocks = max(1, -(-good.count() // block))
+    each = good.select(F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col(name).alias("q"), F.col(vector).cast("array<double>").alias("v"), norm(F.col(vector)).alias("n")).alias("s"))
+    return written(each.groupBy("block").agg(F.collect_list("s").alias("packed")), "packed"), blocks
 
-    Up to ``limit`` queries travel as a constant and every vector is scored where it lies. More queries than that go
-    through ``neighbour_join``.
+
+def dense_topk(queries: DataFrame, query: str, vector: str, emb: DataFrame, key: str, emb_vector: str, k: int) -> DataFrame:
+    """Best k vectors by cosine for each query, however many queries there are; vectors without a direction take no part.
+
+    Queries travel in blocks, and every vector meets every block where it lies; a query's list is cut to k before it is
+    shuffled. For many queries against many vectors ``neighbour_join`` leaves out most pairs.
     """
-    rows = queries.select(query, vector).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return neighbour_join(emb.select(key, emb_vector), key, emb_vector, k, queries.select(F.col(query).alias(key), F.col(vector).alias(emb_vector))).withColumnRenamed(key, query)
-    name = T.StructType([queries.schema[query], T.StructField(vector, T.ArrayType(T.DoubleType()))])
-    small = emb.sparkSession.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in rows], name)
-    packed = small.agg(F.collect_list(F.struct(F.col(query).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")))).scalar()
-    each = emb.select(F.col(key).alias("neighbour"), F.col(emb_vector).alias("_e"), norm(F.col(emb_vector)).alias("_n"), F.explode(packed).alias("q"))
-    scored = each.select(F.col("q.q").alias(query), "neighbour", F.round(dot(F.col("_e"), F.col("q.v")) / (F.col("_n") * F.col("q.n")), 9).alias("similarity"))
+    packed, blocks = _packed(queries, query, vector)
+    size = norm(F.col(emb_vector))
+    each = emb.filter(size > 0).select(F.col(key).alias("neighbour"), F.col(emb_vector).alias("_e"), size.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = each.join(packed, "block").select("neighbour", "_e", "_n", F.explode("packed").alias("q"))
+    scored = met.select(F.col("q.q").alias(query), "neighbour", F.round(dot(F.col("_e"), F.col("q.v")) / (F.col("_n") * F.col("q.n")), 9).alias("similarity"))
     w = Window.partitionBy(query).orderBy(F.desc("similarity"), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def prototype_class(emb: DataFrame, key: str, vector: str, protos: DataFrame, label: str, sure: float = 0.55, unsure: float = 0.40, limit: int = 1000) -> DataFrame:
-    """Class of the nearest centroid with its confidence: sure, unsure or hard by the two cuts."""
-    few = protos.limit(limit + 1)
-    if few.count() > limit:
-        raise ValueError(f"more than {limit} classes")
-    packed = few.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("v"), norm(F.col("centroid")).alias("n")))).scalar()
-    best = F.array_max(F.transform("_p", lambda p: F.struct(F.round(dot(F.col(vector), p["v"]) / (norm(F.col(vector)) * p["n"]), 9).alias("s"), (-p["l"]).alias("l"))))
-    out = emb.withColumn("_p", packed).withColumn("_b", best)
+def prototype_class(emb: DataFrame, key: str, vector: str, protos: DataFrame, label: str, sure: float = 0.55, unsure: float = 0.40) -> DataFrame:
+    """Class of the nearest centroid with its confidence: sure, unsure or hard by the two cuts. ``key`` must be unique.
+
+    Centroids travel in blocks, so there may be any number of classes; one row per item and block is folded. Items without
+    a direction have no class and are hard.
+    """
+    packed, blocks = _packed(protos, label, "centroid")
+    size = norm(F.col(vector))
+    best = F.array_max(F.transform("packed", lambda p: F.struct(F.round(dot(F.col(vector), p["v"]) / (F.col("_n") * p["n"]), 9).alias("s"), (-p["q"]).alias("l"))))
+    each = emb.select(key, vector, size.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(packed, "block", "left")
+    folded = each.select(key, F.when(F.col("_n") > 0, best).alias("_b")).groupBy(key).agg(F.max("_b").alias("_b"))
     lane = F.when(F.col("_b.s") >= sure, "sure").when(F.col("_b.s") >= unsure, "unsure").otherwise("hard")
-    return out.select(key, (-F.col("_b.l")).alias("predicted"), F.col("_b.s").alias("confidence"), lane.alias("lane"))
+    return folded.select(key, (-F.col("_b.l")).alias("predicted"), F.col("_b.s").alias("confidence"), lane.alias("lane"))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:

@@ -55,6 +55,21 @@ def decontaminate(train: DataFrame, key: str, bench: DataFrame, item: str, n: in
     return train.select(key).join(best, key, "left").select(key, F.round(F.coalesce("similarity", F.lit(0.0)), 9).alias("similarity"))
 
 
+def decontaminate_vectors(train: DataFrame, key: str, vector: str, bench: DataFrame, bench_vector: str) -> DataFrame:
+    """Per training vector the highest cosine with any benchmark vector, exact: ``(key, similarity)``.
+
+    Vectors without a direction (null or zero) have similarity 0, as has everything where the benchmark is empty. Keys are
+    unique. Equal vectors are compared once; pivots and the triangle inequality leave out most of the rest.
+    """
+    held = written(bench.filter(norm(F.col(bench_vector)) > 0).select(F.xxhash64(bench_vector).alias("id"), F.col(bench_vector).cast("array<double>").alias("v")).distinct(), "bench")
+    asked = train.filter(norm(F.col(vector)) > 0).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    out = train.select(key)
+    if held.isEmpty() or asked.isEmpty():
+        return out.withColumn("similarity", F.lit(0.0))
+    best = neighbour_join(held, "id", "v", 1, asked).select(F.col("id").alias(key), "similarity")
+    return out.join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
 # Similarity levels reported for leakage (fixed values).
 LEVELS = [0.7, 0.75, 0.8, 0.9, 0.95]
 

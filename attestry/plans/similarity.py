@@ -51,6 +51,27 @@ def _(t):
     return sim.leakage_report(sim.decontaminate(t.documents, "doc_id", t.benchmark, "item_id", 5))
 
 
+COSINE_SQL = """u as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings),
+best as (select a.vec_id, max(round(list_dot_product(a.e, b.e) / (a.n * b.n), 9)) as similarity from u a, u b where a.label <> 0 and b.label = 0 group by 1)"""
+
+
+def _leaked_vectors(t):
+    """Vectors of label 0 stand for the benchmark, all others for the training set."""
+    return sim.decontaminate_vectors(t.embeddings.filter("label <> 0"), "vec_id", "embedding", t.embeddings.filter("label = 0"), "embedding")
+
+
+@query("decontaminate_vectors", "M71", f"with {COSINE_SQL} select vec_id, round(similarity, 6) as similarity from best")
+def _(t):
+    return _leaked_vectors(t)
+
+
+@query("leakage_report_vectors", "M71", f"""
+with {COSINE_SQL} select count(*) as n, round(avg(similarity), 6) as mean, count(*) filter (similarity >= 1) as exact, {', '.join(f'round(avg((similarity > {c})::int), 6) as above_{int(c * 100)}' for c in sim.LEVELS)},
+round(median(similarity), 6) as median from best""")
+def _(t):
+    return sim.leakage_report(_leaked_vectors(t))
+
+
 @query("near_duplicates", "M73", f"""
 with g as ({_long('documents', 'doc_id', 3)}), n as (select doc_id, count(*) as n from g group by 1),
 c as (select a.doc_id, b.doc_id as other, count(*) as c from g a join g b on a.gram = b.gram and b.doc_id < a.doc_id group by all),
