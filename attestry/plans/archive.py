@@ -113,7 +113,7 @@ def _(t):
     reports.publish(first, table, "source")
     second = t.documents.filter("source in ('src1', 'src2') and lang <> 'fr'").select("doc_id", F.sha2(F.concat("text", F.lit("!")), 256).alias("body"), "source")
     reports.publish(second, table, "source")
-    return t.spark.read.schema(first.schema).parquet(table)
+    return reports.read_published(t.spark, table, first.schema, "source")
 
 
 REPORT_SQL = """r as (select c_custkey as id, coalesce(case o when 'F' then 'saved' when 'O' then 'up-to-date' when 'P' then 'failed' end, 'failed') as status
@@ -153,3 +153,18 @@ def _(t):
     payload = F.concat("event_type", F.when(F.col("event_type") == "error", F.repeat("props", 5)).otherwise(F.col("props")))
     log = files.event_log(t.events.select("event_id", "ts", payload.alias("payload")), ["ts", "event_id"], "payload", 40)
     return log.select("event_id", "seq", "payload", "pointer")
+
+
+@query("resolve_payloads", "M01", """
+with p as (select *, event_type || repeat(props, case when event_type = 'error' then 5 else 1 end) as payload from events)
+select event_id, sha256(payload) as body, (select count(distinct payload) from p where length(payload) > 40) as stored from p""")
+def _(t):
+    """The log with its payloads beside it in two appends, resolved again; equal payloads are stored once."""
+    payload = F.concat("event_type", F.when(F.col("event_type") == "error", F.repeat("props", 5)).otherwise(F.col("props")))
+    events = t.events.select("event_id", "ts", "user_id", payload.alias("payload"))
+    log, path = files.event_log(events, ["ts", "event_id"], "payload", 40), shared_folder(t.spark, "payloads")
+    held = lambda: t.spark.read.schema("pointer string, payload string").parquet(path)
+    files.payload_store(events.filter("user_id < 500"), "payload", 40).write.parquet(path)
+    files.payload_store(events, "payload", 40, held()).write.mode("append").parquet(path)
+    stored = held().agg(F.count(F.lit(1))).scalar()
+    return files.resolve(log, held(), "payload").select("event_id", F.sha2("payload", 256).alias("body"), stored.alias("stored"))

@@ -128,3 +128,20 @@ def event_log(events: DataFrame, order: Sequence[str], payload: str, limit: int,
     pointer = F.when(long, F.concat(F.lit("sha256:"), F.sha2(payload, 256)))
     numbered = running(events, [], order, number="seq", parts=parts)
     return numbered.withColumns({"pointer": pointer, payload: F.when(long, F.concat(F.left(payload, F.lit(limit)), F.lit("…"))).otherwise(F.col(payload))})
+
+
+def payload_store(events: DataFrame, payload: str, limit: int, known: DataFrame | None = None) -> DataFrame:
+    """``pointer, payload`` of every payload over the limit, each text once; those that ``known`` (an earlier store) holds are left out.
+
+    The rows can be appended to the earlier store: its content gives each row its name.
+    """
+    long = events.filter(F.length(payload) > limit).select(F.concat(F.lit("sha256:"), F.sha2(payload, 256)).alias("pointer"), F.col(payload).alias("payload"))
+    fresh = long if known is None else long.join(known.select("pointer"), "pointer", "left_anti")
+    return fresh.groupBy("pointer").agg(F.first("payload").alias("payload"))
+
+
+def resolve(log: DataFrame, store: DataFrame, payload: str) -> DataFrame:
+    """The log with whole payloads: a pointer gives what the store holds under it, null where it holds nothing."""
+    held = store.select("pointer", F.col("payload").alias("_whole"))
+    whole = F.when(F.col("pointer").isNotNull(), F.col("_whole")).otherwise(F.col(payload))
+    return log.join(held, "pointer", "left").withColumn(payload, whole).select(*log.columns)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestry.functions.text import short_description
-from attestry.session import shared_folder
 
 
 def review_status(verified_by: Column, route: Column | None = None) -> Column:
@@ -59,16 +62,53 @@ def write_index(lines: DataFrame, path: str) -> None:
     ordered.select("line").write.mode("overwrite").text(path)
 
 
-def publish(df: DataFrame, table: str, key: str) -> None:
-    """All or nothing per key: the new version is written aside first, so a failed computation leaves the table as it was.
-
-    Publishing replaces the partitions of the keys at hand and no others.
+def _layers(spark: SparkSession, table: str) -> tuple[int, list[str]]:
+    """Number of the last publication and the folders it names, oldest first."""
+    try:
+        rows = spark.read.schema("n long, folders array<string>").parquet(f"{table}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, []
+    last = rows.orderBy(F.desc("n")).limit(1).collect()
+    return (last[0].n, list(last[0].folders)) if last else (0, [])
+
+
+def _newest(spark: SparkSession, schema: StructType, folders: Sequence[str], key: str) -> DataFrame:
+    """Rows of every key from the last folder that holds it."""
+    if not folders:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(f).withColumn("_layer", F.lit(i)) for i, f in enumerate(folders)]
+    every = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
+        return every.drop("_layer")
+    last = every.groupBy(F.col(key).alias("_key")).agg(F.max("_layer").alias("_last"))
+    return every.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_layer") == F.col("_last"))).select(*schema.names)
+
+
+def publish(df: DataFrame, table: str, key: str, layers: int = 4) -> None:
+    """All or nothing: readers (``read_published``) see the table as it was until the new version of all keys at hand stands.
+
+    The rows go to a folder of their own; then one small pointer file, which names the folders in force, is added, and it
+    alone makes them visible. A key's rows come from the last folder that holds it. Once more than ``layers`` folders are
+    in force they are folded into one, without what newer versions have replaced. One writer at a time; folders no pointer
+    names any longer can be cleaned by age.
     """
     spark = df.sparkSession
-    staging = shared_folder(spark, "staging")
-    df.write.parquet(staging)
-    ready = spark.read.schema(df.schema).parquet(staging)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(table)
+    fresh = f"{table}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    n, folders = _layers(spark, table)
+    folders = [*folders, fresh]
+    if len(folders) > layers:
+        whole = f"{table}/rows-{uuid.uuid4().hex}"
+        _newest(spark, df.schema, folders, key).write.parquet(whole)
+        folders = [whole]
+    spark.createDataFrame([(n + 1, folders)], "n long, folders array<string>").coalesce(1).write.mode("append").parquet(f"{table}/pointer")
+
+
+def read_published(spark: SparkSession, table: str, schema: StructType, key: str) -> DataFrame:
+    """The table as its last publication left it; nothing published is an empty table."""
+    return _newest(spark, schema, _layers(spark, table)[1], key)
 
 
 def batch_report(ids: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

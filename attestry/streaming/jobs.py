@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -42,6 +41,11 @@ def drain_updates(stream: DataFrame, purpose: str, keys: Sequence[str]) -> DataF
 
     Writing a batch twice replaces it, so a retried batch leaves no trace.
     """
+    return drain_counted(stream, purpose, keys)[0]
+
+
+def drain_counted(stream: DataFrame, purpose: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``drain_updates`` and beside it ``batch, rows, late``: the rows each batch read, and those it refused as behind the watermark."""
     spark, names = stream.sparkSession, stream.columns
     out, check = shared_folder(spark, purpose), shared_folder(spark, f"{purpose}-state")
 
@@ -53,12 +57,10 @@ def drain_updates(stream: DataFrame, purpose: str, keys: Sequence[str]) -> DataF
     rows = spark.read.option("basePath", out).schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     rest = [c for c in names if c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return latest.select(*keys, "r.*")
-
-
-def dropped_by_watermark(q: StreamingQuery) -> int:
-    """Rows a finished query refused as late, summed over its recent progress."""
-    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for s in p["stateOperators"])
+    told = [(p["batchId"], p["numInputRows"], sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in p["stateOperators"])) for p in q.recentProgress]
+    late = shared_folder(spark, f"{purpose}-late")
+    spark.createDataFrame(told, "batch long, rows long, late long").coalesce(1).write.parquet(late)
+    return latest.select(*keys, "r.*"), spark.read.schema("batch long, rows long, late long").parquet(late)
 
 
 def idle_sessions(events: DataFrame, session: str, ts: str, gap: str, lateness: str = LATENESS) -> DataFrame:
@@ -190,11 +192,15 @@ def constraint_registry(turns: DataFrame, session: str, at: str, turn: str, text
     return found.select(F.col("_key").alias(session), F.col("_turn").alias(turn), F.col("_number").alias("number"), F.col("_text").alias(text))
 
 
-def weekly_drift(events: DataFrame, key: str, ts: str, value: str, low: float, high: float, width: str = "7 days", lateness: str = LATENESS) -> DataFrame:
-    """Mean and deviation per tumbling window, with an alert outside the band."""
+def weekly_drift(events: DataFrame, key: str, ts: str, value: str, band: DataFrame, width: str = "7 days", lateness: str = LATENESS) -> DataFrame:
+    """Mean and deviation per tumbling window, with an alert under or over the band of its key.
+
+    ``band(key, low, high)`` is a static table, such as the raters' mean and two deviations; a null end is open, and a key
+    without a band gives no alert.
+    """
     g = events.withWatermark(ts, lateness).groupBy(key, F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    alert = (F.col("mean") < low) | (F.col("mean") > high)
-    return g.select(key, F.col("w.start").alias("week"), "n", "mean", "sd", alert.alias("alert"))
+    alert = F.coalesce(F.col("mean") < F.col("low"), F.lit(False)) | F.coalesce(F.col("mean") > F.col("high"), F.lit(False))
+    return g.join(band.select(key, "low", "high"), key, "left").select(key, F.col("w.start").alias("week"), "n", "mean", "sd", alert.alias("alert"))
 
 
 def moving_rate(events: DataFrame, key: str, ts: str, hit: Column, value: str, width: str, slide: str, lateness: str = LATENESS) -> DataFrame:

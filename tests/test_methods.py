@@ -147,10 +147,24 @@ def test_streams_in_several_batches(spark, folder):
     stream = jobs.read_stream(spark, f"{folder}/in", df, per_batch=1)
     got = {(r.u, r.events) for r in jobs.drain(jobs.idle_sessions(stream, "u", "ts", "1 hour"), "s").collect()}
     assert got == {(1, 2), (1, 1), (2, 1)}
-    weeks = jobs.drain_updates(jobs.weekly_drift(stream, "u", "ts", "v", 0.0, 8.5, lateness="30 days"), "w", ["u", "week"]).collect()
+    band = spark.createDataFrame([(2, 0.0, 8.5)], "u int, low double, high double")
+    weeks = jobs.drain_updates(jobs.weekly_drift(stream, "u", "ts", "v", band, lateness="30 days"), "w", ["u", "week"]).collect()
     assert sorted((r.u, r.n, r.alert) for r in weeks) == [(1, 3, False), (2, 1, False), (2, 1, True)]
 
 
+def test_late_rows_are_counted_beside_the_result(spark, folder):
+    rows = [(1, "2024-01-01 00:00:00", 5), (1, "2024-02-01 00:00:00", 6), (1, "2024-02-02 00:00:00", 7), (1, "2024-01-02 00:00:00", 8)]
+    df = spark.createDataFrame(rows, "u int, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
+    for i in range(5, 9):
+        df.filter(F.col("v") == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.read_stream(spark, f"{folder}/in", df, per_batch=1)
+    band = spark.createDataFrame([(1, None, None)], "u int, low double, high double")
+    weeks, told = jobs.drain_counted(jobs.weekly_drift(stream, "u", "ts", "v", band, lateness="1 hour"), "w", ["u", "week"])
+    assert sum(r.n for r in weeks.collect()) == 3 and not any(r.alert for r in weeks.collect())
+    counts = told.collect()
+    assert sum(r.late for r in counts) == 1 and sum(r.rows for r in counts) == 4
+
+
 def test_ingest_sees_earlier_batches(spark, folder):
     schema = "doc long, version int, fingerprint string, forced boolean, pinned boolean"
     for i, row in enumerate([(1, 1, "a", False, False), (1, 1, "a", False, False), (1, 2, "b", False, False), (1, 2, "b", False, True)]):

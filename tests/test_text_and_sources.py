@@ -179,11 +179,38 @@ def test_index_golden_and_empty(spark, folder):
     assert reports.NO_NOTES in empty and reports.NO_SOURCES in empty
 
 
-def test_failed_publish_leaves_the_table_as_it_was(spark, folder):
-    good = spark.createDataFrame([(1, "a"), (2, "b")], "v int, k string")
-    reports.publish(good, f"{folder}/t", "k")
-    broken = good.withColumn("v", F.raise_error(F.lit("boom")).cast("int"))
+def published(spark, path, schema="v int, k string"):
+    return sorted(((r.v, r.k) for r in reports.read_published(spark, path, spark.createDataFrame([], schema).schema, "k").collect()), key=repr)
+
+
+def test_readers_see_a_publication_whole_or_not_at_all(spark, folder):
+    table = f"{folder}/t"
+    assert published(spark, table) == []
+    reports.publish(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "v int, k string"), table, "k")
+    first = [(1, "a"), (2, "b"), (3, None)]
+    assert published(spark, table) == first
+    # One of two parts is written before the other fails: nobody sees it.
+    half = spark.range(2, numPartitions=2).select(F.when(F.col("id") == 1, F.raise_error(F.lit("boom")).cast("int")).otherwise(8).alias("v"), F.lit("a").alias("k"))
     with pytest.raises(Exception):
-        reports.publish(broken, f"{folder}/t", "k")
-    reports.publish(spark.createDataFrame([(9, "a")], "v int, k string"), f"{folder}/t", "k")
-    assert {(r.v, r.k) for r in spark.read.parquet(f"{folder}/t").collect()} == {(9, "a"), (2, "b")}
+        reports.publish(half, table, "k")
+    assert published(spark, table) == first
+    # A full version without its pointer is not there either.
+    spark.createDataFrame([(7, "b")], "v int, k string").write.parquet(f"{table}/rows-orphan")
+    assert published(spark, table) == first
+    reports.publish(spark.createDataFrame([(9, "a"), (10, "a")], "v int, k string"), table, "k")
+    assert published(spark, table) == [(10, "a"), (2, "b"), (3, None), (9, "a")]
+    for i in range(6):
+        reports.publish(spark.createDataFrame([(20 + i, None)], "v int, k string"), table, "k", layers=2)
+    assert published(spark, table) == [(10, "a"), (2, "b"), (25, None), (9, "a")]
+    assert len(reports._layers(spark, table)[1]) <= 2 and not [d for d in os.listdir(table) if "=" in d]
+
+
+def test_payloads_stand_once_and_resolve(spark):
+    rows = [(1, "x" * 50), (2, "short"), (3, "x" * 50), (4, None), (5, "y" * 41)]
+    events = spark.createDataFrame(rows, "id int, payload string")
+    log = files.event_log(events, ["id"], "payload", 40, parts=2)
+    one = files.payload_store(events.filter("id < 3"), "payload", 40)
+    store = one.unionByName(files.payload_store(events, "payload", 40, one))
+    assert store.count() == 2
+    assert sorted((r.id, r.payload) for r in files.resolve(log, store, "payload").collect()) == rows
+    assert {r.id: r.payload for r in files.resolve(log, one, "payload").collect()}[5] is None
