@@ -273,6 +273,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     lead = told.filter(F.col(key).eqNullSafe(F.col("component_id")))
     kept = lead.groupBy(F.coalesce("group_id", "digest").alias("_g"), F.col(key).alias("_k")).agg(F.min("digest").alias("_d")).select("_k", "_d").distinct()
     kept = written(kept, "kept").hint("merge")
-    named = docs.withColumn("_t", F.xxhash64(F.col(f"`{text}`")))
-    stay = named.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_d")))
-    return stay.dropDuplicates(["_k", "_d"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one value, so that no column of it can be mistaken for one made here.
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_t"))
+    stay = named.join(kept, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_d")))
+    return stay.dropDuplicates(["_k", "_d"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

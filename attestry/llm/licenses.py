@@ -6,6 +6,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -140,13 +141,21 @@ class Scanner:
         place = lambda i: bisect_right(starts, i) - 1
         base = [(place(m.start()), place(m.end() - 1), label) for p, label, rx in self.base if p in flat for m in rx.finditer(flat)]
         hits: list[tuple[int, int, str, float]] = []
+        firsts: list[int] = []
+        reach: list[int] = []
         for rule, rx in self.rules:
             if seen.issuperset(rule.keywords):
+                known = len(hits)
                 for m in rx.finditer(flat):
                     a, b = place(m.start()), place(m.end() - 1)
-                    # A stronger rule already holds this place: what lies inside it says nothing more.
-                    if not any(x <= a and b <= y for x, y, *_ in hits):
+                    # A stronger rule already holds this place: what lies inside it says nothing more. Matches of one rule never overlap.
+                    at = bisect_right(firsts, a)
+                    if not at or reach[at - 1] < b:
                         hits.append((a, b, rule.label, rule.weight))
+                if len(hits) > known:
+                    # Starts in order, and how far the spans that start up to there reach.
+                    ends = sorted((x, y) for x, y, *_ in hits)
+                    firsts, reach = [x for x, _ in ends], list(accumulate((y for _, y in ends), max))
         return len(found), sorted(base), sorted(hits)
 
 

@@ -44,12 +44,15 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     covered = later.select("_key", "_digest", F.explode(F.array(F.col("p"), F.col("p") + F.col("q"), F.col("p") + F.col("r"))).alias("at"))
     gone = written(covered.groupBy("_key", "_digest").agg(F.collect_set("at").alias("_gone")), "covered")
 
-    left = docs.select(*[F.col(f"`{c}`") for c in names], named["key"].alias("_k"), named["digest"].alias("_d"))
+    # The row travels as one value, so that no column of it can be mistaken for one made here.
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), named["key"].alias("_k"), named["digest"].alias("_d"))
+    value = F.col("_row")[text]
+    lines = F.split(value, "\n")
     # A merge join whatever the sizes: the same plan, and the same share of shuffle, at every scale.
     joined = left.join(gone.hint("merge"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_digest")), "left")
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
     cut = bound(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     told = lambda x: F.length(F.trim(F.translate(x, SPACE, " " * len(SPACE)))) > 0
-    now = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(bound(cut, lambda x: F.when(told(x), x).otherwise(F.lit(""))))
-    out = [now.alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    now = F.when(F.col("_gone").isNull(), value).otherwise(bound(cut, lambda x: F.when(told(x), x).otherwise(F.lit(""))))
+    out = [now.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
     return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

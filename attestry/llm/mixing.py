@@ -106,12 +106,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     not read. ``most`` times its size is the most that is taken of a text, since no ratio exceeds it.
     """
     size = F.size(words(F.col(f"`{text}`")))
-    rows = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), size.cast("long").alias("size")), "sizes")
-    sources = ranked_sources(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")))
+    each = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), size.cast("long").alias("size"))
+    # Equal rows are one row with a count: however many there are, one fractional chance of them is left.
+    rows = written(each.groupBy("key", "source", "digest", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
+    sources = ranked_sources(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("times")).alias("source_size")))
     goal = written(targets(sources, weights, total, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    lots = goal.select(F.col("source").alias("_s"), "place", "n", "source_size", "target", F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("chance"))
-    now = rows.join(lots, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    lots = goal.select(F.col("source").alias("_s"), "place", "n", "source_size", "target", ratio.alias("ratio"))
+    now = rows.join(lots, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("ratio", F.col("ratio") * F.col("times"))
+    now = now.withColumns({"whole": F.floor("ratio").cast("long"), "chance": F.col("ratio") - F.floor("ratio")}).drop("ratio")
     schema = T.StructType([*now.drop("n").schema.fields, T.StructField("last", T.BooleanType()), T.StructField("block", T.LongType())])
     turn, settled = 0, []
 
@@ -140,7 +143,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     done = settled[0]
     for more in settled[1:]:
         done = done.union(more)
-    copies = (F.col("whole") + F.col("chance").cast("long")).alias("copies")
+    # Equal rows share their copies evenly, the first ones take one more.
+    done = done.withColumn("all", F.col("whole") + F.col("chance").cast("long")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    copies = (F.floor(F.col("all") / F.col("times")) + (F.col("i") <= F.col("all") % F.col("times")).cast("long")).cast("long").alias("copies")
     return done.select(F.col("key").alias(key), F.col("source").alias(source), "digest", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
@@ -148,6 +153,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """``docs`` as the mix takes them: each row as often as its ``copies``; rows equal in key, source and text share theirs. Columns pass through."""
     told = mix(docs, key, text, source, **options).groupBy(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("_n")).filter("_n > 0")
     told = written(told, "copies").hint("merge")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & F.col(f"`{source}`").eqNullSafe(F.col("_s")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_d"))
-    once = docs.join(told, same).dropDuplicates(["_k", "_s", "_d"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one value, so that no column of it can be mistaken for one made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").cast("string").alias("_source"), F.xxhash64(F.col(f"`{text}`")).alias("_digest"))
+    once = rows.join(told, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_digest") == F.col("_d"))).dropDuplicates(["_k", "_s", "_d"])
+    return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -35,14 +35,18 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     after = F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3)")
     rest = F.when(F.contains(F.col(f"`{url}`"), F.lit("://")), after).otherwise(F.lit(""))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*[F.col(f"`{c}`") for c in kept], rest.alias("_rest"))
+    # The row travels as one value, so that no column of it can be mistaken for one made here.
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), rest.alias("_rest"))
     base = base.withColumn("host", lower_ascii(F.regexp_extract("_rest", r"^[^/?#]*", 0))).withColumn("path", F.regexp_extract(F.expr("substring(_rest, length(host) + 1)"), r"^[^?#]*", 0))
     base = base.drop("_rest")
     # One row per distinct (host, path): what is judged does not depend on the page.
     places = base.filter("host <> '' and path <> ''").select("host", "path").distinct()
     labels, steps = F.split("host", r"\."), F.split("path", "/")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
+    # No rule has more labels or steps than these, so longer expansions, whose number has no bound, can meet none.
+    deep = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("host"), F.max(F.size(F.split("path", "/")) - 1).alias("path")).head()
+    most_labels, most_steps = int(deep.host or 1), int(deep.path or 1)
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(steps) - 1, F.lit(most_steps))), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
     wide = places.filter(F.size(steps) > 1).select("host", "path", F.explode(hosts).alias("_h"), paths.alias("_ps"))
     wide = wide.select("host", "path", "_h", F.explode("_ps").alias("_p")).withColumn("_d", F.sha2(F.concat("_h", F.lit("\n"), "_p"), 256))
     table = rules.select(F.col("host").alias("_rh"), F.col("path").alias("_rp"), F.col("verdict").alias("_v")).withColumn("_rd", F.sha2(F.concat("_rh", F.lit("\n"), "_rp"), 256))
@@ -52,4 +56,4 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
     # Written, so that Spark can split the join where one place holds many pages.
     best = written(best, "places")
     joined = base.join(best, ["host", "path"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.v", F.lit(otherwise)).alias("verdict"))
+    return joined.select(*[F.col("_row")[c].alias(c) for c in kept], "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.v", F.lit(otherwise)).alias("verdict"))

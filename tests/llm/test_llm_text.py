@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.llm import jaccard_join, licenses, line_dedup, private_data, quality, url_filters
+from attestry.llm import jaccard_join, licenses, line_dedup, mixing, private_data, quality, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -268,3 +269,47 @@ def test_private_contexts_find_more(spark):
         else:
             assert by[d].more == [], d
     assert private_data.find_private(texts(spark, [])).count() == 0
+
+
+# --- columns with any names, very long rows, equal rows
+
+
+def test_no_column_name_is_mistaken_for_an_inner_one(spark):
+    inner = ["_gone", "_k", "_d", "_key", "_digest", "_t", "_n", "_s", "_copy", "_row", "_rest", "_best", "_source", "_g", "w", "p", "key", "digest", "source_size", "_h", "row"]
+    line = "\n".join(f"the {w} line of many words here" for w in ("first", "second", "third", "fourth"))
+    docs = spark.createDataFrame([(1, line, "a", "http://x.net/es/y"), (2, line, "a", "http://b.com/"), (3, "something else entirely, quite short", None, None)], "doc_id long, text string, source string, url string")
+    for i, c in enumerate(inner):
+        docs = docs.withColumn(c, F.lit(100 + i))
+    same = lambda rows: all(r[c] == 100 + i for r in rows for i, c in enumerate(inner))
+    cut = line_dedup.drop_repeated_lines(docs).collect()
+    assert same(cut) and [r.text for r in sorted(cut)][1] == "" and len(cut) == 3
+    one = jaccard_join.one_of_each(docs)
+    assert one.columns == docs.columns and same(one.collect()) and {r.doc_id for r in one.collect()} == {1, 3}
+    taken = mixing.mixed(docs)
+    assert taken.columns == docs.columns and same(taken.collect()) and taken.count() >= 3
+    judged = url_filters.judge(docs, url_filters.rule_table(docs, RULES)).collect()
+    assert same(judged) and {r.doc_id: r.rule for r in judged} == {1: "net/es/", 2: "com/", 3: None}
+
+
+def test_one_row_with_very_many_mentions_or_slashes(spark):
+    text = "under the mit license " * 50_000 + "apache license 2 0"
+    start = time.time()
+    n, base, hits = licenses.Scanner(licenses.rules()).scan(text)
+    assert time.time() - start < 20 and len(base) == 50_001 and len(hits) >= 50_000
+    pages = spark.createDataFrame([(1, "http://a.b.c.net/es/" + "x/" * 50_000), (2, "http://" + "a." * 5_000 + "example.com/en/" + "/" * 20_000)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filters.judge(pages, url_filters.rule_table(pages, RULES)).collect()}
+    assert got == {1: "net/es/", 2: "example.com/en/"}
+
+
+def test_equal_rows_share_the_copies_of_one(spark):
+    rows = [(7, "the same few words again", "a")] * 3000 + [(i, "w " * (i % 40 + 1), "a" if i % 2 else "b") for i in range(100, 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    told = mixing.mix(docs, block=200).collect()
+    assert len(told) == len(rows)
+    for s in "ab":
+        own = [r for r in told if r.source == s]
+        taken, goal = sum(r.taken for r in own), own[0].target
+        assert abs(taken - goal) <= 0.02 * goal and all(0 <= r.copies <= 2 for r in own)
+    same = [r.copies for r in told if r.doc_id == 7]
+    assert max(same) - min(same) <= 1 and len(same) == 3000
+    assert sorted(map(tuple, mixing.mix(docs.repartition(3), block=200).collect())) == sorted(map(tuple, told))
