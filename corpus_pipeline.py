@@ -15,7 +15,10 @@ ORACLE_SQL = None  # a learned score, a sampled mix and a piece lattice: tested
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.7. Labels are learned from the rows that the operator's own query learns from."""
     labels = table(spark, sf_dir, "labels").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    return toxicity.score(docs, toxicity.fit(docs, labels), out="_score").filter("_score < 0.7").drop("_score")
+    out = "_score"
+    while out in docs.columns:
+        out = f"_{out}"
+    return toxicity.score(docs, toxicity.fit(docs, labels), out=out).filter(F.col(out) < 0.7).drop(out)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
