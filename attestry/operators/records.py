@@ -32,6 +32,11 @@ def owner_decisions(decisions: DataFrame, owner: str) -> DataFrame:
     return decisions.filter(F.col("decided_by") == owner).select(F.lit("human").alias("disposition"), F.col("id").alias("ref"), "finding")
 
 
+def closing_runs(runs: DataFrame) -> DataFrame:
+    """Runs that may close a finding: completed, sealed tests (``status``, ``sealed``, ``class``); a null is none of these."""
+    return runs.filter((F.col("status") == "completed") & F.col("sealed") & (F.col("class") == "test"))
+
+
 def closes_after(reviews: DataFrame, runs: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """First run strictly after each review with the same key; both carry ``at`` in whole units of time and an ``id``.
 
@@ -131,12 +136,29 @@ def zero_filled(df: DataFrame, col: str, values: Sequence[str], what: str) -> Da
     return joined.select(F.concat(F.lit(f"{what}:"), "item").alias("item"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def open_by_review(findings: DataFrame) -> DataFrame:
+    """Open majors and minors of every review, zero where it has none."""
+    still = lambda s: F.count_if((F.col("state") != "closed") & (F.col("severity") == s))
+    return findings.groupBy("review").agg(still("major").alias("open_majors"), still("minor").alias("open_minors"))
+
+
 def project_status(findings: DataFrame, dispositions: DataFrame, runs: DataFrame, registry: DataFrame, kinds: Sequence[str], gates: DataFrame | None = None) -> DataFrame:
-    """Dashboard rows ``(item, n)``: open findings by severity, dispositions zero-filled, sealed runs, registry size, gates."""
+    """Dashboard rows ``(item, n)``: phase, open findings by severity and majors by review, dispositions zero-filled, sealed runs, registry size, gates.
+
+    The phase is ``design`` before any run is sealed, ``review`` while a major is open, and ``build`` after that; its row
+    says 1, those of the other phases 0.
+    """
     out = zero_filled(findings.filter("state <> 'closed'"), "severity", ["major", "minor"], "open")
     out = out.unionByName(zero_filled(dispositions, "disposition", kinds, "disposition"))
     out = out.unionByName(runs.agg(F.count_if("sealed").alias("n")).select(F.lit("runs sealed").alias("item"), "n"))
     out = out.unionByName(registry.agg(F.count(F.lit(1)).alias("n")).select(F.lit("registry entries").alias("item"), "n"))
+    majors = open_by_review(findings)
+    out = out.unionByName(majors.select(F.concat(F.lit("open majors of "), F.col("review").cast("string")).alias("item"), F.col("open_majors").alias("n")))
+    sealed = runs.agg(F.count_if("sealed").alias("s")).scalar()
+    some = majors.agg(F.sum("open_majors").alias("m"))
+    phase = F.when(sealed == 0, "design").when(F.coalesce("m", F.lit(0)) > 0, "review").otherwise("build")
+    each = F.explode(F.array(*[F.lit(p) for p in ("design", "review", "build")]))
+    out = out.unionByName(some.select(phase.alias("now"), each.alias("p")).select(F.concat(F.lit("phase:"), "p").alias("item"), (F.col("now") == F.col("p")).cast("long").alias("n")))
     if gates is not None:
         out = out.unionByName(gates.agg(F.count_if("open").alias("n")).select(F.lit("gates open").alias("item"), "n"))
     return out

@@ -20,17 +20,38 @@ def _(t):
     return files.parse_documents(raw, "value", ["type", "title", "arxiv.id", "arxiv.version"], ["doc_id"]).withColumn("body", F.sha2("body", 256))
 
 
-@query("read_atom", "A02", """
-select p_partkey, '24' || lpad((p_size % 12 + 1)::varchar, 2, '0') || '.' || lpad(p_partkey::varchar, 5, '0') as id, p_size::bigint as version, p_name || ' study' as title,
-  'A' || p_partkey || ';B ' || p_brand as authors, '2024-01-01T00:00:00Z' as published, 'cs.CL;' || p_type as categories, 'cs.CL' as primary_category, 'about ' || p_name as summary from part""")
+ATOM_SQL = """
+select {key}'24' || lpad((p_size % 12 + 1)::varchar, 2, '0') || '.' || lpad(p_partkey::varchar, 5, '0') as id, p_size::bigint as version, p_name || ' study' as title,
+  'A' || p_partkey || ';B ' || p_brand as authors, '2024-01-01T00:00:00Z' as published, 'cs.CL;' || p_type as categories, 'cs.CL' as primary_category, 'about ' || p_name as summary from part"""
+
+
+@query("read_atom", "A02", ATOM_SQL.format(key="p_partkey, "))
 def _(t):
+    e = files.entries_from_text(_entries(t), "xml", ["p_partkey"])
+    return _shown(e, "p_partkey")
+
+
+def _entries(t):
     pid = F.concat(F.lit("24"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
     xml = F.concat(
         F.lit("<entry><id>http://arxiv.org/abs/"), pid, F.lit("v"), "p_size", F.lit("</id><title>"), "p_name", F.lit("\n  study</title><published>2024-01-01T00:00:00Z</published><summary>about\n "), "p_name",
         F.lit("</summary><author><name>A"), "p_partkey", F.lit("</name></author><author><name>B "), "p_brand", F.lit('</name></author><category term="cs.CL"/><category term="'), "p_type", F.lit('"/></entry>'),
     )
-    e = files.entries_from_text(t.part.select("p_partkey", xml.alias("xml")), "xml", ["p_partkey"])
-    return e.select("p_partkey", "id", "version", "title", F.array_join("authors", ";").alias("authors"), "published", F.array_join("categories", ";").alias("categories"), "primary_category", "summary")
+    return t.part.select("p_partkey", xml.alias("xml"))
+
+
+def _shown(e, *keep):
+    return e.select(*keep, "id", "version", "title", F.array_join("authors", ";").alias("authors"), "published", F.array_join("categories", ";").alias("categories"), "primary_category", "summary")
+
+
+@query("read_atom_files", "A02", ATOM_SQL.format(key=""))
+def _(t):
+    """The same entries written as feeds and scanned as files, each of which holds many."""
+    path = shared_folder(t.spark, "feeds")
+    lots = F.pmod(F.xxhash64("p_partkey"), F.lit(max(1, -(-t.part.count() // 500)))).alias("lot")
+    feeds = _entries(t).groupBy(lots).agg(F.concat(F.lit("<feed>"), F.concat_ws("\n", F.collect_list("xml")), F.lit("</feed>")).alias("value"))
+    feeds.write.partitionBy("lot").text(path)
+    return _shown(files.read_atom(t.spark, path))
 
 
 @query("read_results", "A05", """

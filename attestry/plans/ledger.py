@@ -371,13 +371,15 @@ def _(t):
 
 @query("closes_after", "L02", """
 with e as (select event_id, user_id, ts from events where event_type = 'error'),
-p as (select event_id, user_id, ts from events where event_type = 'purchase')
+p as (select event_id, user_id, ts from events where event_type = 'purchase' and value >= 20 and event_id % 7 <> 0 and event_id % 5 <> 0)
 select e.user_id, e.event_id as review, arg_min(p.event_id, row(p.ts, p.event_id)) as run
 from e left join p on p.user_id = e.user_id and p.ts > e.ts group by 1, 2""")
 def _(t):
     ev = t.events
-    ev = ev.select("user_id", F.col("event_id").alias("id"), "event_type", as_number(ev, "ts").cast("long").alias("at"))
-    return records.closes_after(ev.filter("event_type = 'error'"), ev.filter("event_type = 'purchase'"), "user_id")
+    ev = ev.select("user_id", F.col("event_id").alias("id"), "event_type", "value", as_number(ev, "ts").cast("long").alias("at"))
+    status = F.when(F.col("value") >= 20, "completed").otherwise("failed")
+    runs = ev.filter("event_type = 'purchase'").withColumns({"status": status, "sealed": F.col("id") % 7 != 0, "class": F.when(F.col("id") % 5 == 0, "sweep").otherwise("test")})
+    return records.closes_after(ev.filter("event_type = 'error'"), records.closing_runs(runs), "user_id")
 
 
 @query("review_gate", "L03", """
@@ -449,6 +451,8 @@ select 'open:' || s as item, (select count(*) from states where severity = s and
 union all select 'disposition:' || k, (select count(*) from states where disposition = k) from (values ('accept'), ('reject'), ('test'), ('human')) v(k)
 union all select 'runs sealed', (select count(*) from orders where o_orderpriority <> '5-LOW')
 union all select 'registry entries', (select count(*) from supplier)
+union all select 'open majors of ' || review, count(*) filter (severity = 'major' and state <> 'closed') from states group by review
+union all select 'phase:' || p, (p = case when (select count(*) from orders where o_orderpriority <> '5-LOW') = 0 then 'design' when (select count(*) from states where severity = 'major' and state <> 'closed') > 0 then 'review' else 'build' end)::int::bigint from (values ('design'), ('review'), ('build')) v(p)
 union all select 'gates open', (select count(*) from labels where toxic = 0)""")
 def _(t):
     states = _states(t)

@@ -101,6 +101,14 @@ def _(t):
     return latex.bare_numbers(_tex_lines(t), "tex", "file")
 
 
+@query("material_gaps", "A30", """
+select doc_id, i::bigint as line from (select doc_id, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as i
+  from (select doc_id, replace(replace(text, ' de ', ' [MATERIAL GAP] '), ' and ', ' [material gap] ') as t from documents)) where contains(l, '[MATERIAL GAP]')""")
+def _(t):
+    text = F.replace(F.replace("text", F.lit(" de "), F.lit(" [MATERIAL GAP] ")), F.lit(" and "), F.lit(" [material gap] "))
+    return latex.material_gaps(t.documents.select("doc_id", text.alias("text")), "text", "doc_id")
+
+
 @query("cite_keys", "A33", f"select {FILE_SQL}, 2::bigint as line, unnest(['k' || l_partkey, 'm' || l_suppkey]) as key from lineitem")
 def _(t):
     return latex.cite_keys(_tex_lines(t), "tex", "file")
