@@ -91,7 +91,7 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", round
     """One row per row of ``docs``: key, ``base`` and ``more`` (arrays of kind, start, end; code points, end exclusive).
 
     ``base`` holds the valid matches of each base kind, leftmost first without overlap; a match that fails its test is
-    dropped and not tried again. They are the seeds. Runs of signs with digits outside them are further instances. Each
+    dropped and not tried again. They are the seeds. Runs of eight signs or more with two digits or more, of any length, are further instances where they meet no seed. Each
     of ``rounds`` scores every context by the mean score of its instances (two are added to their number), and every
     unknown instance by its best context met ``support`` times or more. ``more`` holds instances scored ``confident`` or
     better, kind ``id``; of ``key=value`` only the value.
@@ -106,8 +106,8 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", round
     told = written(first.select("key", "digest", merged.alias("base"), "run"), "spans")
 
     seeds = told.select("key", "digest", F.explode("base").alias("s")).select("key", "digest", "s.start", "s.end", F.lit(1.0).alias("score"), contexts(F.col("s.left"), F.lit("")).alias("at"))
-    usable = F.filter("run", lambda s: (F.length(s["value"]) <= 128) & (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 2) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    other = told.select("key", "digest", F.explode(usable).alias("s")).withColumn("cut", F.length(F.regexp_extract("s.value", r"^([A-Za-z_-]{2,32}=)(?=.{8})", 1)))
+    usable = F.filter("run", lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 2) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    other = told.select("key", "digest", F.explode(usable).alias("s")).withColumn("cut", F.length(F.regexp_extract("s.value", r"^([A-Za-z_-]{2,32}=)(?=.)", 1)))
     other = other.select("key", "digest", (F.col("s.start") + F.col("cut")).alias("start"), F.col("s.end").alias("end"), F.lit(0.0).alias("score"), contexts(F.col("s.left"), F.col("s.value")).alias("at"))
     nodes = written(seeds.withColumn("seed", F.lit(True)).union(other.withColumn("seed", F.lit(False))).distinct(), "instances")
     id_ = ["key", "digest", "start", "end"]

@@ -146,7 +146,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [number(k) for k in private_data.KINDS]
-    return told.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
+    own = F.size("more").cast("long").alias("n_more")
+    return told.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), own)
 
 
 # Where the public tokenizers lie; their place is a parameter of the operator.

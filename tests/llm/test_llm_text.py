@@ -271,6 +271,18 @@ def test_private_contexts_find_more(spark):
     assert private_data.find_private(texts(spark, [])).count() == 0
 
 
+def test_private_values_of_any_length_and_short_values_behind_a_key(spark):
+    rng = random.Random(9)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    values = [(i, f"the ticket went to ann{i}@mail.example.org and key={token(20)} was set") for i in range(30)]
+    values += [(i, f"write to ann{i}@mail.example.org") for i in range(30, 60)] + [(i, f"write to key={token(20)}") for i in range(60, 90)]
+    values += [(100, "write to key=" + "a1" * 80), (101, "write to key=ab12cd")]
+    got = rows_of(private_data.find_private(texts(spark, values)))
+    span = lambda i: [dict(values)[i][m.start : m.end] for m in got[i].more]
+    assert span(60) and span(60)[0] == dict(values)[60][len("write to key=") :]
+    assert span(100) == ["a1" * 80] and span(101) == ["ab12cd"]
+
+
 # --- columns with any names, very long rows, equal rows
 
 
