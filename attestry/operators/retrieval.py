@@ -17,10 +17,10 @@ from attestry.session import spread, written
 K1, B = 1.2, 0.75
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None, without: DataFrame | None = None) -> DataFrame:
     """Best k documents ``(doc, score)`` per query by BM25. ``queries(query, text)``, ``docs(doc, text)`` plus filter columns.
 
-    Statistics cover the filtered documents. Each document's words are counted inside its own task; only query words
+    Statistics cover the filtered documents. Pairs in ``without(query, doc)`` are left out before anything is ranked. Each document's words are counted inside its own task; only query words
     travel on, and a query's list is cut to k before the last shuffle.
     """
     d = docs if where is None else docs.filter(where)
@@ -33,6 +33,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = Non
     idf = F.ln(1 + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / whole["avg"]))
     scored = tf.join(asked.join(df, "t"), "t").groupBy("query", "doc").agg(F.round(F.sum(weight), 9).alias("score"))
+    if without is not None:
+        scored = scored.join(without.select("query", "doc"), ["query", "doc"], "left_anti")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
