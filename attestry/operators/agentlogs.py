@@ -334,10 +334,17 @@ def bottleneck(spans: DataFrame, task: str, request: str, component: str, value:
     return top.select(task, request, F.col(f"t.{component}").alias("dominant"), (F.col("t.v") / F.nullif(F.col("all"), F.lit(0)).cast("double")).alias("share"), F.col("all").cast("double").alias("total"))
 
 
+def _ratio(high: Column, low: Column) -> Column:
+    """Division of doubles as IEEE has it: over zero it is infinite, zero over zero not a number."""
+    high, low = high.cast("double"), low.cast("double")
+    over_zero = F.when(high == 0, F.lit(float("nan"))).when(high > 0, F.lit(float("inf"))).when(high < 0, F.lit(float("-inf")))
+    return F.when(low == 0, over_zero).otherwise(high / low)
+
+
 def spread_ratio(per_request: DataFrame, task: str, total: str) -> DataFrame:
-    """Max over min of request totals within each task, and of task means across tasks."""
-    g = per_request.groupBy(task).agg((F.max(total) / F.min(total)).alias("within"), F.avg(total).alias("mean"))
-    across = g.agg(F.max("mean") / F.min("mean")).scalar()
+    """Max over min of request totals within each task, and of task means across tasks; infinite where the least is zero."""
+    g = per_request.groupBy(task).agg(_ratio(F.max(total), F.min(total)).alias("within"), F.avg(total).alias("mean"))
+    across = g.agg(_ratio(F.max("mean"), F.min("mean"))).scalar()
     return g.withColumn("across", across)
 
 
