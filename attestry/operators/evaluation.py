@@ -274,11 +274,16 @@ def cumulative_pass(attempts: DataFrame, item: str, k: str, passed: Column, part
 
 
 def claims_of(texts: DataFrame, key: Sequence[str], text: Column) -> DataFrame:
-    """Every number of a text with its place: ``(key, place, claimed)``; a text without numbers claims nothing."""
-    found = texts.select(*key, F.posexplode(extract_numbers(text)).alias("place", "_n"))
-    percent = F.endswith(F.col("_n"), F.lit("%"))
-    value = F.translate(F.col("_n"), ",%", "").try_cast("double")
-    return found.select(*key, "place", F.when(percent, value / 100).otherwise(value).alias("claimed"))
+    """Every distinct number of a text with its place: ``(key, place, claimed)``; a text without numbers claims nothing.
+
+    Numbers written in two ways, such as 7 and 7.00, are one claim at the first one's place.
+    """
+
+    def value(n: Column) -> Column:
+        plain = F.translate(n, ",%", "").try_cast("double")
+        return F.when(F.endswith(n, F.lit("%")), plain / 100).otherwise(plain)
+
+    return texts.select(*key, F.posexplode(F.array_distinct(F.transform(extract_numbers(text), value))).alias("place", "claimed"))
 
 
 def claim_vs_log(claims: DataFrame, log: DataFrame, key: Sequence[str], tolerance: float, place: Sequence[str] = ()) -> DataFrame:
