@@ -99,10 +99,19 @@ def common_support(panel: DataFrame, key: Sequence[str], agent: str, clean: Colu
 
 
 def effect_retention(df: DataFrame, keys: Sequence[str], condition: str, base: str, compressed: str, upper: str, value: Column) -> DataFrame:
-    """Compliance per condition and the retained share of the effect."""
-    pick = lambda c: F.avg(F.when(F.col(condition) == c, value))
-    g = df.groupBy(*keys).agg(pick(base).alias("base"), pick(compressed).alias("compressed"), pick(upper).alias("upper"))
-    return g.withColumn("retention", (F.col("compressed") - F.col("base")) / F.nullif(F.col("upper") - F.col("base"), F.lit(0.0)))
+    """Compliance per condition and the retained share of the effect.
+
+    Means and differences come from sums and counts, so a decimal ``value`` gives the same result in any order of rows and
+    an effect of nothing is exactly zero.
+    """
+    sides = {"base": base, "compressed": compressed, "upper": upper}
+    of = {n: F.when(F.col(condition) == c, value) for n, c in sides.items()}
+    g = df.groupBy(*keys).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in of.items()], *[F.count(v).alias(f"_n_{n}") for n, v in of.items()])
+    s, n = (lambda side: F.col(f"_s_{side}")), (lambda side: F.col(f"_n_{side}"))
+    above = lambda side: (s(side) * n("base") - s("base") * n(side)).cast("double")
+    whole = F.nullif(n("compressed") * above("upper"), F.lit(0.0))
+    means = [(s(side).cast("double") / F.nullif(n(side), F.lit(0))).alias(side) for side in sides]
+    return g.select(*keys, *means, (n("upper") * above("compressed") / whole).alias("retention"))
 
 
 def rate_decomposition(tasks: DataFrame, family: str, treated: Column, in_context: Column, success: Column) -> DataFrame:

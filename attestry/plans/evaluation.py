@@ -78,7 +78,7 @@ def _(t):
 with g as (select l_linestatus, l_suppkey, avg(l_discount) filter (l_returnflag = 'A') as base, avg(l_discount) filter (l_returnflag = 'N') as compressed, avg(l_discount) filter (l_returnflag = 'R') as upper from lineitem group by 1, 2)
 select l_linestatus, l_suppkey, round(base, 6) as base, round(compressed, 6) as compressed, round(upper, 6) as upper, round((compressed - base) / nullif(upper - base, 0), 6) as retention from g""")
 def _(t):
-    return ev.effect_retention(t.lineitem, ["l_linestatus", "l_suppkey"], "l_returnflag", "A", "N", "R", F.col("l_discount"))
+    return ev.effect_retention(t.lineitem, ["l_linestatus", "l_suppkey"], "l_returnflag", "A", "N", "R", F.col("l_discount").cast("decimal(18,6)"))
 
 
 @query("rate_decomposition", "M32", """
