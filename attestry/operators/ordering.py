@@ -124,14 +124,20 @@ def shifted(
 
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, parts: int | None = None) -> DataFrame:
     """Latest non-null ``value`` at or before each row inside its key. ``order`` must be unique."""
+    return carried_all(df, keys, order, {out: value}, parts)
+
+
+def carried_all(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, str], parts: int | None = None) -> DataFrame:
+    """``carried`` for several columns in one pass; ``cols`` maps output name to column."""
     cut = with_spans(df, order, parts)
     inside = Window.partitionBy(*keys, SPAN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn(out, F.last(value, ignorenulls=True).over(inside))
-    held = [*order, *([value] if value not in order else [])]
-    ends = cut.groupBy(*keys, SPAN).agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*held))).alias("_end"))
+    local = cut.withColumns({o: F.last(c, ignorenulls=True).over(inside) for o, c in cols.items()})
+    held = lambda c: F.struct(*order, *([c] if c not in order else []))
+    ends = cut.groupBy(*keys, SPAN).agg(*[F.max(F.when(F.col(c).isNotNull(), held(c))).alias(f"_end_{o}") for o, c in cols.items()])
     earlier = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, SPAN, F.last("_end", ignorenulls=True).over(earlier).alias("_prior"))
-    return local.join(ends, [*keys, SPAN]).withColumn(out, F.coalesce(out, f"_prior.{value}")).drop(SPAN, "_prior")
+    ends = ends.select(*keys, SPAN, *[F.last(f"_end_{o}", ignorenulls=True).over(earlier).alias(f"_prior_{o}") for o in cols])
+    joined = local.join(ends, [*keys, SPAN])
+    return joined.withColumns({o: F.coalesce(o, f"_prior_{o}.{c}") for o, c in cols.items()}).drop(SPAN, *[f"_prior_{o}" for o in cols])
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, parts: int | None = None) -> DataFrame:

@@ -371,15 +371,15 @@ def _(t):
 
 @query("closes_after", "L02", """
 with e as (select event_id, user_id, ts from events where event_type = 'error'),
-p as (select event_id, user_id, ts from events where event_type = 'purchase' and value >= 20 and event_id % 7 <> 0 and event_id % 5 <> 0)
-select e.user_id, e.event_id as review, arg_min(p.event_id, row(p.ts, p.event_id)) as run
+p as (select event_id, user_id, ts, value >= 20 and event_id % 7 <> 0 and event_id % 5 <> 0 as closes from events where event_type = 'purchase')
+select e.user_id, e.event_id as review, arg_min(p.event_id, row(p.ts, p.event_id)) as run, arg_min(p.event_id, row(p.ts, p.event_id)) filter (p.closes) as closed_by
 from e left join p on p.user_id = e.user_id and p.ts > e.ts group by 1, 2""")
 def _(t):
     ev = t.events
     ev = ev.select("user_id", F.col("event_id").alias("id"), "event_type", "value", as_number(ev, "ts").cast("long").alias("at"))
     status = F.when(F.col("value") >= 20, "completed").otherwise("failed")
     runs = ev.filter("event_type = 'purchase'").withColumns({"status": status, "sealed": F.col("id") % 7 != 0, "class": F.when(F.col("id") % 5 == 0, "sweep").otherwise("test")})
-    return records.closes_after(ev.filter("event_type = 'error'"), records.closing_runs(runs), "user_id")
+    return records.closes_after(ev.filter("event_type = 'error'"), runs, "user_id", closes=records.closing())
 
 
 @query("review_gate", "L03", """
