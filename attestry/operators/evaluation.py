@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -45,42 +46,58 @@ def static_score(df: DataFrame, key: str, rules: Sequence[tuple[str, Column, flo
 
 
 def _skyline(frames: Iterator[pd.DataFrame], group: str, best: str, cost1: str, cost2: str) -> Iterator[pd.DataFrame]:
-    """Undominated points of everything a task sees, kept per group while the batches stream by."""
-    held: dict = {}
+    """Undominated points, equal ones once, of rows that come by group, falling ``best`` and rising costs.
+
+    Held is the staircase of the group so far: rising first costs with falling second ones. A point is beaten when a stair
+    of more ``best`` lies at or under it in both costs and is not the same place.
+    """
+    steps1: list = []
+    steps2: list = []
+    level: list = []
+    now = top = last = None
     for frame in frames:
-        for g, part in frame.groupby(group, sort=False):
-            pool = pd.concat([held[g], part]) if g in held else part
-            pool = pool.sort_values([best, cost1, cost2], ascending=[False, True, True], kind="stable")
-            r, a, b = (pool[c].to_numpy() for c in (best, cost1, cost2))
-            keep, kr, ka, kb = [], np.empty(0), np.empty(0), np.empty(0)
-            for i in range(len(pool)):
-                worse = (kr > r[i]) & (ka <= a[i]) & (kb <= b[i]) & ((ka < a[i]) | (kb < b[i]))
-                if not worse.any():
-                    keep.append(i)
-                    kr, ka, kb = np.append(kr, r[i]), np.append(ka, a[i]), np.append(kb, b[i])
-            held[g] = pool.iloc[keep]
-    yield from held.values()
+        keep = []
+        for i, point in enumerate(zip(*(frame[c].tolist() for c in (group, best, cost1, cost2)))):
+            if point == last:
+                continue
+            last = point
+            g, r, x, y = point
+            if g != now:
+                now, top, steps1, steps2, level = g, r, [], [], []
+            elif r != top:
+                for u, v in level:
+                    at = bisect.bisect_right(steps1, u)
+                    if at and steps2[at - 1] <= v:
+                        continue
+                    start = bisect.bisect_left(steps1, u)
+                    end = start
+                    while end < len(steps2) and steps2[end] >= v:
+                        end += 1
+                    steps1[start:end], steps2[start:end] = [u], [v]
+                top, level = r, []
+            at = bisect.bisect_right(steps1, x) - 1
+            if at < 0 or steps2[at] > y or (steps2[at] == y and steps1[at] == x):
+                keep.append(i)
+                level.append((x, y))
+        if keep:
+            yield frame.iloc[keep]
 
 
 def pareto_front(df: DataFrame, group: str, reward: str, latency: str, cost: str) -> DataFrame:
     """Rows no other row of the group beats: more reward, no worse latency and cost, one of them strictly better.
 
-    Dominance is transitive, so points beaten inside one task can go before anything is shuffled. The few survivors are
-    compared across tasks by an anti join, which stops at the first better point.
+    Dominance is transitive, so points beaten inside one task of the scan go before anything is shuffled, which leaves a
+    large group few rows. The rest meets once more by group. Both times a task reads its rows in order and holds one
+    staircase. A row with a null beats nothing and is not beaten.
     """
-    points = df.select(group, reward, latency, cost).distinct()
-    thin = lambda d: d.mapInPandas(lambda it: _skyline(it, group, reward, latency, cost), d.schema)
-    left = thin(thin(points).repartition(group, F.pmod(F.xxhash64(reward, latency, cost), F.lit(32))))
-    a, b = left.alias("a"), left.alias("b")
-    better = (
-        (F.col(f"b.{group}") == F.col(f"a.{group}"))
-        & (F.col(f"b.{reward}") > F.col(f"a.{reward}"))
-        & (F.col(f"b.{latency}") <= F.col(f"a.{latency}"))
-        & (F.col(f"b.{cost}") <= F.col(f"a.{cost}"))
-        & ((F.col(f"b.{latency}") < F.col(f"a.{latency}")) | (F.col(f"b.{cost}") < F.col(f"a.{cost}")))
-    )
-    front = a.join(b, better, "left_anti")
-    return df.join(front, [group, reward, latency, cost], "left_semi")
+    place = [group, reward, latency, cost]
+    whole = F.lit(True)
+    for c in place:
+        whole = whole & F.col(c).isNotNull()
+    ordered = lambda d: d.sortWithinPartitions(group, F.desc(reward), latency, cost)
+    thin = lambda d: ordered(d).mapInPandas(lambda it: _skyline(it, group, reward, latency, cost), d.schema)
+    front = thin(thin(df.filter(whole).select(*place)).repartition(group))
+    return df.filter(whole).join(front, place, "left_semi").unionByName(df.filter(~whole))
 
 
 def pair_conditions(df: DataFrame, case: str, condition: str, first: str, second: str, value: Column) -> DataFrame:
