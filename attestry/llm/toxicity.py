@@ -296,20 +296,21 @@ def lower_bound(share: Column, n: Column, z: float = 1.0) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, max_features: int = 50_000, max_words: int = 50_000, rounds: int = 6) -> tuple[Restorer, dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int | None = None, max_features: int = 50_000, max_words: int = 50_000, rounds: int = 6) -> tuple[Restorer, dict[str, float], float]:
     """The restorer, the weight of each telling feature, and the base rate.
 
-    ``fit_rows`` bounds the sample of labelled rows the classifier is fitted on (documented bound: labelled keys with
-    the smallest hashes, an expected number of ``fit_rows``, spread over the whole table); ``max_features`` bounds the
+    All labelled rows are read, unless ``fit_rows`` asks for a sample (labelled keys with the smallest hashes, an expected
+    number of ``fit_rows``, spread over the whole table); ``max_features`` bounds the
     model and ``max_words`` the frequent words that the restorer knows whole. A list is learned in ``rounds``: each takes the features whose share of label 1 is furthest above the base
     rate (G statistic over 20 and over an eighth of the round's best, Wilson lower bound at least 0.7, for beginnings 0.93) and sets aside
     the texts that hold one. So words that only stand beside a telling word, as in copies of one text, are not learned.
     """
     grams = {r.gram: r.n for r in trigram_counts(docs, text).collect()}
     marked = labels.select(labels[key].alias("_k"), labels[label].cast("int").alias("toxic")).filter("_k is not null and toxic is not null").groupBy("_k").agg(F.max("toxic").alias("toxic"))
-    n_all = marked.count()
-    share = min(1.0, fit_rows / max(1, n_all))
-    sample = marked.filter(F.pmod(F.xxhash64("_k", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = marked
+    if fit_rows is not None:
+        share = min(1.0, fit_rows / max(1, marked.count()))
+        sample = marked.filter(F.pmod(F.xxhash64("_k", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = written(docs.select(docs[key].alias("_k"), docs[text].cast("string").alias("text")).join(sample, "_k").select("text", "toxic"), "sample")
     vocabulary = {r.word: r.n for r in word_counts(rows).filter("n > 1").orderBy(F.desc("n"), "word").limit(max_words).collect()}
     restorer = Restorer(grams, vocabulary)
