@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -146,16 +148,85 @@ def diverse_select(items: DataFrame, key: str, text: str, fitness: Column, k: in
     return items.sparkSession.createDataFrame(chosen, schema)
 
 
+def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per length up to ``most``: length, starts of the word runs that stay inside their text, and a 64-bit hash of each."""
+    w = batch.column("w")
+    flat = w.flatten().dictionary_encode()
+    texts = np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False))
+    word = pd.util.hash_array(flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.uint64)
+    h = word
+    for n in range(1, most + 1):
+        if n > 1:
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[n - 1 :]
+        at = np.flatnonzero(texts[: len(h)] == texts[n - 1 :])
+        yield n, at, h[at]
+
+
+def _bits(t: np.ndarray, log_bits: int) -> list[np.ndarray]:
+    mask = np.uint64((1 << log_bits) - 1)
+    return [t & mask, (t >> np.uint64(log_bits)) & mask]
+
+
+def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = 27) -> DataFrame:
+    """``(group, gram, y, b)`` with every gram of 1 to ``most`` words that occurs ``least`` times or more; rarer ones may be among them.
+
+    ``marked(group, _bg, w)``. Rare grams are nearly all of the distinct ones, so they travel as counted hashes only: a
+    hash seen too rarely belongs to rare grams alone. The frequent hashes set the bits of a filter of a fixed size (16 MB),
+    and only grams that pass it are counted as texts. A full filter lets more rare grams through and loses none.
+    """
+    kind = marked.schema[group].dataType
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h in _runs(batch, most):
+                values, n = np.unique(h, return_counts=True)
+                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    # Tasks have counted already; counting again before the shuffle would find next to nothing to add up.
+    often = marked.select("w").mapInArrow(hashes, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    mask = F.lit((1 << log_bits) - 1)
+    places = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", log_bits).bitwiseAND(mask))
+    words = often.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    flags = np.zeros(1 << (log_bits - 6), np.int64)
+    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = flags.view(np.uint64)
+        for batch in batches:
+            w, groups = batch.column("w"), batch.column(group)
+            flat = w.flatten()
+            texts = np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False))
+            word = flat.dictionary_encode().indices.to_numpy()
+            code = groups.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            back = batch.column("_bg").to_numpy(zero_copy_only=False)
+            for n, at, h in _runs(batch, most):
+                ok = np.ones(len(h), bool)
+                for p in _bits(h, log_bits):
+                    ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+                at = at[ok]
+                if not len(at):
+                    continue
+                same = {"g": code[texts[at]], **{f"w{j}": word[at + j] for j in range(n)}}
+                f = pd.DataFrame(same | {"at": at, "b": back[texts[at]].astype(np.int64)}).groupby(list(same), sort=False).agg(at=("at", "first"), y=("at", "size"), b=("b", "sum"))
+                first = f["at"].to_numpy()
+                parts = [flat.take(pa.array(first + j)) for j in range(n)]
+                gram = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+                yield pa.record_batch([groups.take(pa.array(texts[first])), gram, pa.array(f["y"].to_numpy(np.int64)), pa.array(f["b"].to_numpy(np.int64))], [group, "gram", "y", "b"])
+
+    schema = T.StructType([T.StructField(group, kind), T.StructField("gram", T.StringType()), T.StructField("y", T.LongType()), T.StructField("b", T.LongType())])
+    return marked.mapInArrow(counted, schema).groupBy(group, "gram").agg(F.sum("y").alias("y"), F.sum("b").alias("b"))
+
+
 def distinctive_ngrams(docs: DataFrame, group: str, text: str, background: Column, least: int = 10, top: int = 40, prior: float = 1000.0) -> DataFrame:
     """The most distinctive 1- to 3-grams of each group: log-odds z against a fixed background with a Dirichlet prior."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    marked = spread(docs.select(F.col(group), background.alias("_bg"), text)).select(group, "_bg", words.alias("w"))
-    each = marked.select(group, "_bg", F.explode(F.concat(*[grams(F.col("w"), n) for n in (1, 2, 3)])).alias("gram"))
-    counts = written(each.groupBy(group, "gram").agg(F.count(F.lit(1)).alias("y"), F.count_if("_bg").alias("b")), "grams")
+    marked = spread(docs.select(F.col(group), F.coalesce(background, F.lit(False)).alias("_bg"), text)).select(group, "_bg", words.alias("w"))
+    counts = written(frequent_grams(marked, group, 3, least), "grams")
     pool = counts.groupBy("gram").agg(F.sum("y").alias("all"), F.sum("b").alias("back")).filter(F.col("all") >= least)
-    kept = counts.join(pool, "gram")
+    kept = written(counts.join(pool, "gram"), "kept")
     totals = kept.groupBy(group).agg(F.sum("y").alias("n"))
-    whole = pool.select(F.struct(F.sum("all").cast("double").alias("all"), F.sum("back").cast("double").alias("back"))).scalar()
+    # The groups' counts of a gram add up to the pool's.
+    whole = kept.select(F.struct(F.sum("y").cast("double").alias("all"), F.sum("b").cast("double").alias("back"))).scalar()
     a = F.col("all") / whole["all"] * prior
     odds = lambda y, n: F.ln((y + a) / (n + prior - y - a))
     z = (odds(F.col("y"), F.col("n")) - odds(F.col("back"), whole["back"])) / F.sqrt(1 / (F.col("y") + a) + 1 / (F.col("back") + a))

@@ -251,3 +251,23 @@ def test_draws_keep_every_stratum_at_its_size(spark):
     told = {r.statistic: r for r in statistics.resampled_ratios(df, "c", {"x": ("top", "n"), "y": ("n", "n")}, 50, "k", ["s"], pairs=[("y", "x")]).collect()}
     assert told["y"].low == told["y"].high == 1.0 and told["x"].low < told["x"].median < told["x"].high
     assert abs(told["y - x"].median - 1 + told["x"].median) < 1e-9 and told["y - x"].excludes_zero
+
+
+def test_frequent_grams_are_whole_whatever_the_filter_lets_through(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.random() < 0.3, [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 30))]) for _ in range(300)] + [("a", True, None)]
+    want = {}
+    for g, back, w in rows:
+        for n in (1, 2, 3):
+            for i in range(len(w or []) - n + 1):
+                y, b = want.get((g, " ".join(w[i : i + n])), (0, 0))
+                want[g, " ".join(w[i : i + n])] = (y + 1, b + back)
+    total = {}
+    for (_, gram), (y, _) in want.items():
+        total[gram] = total.get(gram, 0) + y
+    often = {k: v for k, v in want.items() if total[k[1]] >= 5}
+    marked = spark.createDataFrame(rows, "g string, _bg boolean, w array<string>")
+    for log_bits in (27, 7):
+        got = {(r.g, r.gram): (r.y, r.b) for r in similarity.frequent_grams(marked, "g", 3, 5, log_bits).collect()}
+        assert got.items() <= want.items() and often.items() <= got.items()
+        assert log_bits < 27 or len(got) < len(want) / 4
