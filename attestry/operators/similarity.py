@@ -237,6 +237,7 @@ def distinctive_ngrams(docs: DataFrame, group: str, text: str, background: Colum
 
 def list_overlap(top: DataFrame, group: str) -> DataFrame:
     """Jaccard similarity of the groups' lists; each list is at most ``top`` long, and pairs arise only from shared grams."""
+    top = written(top, "lists")
     a, b = top.select(F.col(group).alias("a"), "gram"), top.select(F.col(group).alias("b"), "gram")
     common = a.join(b, "gram").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     size = top.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
