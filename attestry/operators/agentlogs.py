@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import item_type, short_description
 from attestry.operators.evaluation import hash_order
-from attestry.operators.ordering import exact_quantiles, once, running, shifted
-from attestry.session import spread
+from attestry.operators.ordering import exact_quantiles, once, running, shifted, span_count
+from attestry.session import spread, written
 
 
 def sigmoid(x: Column) -> Column:
@@ -236,8 +236,14 @@ def decompose(items: DataFrame, constraints: DataFrame, topic: str, item: str, l
     cum = running(items, [topic], [item], {"_cum": length}, number="_rn", parts=parts)
     chunk = F.floor((F.col("_cum") - F.col(length)) / F.greatest(F.lit(1), budget - longest))
     placed = cum.select(topic, chunk.alias("chunk"), item)
-    present = placed.select(topic, "chunk").distinct()
-    copies = constraints.select(F.col("scope").alias(topic), item).distinct().join(present, topic).join(placed, [topic, "chunk", item], "left_anti")
+    placed = written(placed, "placed")
+    # A topic's copies are made by as many tasks as there are spans, whatever share of the rows the topic holds.
+    shares = span_count(placed, parts)
+    present = placed.select(topic, "chunk").distinct().withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    # A constraint lies in one chunk of a topic at most, so that chunk is looked up before its copies are made.
+    own = placed.select(topic, item, F.col("chunk").alias("_own"))
+    wanted = constraints.select(F.col("scope").alias(topic), item).distinct().join(own, [topic, item], "left").withColumn("_share", F.pmod(F.xxhash64(item), F.lit(shares)).cast("int"))
+    copies = wanted.join(present, [topic, "_share"]).filter(F.col("_own").isNull() | (F.col("_own") != F.col("chunk")))
     return placed.withColumn("replicated", F.lit(False)).unionByName(copies.select(topic, "chunk", item).withColumn("replicated", F.lit(True)))
 
 

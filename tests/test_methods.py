@@ -271,3 +271,24 @@ def test_frequent_grams_are_whole_whatever_the_filter_lets_through(spark):
         got = {(r.g, r.gram): (r.y, r.b) for r in similarity.frequent_grams(marked, "g", 3, 5, log_bits).collect()}
         assert got.items() <= want.items() and often.items() <= got.items()
         assert log_bits < 27 or len(got) < len(want) / 4
+
+
+def _shuffled_rows(spark, df):
+    """Rows that the stages of one run of ``df`` hand to a shuffle."""
+    store, g = spark._jsc.sc().statusStore(), spark._sc._gateway
+    stages = lambda: store.stageList(spark._jvm.java.util.ArrayList(), False, False, g.new_array(g.jvm.double, 0), spark._jvm.java.util.ArrayList())
+    written = lambda: sum(s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size())))
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+def test_decompose_shuffles_no_copies(spark):
+    items = spark.range(1600).select((F.col("id") % 2).alias("topic"), "id", F.lit(10).cast("long").alias("len"))
+    cons = items.filter("id % 4 < 2").select("id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("scope")).unionByName(spark.sql("select 9999L as id, 1L as scope"))
+    out = agentlogs.decompose(items, cons, "topic", "id", "len", 60)
+    got = [(r.topic, r.chunk, r.id, r.replicated) for r in out.collect()]
+    own = {(r.id % 2, i): (r.id // 2 * 10) // 50 for r in items.collect() for i in [r.id]}
+    want = {(t, c, i, False) for (t, i), c in own.items()} | {(t, c, i, True) for i in [*(i for i in range(1600) if i % 4 < 2), *[9999]] for t in ([0, 1] if i < 9999 else [1]) for c in range(160) if own.get((t, i)) != c}
+    assert len(got) == len(want) and set(got) == want
+    assert _shuffled_rows(spark, out) < len(got) / 20
