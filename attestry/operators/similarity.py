@@ -93,21 +93,36 @@ def near_copies(docs: DataFrame, key: str, text: str, n: int = 3, threshold: flo
     """
     sets = spread(docs.select(key, text)).select(F.col(key).alias("id"), F.array_sort(gram_set(F.col(text), n)).alias("s")).filter(F.size("s") > 0)
     sets = written(sets.withColumn("d", F.sha2(F.to_json("s"), 256)), "grams")
-    group = sets.groupBy("d").agg(F.min("id").alias("lead"))
-    leads = written(sets.join(group, [sets.d == group.d, sets.id == group.lead], "left_semi").select("id", "s"), "leads")
-    copies = sets.join(leads.select("id"), "id", "left_anti").select("id")
-    long = leads.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    df = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    # A gram of one document can join nobody; it still counts for the length of the prefix.
-    w = Window.partitionBy("id").orderBy("df", "g")
+    lead = sets.groupBy("d").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    copies = written(sets.select("id", "d").join(lead, "d").filter("id <> lead").select("id"), "copies")
+    leads = written(sets.join(copies, "id", "left_anti").select("id", "s"), "leads")
+    # A gram of one document can join nobody; it still counts for the length of the prefix, where it stands in front. Nearly
+    # all grams are such, so they are counted as bare hashes and only those that may be shared travel with their document.
+    shared = leads.select(F.explode("s").alias("g")).repartition("g").groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    shared = written(shared, "shared")
+    flags = hash_filter(shared, "g")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column("s")
+            g, n = s.flatten(), pc.list_value_length(s)
+            at = np.flatnonzero(_passes(flags, g.to_numpy(zero_copy_only=False).view(np.uint64)))
+            row = pa.array(np.repeat(np.arange(len(s)), n.to_numpy())[at])
+            yield pa.record_batch([batch.column("id").take(row), n.take(row), g.take(pa.array(at))], ["id", "n", "g"])
+
+    long = leads.mapInArrow(passing, T.StructType([leads.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("g", T.LongType())]))
+    mine = Window.partitionBy("id")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    posts = long.join(df, "g").withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= prefix) & (F.col("df") > 1))
-    posts = written(posts.select("id", "n", "g"), "posts")
+    ranked = long.join(shared, "g").withColumn("_rn", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "g")))
+    posts = written(ranked.filter(F.col("_rn") <= prefix).select("id", "n", "g"), "posts")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Open ids among candidate pairs (id, other) that prove similar."""
-        a = leads.select("id", "s")
-        b = leads.select(F.col("id").alias("other"), F.col("s").alias("t"))
+        # Once written, few pairs are known to be few, and sets that meet nobody stay where they lie.
+        pairs = written(pairs, "pairs")
+        met = written(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "met")
+        a = leads.join(met, "id", "left_semi")
+        b = a.select(F.col("id").alias("other"), F.col("s").alias("t"))
         both = pairs.join(a, "id").join(b, "other")
         common = F.size(F.array_intersect("s", "t"))
         return both.filter(common / (F.size("s") + F.size("t") - common).cast("double") > threshold).select("id").distinct()
@@ -162,12 +177,32 @@ def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, n
         yield n, at, h[at]
 
 
+LOG_BITS = 27
+
+
 def _bits(t: np.ndarray, log_bits: int) -> list[np.ndarray]:
     mask = np.uint64((1 << log_bits) - 1)
     return [t & mask, (t >> np.uint64(log_bits)) & mask]
 
 
-def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = 27) -> DataFrame:
+def hash_filter(hashes: DataFrame, h: str, log_bits: int = LOG_BITS) -> np.ndarray:
+    """A Bloom filter of 64-bit hashes, of a fixed size (16 MB): it lets every one of them pass, and few others while it is not full."""
+    mask = F.lit((1 << log_bits) - 1)
+    places = F.array(F.col(h).bitwiseAND(mask), F.shiftrightunsigned(h, log_bits).bitwiseAND(mask))
+    words = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    flags = np.zeros(1 << (log_bits - 6), np.int64)
+    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return flags
+
+
+def _passes(flags: np.ndarray, h: np.ndarray, log_bits: int = LOG_BITS) -> np.ndarray:
+    bits, ok = flags.view(np.uint64), np.ones(len(h), bool)
+    for p in _bits(h, log_bits):
+        ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = LOG_BITS) -> DataFrame:
     """``(group, gram, y, b)`` with every gram of 1 to ``most`` words that occurs ``least`` times or more; rarer ones may be among them.
 
     ``marked(group, _bg, w)``. Rare grams are nearly all of the distinct ones, so they travel as counted hashes only: a
@@ -184,14 +219,9 @@ def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bit
 
     # Tasks have counted already; counting again before the shuffle would find next to nothing to add up.
     often = marked.select("w").mapInArrow(hashes, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    mask = F.lit((1 << log_bits) - 1)
-    places = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", log_bits).bitwiseAND(mask))
-    words = often.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-    flags = np.zeros(1 << (log_bits - 6), np.int64)
-    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    flags = hash_filter(often, "h", log_bits)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = flags.view(np.uint64)
         for batch in batches:
             w, groups = batch.column("w"), batch.column(group)
             flat = w.flatten()
@@ -200,10 +230,7 @@ def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bit
             code = groups.dictionary_encode(null_encoding="encode").indices.to_numpy()
             back = batch.column("_bg").to_numpy(zero_copy_only=False)
             for n, at, h in _runs(batch, most):
-                ok = np.ones(len(h), bool)
-                for p in _bits(h, log_bits):
-                    ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                at = at[ok]
+                at = at[_passes(flags, h, log_bits)]
                 if not len(at):
                     continue
                 same = {"g": code[texts[at]], **{f"w{j}": word[at + j] for j in range(n)}}

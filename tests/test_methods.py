@@ -316,3 +316,20 @@ def test_bm25_equals_brute_force_whatever_the_lots(spark):
         out = retrieval.bm25(*frames, 7, without=spark.createDataFrame(list(barred), "query long, doc string"), **sizes)
         assert {(r.query, r.doc, r["rank"]) for r in out.collect()} == want
     assert _shuffled_rows(spark, out) < 12_000
+
+
+def test_near_copies_hand_grams_of_one_document_on_but_once(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(400)] + texts()[:40]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    store, g = spark._jsc.sc().statusStore(), spark._sc._gateway
+    stages = lambda: store.stageList(spark._jvm.java.util.ArrayList(), False, False, g.new_array(g.jvm.double, 0), spark._jvm.java.util.ArrayList())
+    handed = lambda: sum(s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size())))
+    before = handed()
+    got = {r.id: r.near_copy for r in similarity.near_copies(docs, "id", "text").collect()}
+    grams = sum(max(0, len(t.split()) - 2) for _, t in rows)
+    assert handed() - before < 1.6 * grams
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    near = lambda a, b: bool(a and b) and len(a & b) / len(a | b) > 0.7
+    assert got == {i: any(near(s, sets[j]) for j in range(i)) for i, s in sets.items()} and any(got.values())
