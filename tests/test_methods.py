@@ -291,7 +291,12 @@ def test_decompose_shuffles_no_copies(spark):
     own = {(r.id % 2, i): (r.id // 2 * 10) // 50 for r in items.collect() for i in [r.id]}
     want = {(t, c, i, False) for (t, i), c in own.items()} | {(t, c, i, True) for i in [*(i for i in range(1600) if i % 4 < 2), *[9999]] for t in ([0, 1] if i < 9999 else [1]) for c in range(160) if own.get((t, i)) != c}
     assert len(got) == len(want) and set(got) == want
-    assert _shuffled_rows(spark, out) < len(got) / 20
+    # No table is small enough to be sent whole, as at size.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffled_rows(spark, agentlogs.decompose(items, cons, "topic", "id", "len", 60)) < len(got) / 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_bm25_equals_brute_force_whatever_the_lots(spark):
