@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.functions.text import grams, tokens
-from attestry.operators.ordering import exact_quantiles, once, running
+from attestry.operators.ordering import exact_quantiles, once, running, span_count
 from attestry.operators.retrieval import dot, neighbour_join, norm
 from attestry.session import shared_folder, spread, written
 
@@ -367,13 +368,47 @@ def stitch(items: DataFrame, key: str, vector: str, length: str, target: int, k:
                 break
 
 
-def split_topics(items: DataFrame, key: str, vector: str, most: int, rounds: int = 3, lopsided: float = 1 / 16) -> DataFrame:
+def _over(x: np.ndarray, y: float) -> np.ndarray:
+    """``x > y`` in Spark's order, where NaN is the largest value."""
+    return (x > y) | (np.isnan(x) & (not np.isnan(y)))
+
+
+def _leaves_inside(part: pd.DataFrame, most: int, rounds: int, lopsided: float) -> pd.DataFrame:
+    """All further splits of one leaf that fits a task, by the rules of ``split_topics``: ``(_h, leaf)``."""
+    part = part.sort_values("_h", ignore_index=True)
+    z, w = np.stack(part["z"].to_numpy()).astype(float), part["w"].to_numpy()
+    out, todo = np.empty(len(part), object), [(part["leaf"][0], np.arange(len(part)))]
+    while todo:
+        leaf, at = todo.pop()
+        if w[at].sum() <= most or len(at) == 1:
+            out[at] = leaf
+            continue
+        v = z[at]
+        towards = np.round(v[1:] @ v[0], 9)
+        far = 1 + int(np.argmin(np.where(np.isnan(towards), np.inf, towards)))
+        ends = centres = v[0], v[far]
+        for turn in range(rounds + 1):
+            sizes = [np.sqrt(c @ c) for c in centres]
+            # Without a direction of a centre nothing leans.
+            lean = np.round(v @ centres[1] / sizes[1] - v @ centres[0] / sizes[0], 9) if all(s != 0 for s in sizes) else None
+            side = np.zeros(len(at), bool) if lean is None else _over(lean, 0.0)
+            if turn < rounds:
+                centres = tuple(np.average(v[m], axis=0, weights=w[at][m]) if m.any() else e for m, e in zip((~side, side), ends))
+        if lean is not None and not lopsided <= side.mean() <= 1 - lopsided:
+            side = _over(lean, np.sort(lean)[(len(at) + 1) // 2 - 1])
+        side[0], side[far] = False, True
+        todo += [(f"{leaf}0", at[~side]), (f"{leaf}1", at[side])]
+    return pd.DataFrame({"_h": part["_h"], "leaf": out})
+
+
+def split_topics(items: DataFrame, key: str, vector: str, most: int, rounds: int = 3, lopsided: float = 1 / 16, inside: int | None = None) -> DataFrame:
     """Leaves of at most ``most`` items by repeated bisection on embeddings: key, ``topic`` (number of splits), ``leaf`` (its sides).
 
     All leaves of a level that are too large are split at once, and only these: two far members are the first centres, a
     few rounds of cosine 2-means follow, and a split that leaves a side with less than ``lopsided`` of its leaf is made at
     the median between the centres instead, so that levels grow with the logarithm of the table. Centres are joined by
-    leaf and never reach the driver. Equal vectors are one counted class that stays together, however large; so do
+    leaf and never reach the driver. A leaf of at most ``inside`` classes (by default what 32 MB hold) is split to the end
+    inside one task, by the same rules, so that the levels over the whole table end there. Equal vectors are one counted class that stays together, however large; so do
     vectors without a direction (null or zero), as topic -1. Null keys stay; an empty table gives an empty result.
     """
     v = F.col(vector).cast("array<double>")
@@ -381,12 +416,16 @@ def split_topics(items: DataFrame, key: str, vector: str, most: int, rounds: int
     rows = items.select(F.col(key).alias("id"), F.when(size > 0, F.transform(v, lambda x: F.round(x / size, 12))).alias("z"))
     rows = written(rows.withColumn("_h", F.sha2(F.to_json(F.struct("z")), 256)), "topics")
     classes = rows.filter("z is not null").groupBy("_h").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("w"))
-    level, done = written(classes.select("_h", "w", array_to_vector("z").alias("z"), F.lit("").alias("leaf")), "level"), []
+    inside = inside or max(most, 2**22 // (rows.agg(F.max(F.size("z"))).head()[0] or 1))
+    level, done, small = written(classes.select("_h", "w", array_to_vector("z").alias("z"), F.lit("").alias("leaf")), "level"), [], []
     while True:
         sizes = level.groupBy("leaf").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("classes"))
-        marked = written(level.join(sizes.select("leaf", ((F.col("n") > most) & (F.col("classes") > 1)).alias("large")), "leaf"), "level")
-        done.append(marked.filter("not large").select("_h", "leaf"))
-        large = marked.filter("large").drop("large")
+        open_ = (F.col("n") > most) & (F.col("classes") > 1)
+        kind = F.when(~open_, "done").when(F.col("classes") <= inside, "small").otherwise("large")
+        marked = written(level.join(sizes.select("leaf", kind.alias("kind")), "leaf"), "level")
+        done.append(marked.filter("kind = 'done'").select("_h", "leaf"))
+        small.append(marked.filter("kind = 'small'").select("_h", "w", vector_to_array("z").alias("z"), "leaf"))
+        large = marked.filter("kind = 'large'").drop("kind")
         if large.isEmpty():
             break
         apart = lambda a, b: dot(vector_to_array(a), vector_to_array(b))
@@ -407,9 +446,9 @@ def split_topics(items: DataFrame, key: str, vector: str, most: int, rounds: int
         right = F.when(F.col("_h") == F.col("ha"), False).when(F.col("_h") == F.col("hb"), True).otherwise(F.coalesce(F.col("lean") > cut, F.lit(False)))
         split = told.join(halves, "leaf").join(ends.select("leaf", "ha", "hb"), "leaf")
         level = written(split.select("_h", "w", "z", F.concat("leaf", F.when(right, "1").otherwise("0")).alias("leaf")), "level")
-    leaves = done[0]
-    for part in done[1:]:
-        leaves = leaves.unionByName(part)
+    held = reduce(DataFrame.unionByName, small).repartition(span_count(items, None), "leaf")
+    split_inside = held.groupBy("leaf").applyInPandas(lambda part: _leaves_inside(part, most, rounds, lopsided), "_h string, leaf string")
+    leaves = reduce(DataFrame.unionByName, [written(split_inside, "leaves"), *done])
     out = rows.select("id", "_h").join(leaves, "_h", "left")
     return out.select(F.col("id").alias(key), F.coalesce(F.length("leaf"), F.lit(-1)).alias("topic"), F.coalesce("leaf", F.lit("")).alias("leaf"))
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from attestry.operators import agentlogs, evaluation, retrieval, similarity, statistics, survival
+from attestry.session import written
 from attestry.streaming import jobs
 
 
@@ -139,6 +140,19 @@ def test_split_topics_leaves_fit(spark):
     assert similarity.split_topics(none.limit(0), "id", "v", 5).count() == 0
 
 
+def test_split_topics_ends_small_leaves_inside_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    v = np.vstack([rng.normal(size=(150, 4)), rng.normal(size=(3, 4)).repeat(9, axis=0), np.eye(1, 4), -np.eye(1, 4)])
+    rows, schema = [(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>"
+    steps = []
+    monkeypatch.setattr(similarity, "written", lambda df, purpose: steps.append(purpose) or written(df, purpose))
+    split = lambda **how: sorted(tuple(r) for r in similarity.split_topics(spark.createDataFrame(rows, schema), "id", "v", 15, **how).collect())
+    whole = split()
+    assert len(steps) <= 5  # the table, its classes, one look at the sizes, the leaves
+    assert whole == split(inside=60)
+    assert steps.count("lean") > 0
+
+
 def test_streams_in_several_batches(spark, folder):
     rows = [(1, "2024-01-01 00:00:00", 5), (1, "2024-01-01 00:10:00", 6), (1, "2024-01-01 09:00:00", 7), (2, "2024-01-01 01:00:00", 8), (2, "2024-01-09 00:00:00", 9)]
     df = spark.createDataFrame(rows, "u int, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
