@@ -10,6 +10,7 @@ from attestry.operators import similarity as sim
 from attestry.plans.catalogue import query
 from attestry.plans.retrieval import tokens_sql
 from attestry.plans.text import q, squash_sql
+from attestry.session import written
 
 
 
@@ -151,7 +152,10 @@ with n as (select count(*) as n, count(distinct embedding) as classes from embed
 def _(t):
     """What must hold of the leaves: every item in one, none larger than 40 unless its vectors are equal, no leaf inside another."""
     leaves = sim.split_topics(t.embeddings, "vec_id", "embedding", 40)
-    sizes = leaves.join(t.embeddings.select("vec_id", "embedding"), "vec_id").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("embedding").alias("classes"))
+    leaves = written(leaves, "leaves")
+    # Classes are told apart by digest: a vector itself would travel with every row.
+    classes = t.embeddings.select("vec_id", F.sha2(F.to_json(F.struct("embedding")), 256).alias("class"))
+    sizes = written(leaves.join(classes, "vec_id").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("class").alias("classes")), "sizes")
     upper = sizes.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("leaf") - 1), lambda i: F.substring(F.col("leaf"), F.lit(1), i))).alias("leaf"))
     inside = sizes.join(upper.distinct(), "leaf").agg(F.count(F.lit(1))).scalar()
     large = sizes.agg(F.count_if((F.col("n") > 40) & (F.col("classes") > 1))).scalar()
