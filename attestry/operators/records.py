@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,28 +71,38 @@ def supersede_chain(decisions: DataFrame) -> DataFrame:
 
     Missing parents and cycles come out as ``status``. Each round is written to the shared folder to cut its lineage.
     """
+    decisions = written(decisions.select("id", "supersedes"), "decisions")
     ids = decisions.select(F.col("id").alias("_pid"))
-    linked = decisions.join(ids, F.col("supersedes") == F.col("_pid"), "left")
+    # Decisions that supersede nothing stay out of the join, which would send all of them to one task.
+    asking = decisions.filter("supersedes is not null").join(ids, F.col("supersedes") == F.col("_pid"), "left")
+    linked = asking.unionByName(decisions.filter("supersedes is null").withColumn("_pid", F.lit(None).cast(decisions.schema["id"].dataType)))
     broken = F.col("supersedes").isNotNull() & F.col("_pid").isNull()
     state = written(
         linked.select("id", F.col("_pid").alias("up"), F.when(F.col("_pid").isNull(), F.col("id")).otherwise(F.col("_pid")).alias("root"), F.col("_pid").isNotNull().cast("long").alias("depth"), broken.alias("broken")),
         "chain",
     )
+    # A row that has reached its root is final. It leaves the rounds, whose joins would send all rows without ``up`` to one task.
     rounds = max(1, state.count()).bit_length()
+    final = [state.filter("up is null")]
+    state = state.filter("up is not null")
     for _ in range(rounds):
-        if state.filter("up is not null").limit(1).count() == 0:
+        if state.isEmpty():
             break
-        step = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("broken").alias("_broken"))
+        ahead = reduce(DataFrame.unionByName, [state, *final])
+        step = ahead.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("broken").alias("_broken"))
         state = written(
-            state.join(step, "up", "left").select(
+            state.join(step, "up").select(
                 "id",
                 F.col("_up").alias("up"),
-                F.coalesce("_root", "root").alias("root"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                F.coalesce("_broken", "broken").alias("broken"),
+                F.col("_root").alias("root"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
+                F.col("_broken").alias("broken"),
             ),
             "chain",
         )
+        final.append(state.filter("up is null"))
+        state = state.filter("up is not null")
+    state = reduce(DataFrame.unionByName, [state, *final])
     status = F.when(F.col("up").isNotNull(), "cycle").when(F.col("broken"), "missing parent").otherwise("ok")
     return state.select("id", "root", "depth", status.alias("status"))
 
