@@ -117,7 +117,10 @@ def resolve_evidence(evidence: DataFrame, registry: DataFrame, sources: DataFram
     """
     reg = registry.select(F.col("id").alias("registry"), "statistic", F.lit(1).alias("_reg")).distinct()
     src = sources.select(F.col("path").alias("source"), F.lit(1).alias("_src")).distinct()
-    joined = evidence.join(reg, ["registry", "statistic"], "left").join(src, "source", "left")
+    # Rows that name no entry or no source would all meet in one task; they get keys of their own, which nothing answers.
+    alone = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\0"), F.xxhash64("claim", "item").cast("string")))
+    asked = evidence.withColumns({"_entry": alone("registry"), "_path": alone("source")})
+    joined = asked.join(reg.withColumnRenamed("registry", "_entry"), ["_entry", "statistic"], "left").join(src.withColumnRenamed("source", "_path"), "_path", "left")
     outside = ~F.col("source").startswith(prefix) | path_fault(F.substring("source", 2, 10**6)).isNotNull()
     message = (
         F.when(F.col("registry").isNotNull() & F.col("_reg").isNull(), F.concat(F.lit("no registry statistic "), "registry", F.lit("/"), F.coalesce("statistic", F.lit("?"))))

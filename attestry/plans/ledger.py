@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.operators import digests, findings, records, registry
-from attestry.operators.ordering import as_number, shifted
+from attestry.operators.ordering import as_number, shifted, span_count
 from attestry.plans.catalogue import Tables, query
 
 
@@ -254,15 +254,20 @@ def _evidence(t: Tables) -> DataFrame:
     li = t.lineitem
     flag = F.col("l_returnflag")
     is_open = F.col("l_linestatus") == "O"
-    evidence = li.select(
-        F.col("l_orderkey").alias("claim"),
-        F.col("l_linenumber").alias("item"),
-        F.when(flag == "A", F.concat(F.lit("r"), "l_suppkey")).alias("registry"),
-        F.when(flag == "A", F.when(is_open, "mean").otherwise("median")).alias("statistic"),
-        F.when(flag == "N", F.concat(F.lit("/papers/sources/"), "l_partkey", F.lit(".md")))
-        .when(flag == "R", F.concat(F.when(is_open, "/papers/").otherwise("/papers/sources/../"), "l_partkey", F.lit(".md")))
-        .alias("source"),
-    ).distinct()
+    # A kind of evidence and the number it names: equal rows are dropped while they are short, and after they are spread, so
+    # that no scan task holds all of its split.
+    entry = flag == "A"
+    named = F.when(entry, F.col("l_suppkey")).when(flag.isin("N", "R"), F.col("l_partkey"))
+    kind = F.when(entry & is_open, 1).when(entry, 2).when(named.isNull(), F.lit(None)).when(flag == "N", 3).when(is_open, 4).otherwise(5)
+    short = li.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("item"), kind.alias("kind"), named.alias("named"))
+    kind, path = F.col("kind"), F.concat("named", F.lit(".md"))
+    evidence = short.repartition(span_count(short, None), "claim").distinct().select(
+        "claim",
+        "item",
+        F.when(kind <= 2, F.concat(F.lit("r"), "named")).alias("registry"),
+        F.when(kind == 1, "mean").when(kind == 2, "median").alias("statistic"),
+        F.when(kind == 3, F.concat(F.lit("/papers/sources/"), path)).when(kind == 4, F.concat(F.lit("/papers/"), path)).when(kind == 5, F.concat(F.lit("/papers/sources/../"), path)).alias("source"),
+    )
     reg = t.supplier.filter("s_acctbal > 0").select(F.concat(F.lit("r"), "s_suppkey").alias("id"), F.lit("mean").alias("statistic"))
     sources = t.part.filter("p_size <= 40").select(F.concat(F.lit("/papers/sources/"), "p_partkey", F.lit(".md")).alias("path"))
     return findings.resolve_evidence(evidence, reg, sources, "/papers/sources/")

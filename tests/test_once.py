@@ -19,3 +19,22 @@ def test_supersede_chain_carries_only_open_rows(spark, monkeypatch):
     assert len(got) == 93 and got[39] == (20, 19, "ok") and got[120] == (120, 0, "ok") and got[200][2] == "missing parent" and got[300][2] == got[301][2] == "cycle"
     rounds = [n for purpose, n in kept if purpose == "chain"]
     assert rounds[0] == 93 and rounds[1] == 40 and rounds == sorted(rounds, reverse=True) and rounds[-1] == 2
+
+
+def test_evidence_without_a_name_is_spread(spark):
+    evidence = spark.range(2000).select(F.col("id").alias("claim"), F.lit(1).alias("item"), *[F.lit(None).cast("string").alias(c) for c in ("registry", "statistic", "source")])
+    some = spark.createDataFrame([(9000, 1, "r1", "mean", None), (9001, 1, None, None, "/s/a.md"), (9002, 1, "r2", "mean", "/s/b.md")], evidence.schema)
+    reg, src = spark.createDataFrame([("r1", "mean")], "id string, statistic string"), spark.createDataFrame([("/s/a.md",)], "path string")
+    set_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        rows = findings.resolve_evidence(evidence.unionByName(some), reg, src, "/s/").withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    said = {r.claim: r.message for r in rows}
+    assert len(rows) == 2003 and said[9000] is None and said[9001] is None and said[9002] == "no registry statistic r2/mean" and said[5] == "neither registry nor source"
+    at = [r["at"] for r in rows]
+    assert max(map(at.count, set(at))) < 1000
