@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.text import bind, squash
+from attestry.functions.text import bind, evaluated, squash
 from attestry.session import spread
 
 HIDDEN = r"(?is)<(script|style|nav)\b.*?</(?:script|style|nav)>|<!--.*?-->|<!DOCTYPE[^>]*>"
@@ -46,19 +46,23 @@ def page_blocks(pages: DataFrame, doc: str, html: str) -> DataFrame:
 
     A block runs from its tag to the next block tag, so an unclosed paragraph ends where the next one starts.
     """
-    shown = F.regexp_replace(html, HIDDEN, " ")
+    # What the page shows is a column of its own: three expressions below read it.
+    pages = spread(pages.select(doc, html)).select(doc, F.regexp_replace(html, HIDDEN, " ").alias("_shown"))
+    shown = F.col("_shown")
     notes = F.transform(F.regexp_extract_all(shown, F.lit(FOOTNOTE), F.lit(1)), lambda n: F.concat(F.lit(f"footnote{NAMED}{BODY}"), F.regexp_replace(n, NOTE_MARK, "")))
     links = F.transform(
         F.regexp_extract_all(shown, F.lit(f"({LINK})"), F.lit(1)), lambda a: F.concat(F.lit(f"a{NAMED}{BODY}"), a)
     )
     body = F.regexp_replace(shown, FOOTNOTE, "")
     pieces = F.split(F.regexp_replace(body, BLOCK_TAG, f"{OPEN}$1$2{NAMED}$3{BODY}"), OPEN)
-    rows = spread(pages.select(doc, html)).select(doc, F.posexplode(F.concat(pieces, notes, links)).alias("ord", "piece"))
+    rows = pages.select(doc, F.posexplode(F.concat(pieces, notes, links)).alias("ord", "piece"))
     tag = F.lower(F.regexp_extract("piece", f"^([^{NAMED}]*){NAMED}", 1))
     attrs = F.regexp_extract("piece", f"(?s){NAMED}([^{BODY}]*){BODY}", 1)
-    kind = F.when(tag == "footnote", "footnote").when(tag == "a", "link").otherwise(_kind(tag, attrs))
+    kind = F.when(F.col("tag") == "footnote", "footnote").when(F.col("tag") == "a", "link").otherwise(_kind(F.col("tag"), F.col("_attrs")))
+    parted = evaluated(rows, [doc, "ord", "piece"], tag=tag, _attrs=attrs)
+    kinds = evaluated(parted, [doc, "ord", "tag", "piece"], kind=kind).filter("kind is not null")
     text = plain_text(F.regexp_extract("piece", f"(?s){BODY}(.*)$", 1))
-    return rows.select(doc, "ord", kind.alias("kind"), tag.alias("tag"), text.alias("text")).filter("kind is not null and text <> ''")
+    return evaluated(kinds, [doc, "ord", "kind", "tag"], text=text).filter("text <> ''")
 
 
 def construct_counts(blocks: DataFrame, doc: str, kinds: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -156,6 +158,11 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def evaluated(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
+    """``keep`` and new columns, evaluated once per row: a filter on them cannot be moved in front, where it would repeat them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def grams(words: Column, n: int) -> Column:
     """Runs of n neighbouring words joined by blanks; empty when the text is shorter."""
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.text import extract_equations, extract_numbers, normalize
+from attestry.functions.text import evaluated, extract_equations, extract_numbers, normalize
 
 
 def located(blocks: DataFrame, texts: DataFrame, doc: str, body: str) -> DataFrame:
     """Each block with whether its normalised text occurs in the document's normalised text (equi-join on the document)."""
     whole = texts.select(doc, normalize(F.col(body)).alias("_body"))
-    joined = blocks.withColumn("_norm", normalize(F.col("text"))).filter("_norm <> ''").join(whole, doc, "left")
+    joined = evaluated(blocks, blocks.columns, _norm=normalize(F.col("text"))).filter("_norm <> ''").join(whole, doc, "left")
     return joined.withColumn("found", F.coalesce(F.col("_body").contains(F.col("_norm")), F.lit(False))).drop("_body", "_norm")
 
 

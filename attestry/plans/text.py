@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import latex, pages, refs, text
 from attestry.operators import coverage, findings
 from attestry.plans.catalogue import Tables, query
+from attestry.session import written
 
 
 def q(pattern: str) -> str:
@@ -347,7 +348,7 @@ def _found(t: Tables) -> DataFrame:
 
     The converted text is built per page inside one row, from the page's own markup.
     """
-    blocks = _blocks(t)
+    blocks = written(_blocks(t), "blocks")
     lost = (F.col("kind") == "link") | ((F.col("kind") == "paragraph") & F.col("text").contains(",") & (F.length("text") < 60))
     kept = blocks.filter(~lost)
     body = kept.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), " ").alias("body"))

@@ -38,3 +38,10 @@ def test_evidence_without_a_name_is_spread(spark):
     assert len(rows) == 2003 and said[9000] is None and said[9001] is None and said[9002] == "no registry statistic r2/mean" and said[5] == "neither registry nor source"
     at = [r["at"] for r in rows]
     assert max(map(at.count, set(at))) < 1000
+
+
+def test_blocks_evaluate_each_pattern_once(spark):
+    df = spark.createDataFrame([(1, "<title>t</title><nav>x</nav><p>a <b>b</b></p><p> </p><a href='u'>l</a>")], "id int, html string")
+    blocks = pages.page_blocks(df, "id", "html")
+    assert [(r.kind, r.text) for r in blocks.orderBy("ord").collect()] == [("title", "t"), ("paragraph", "a b"), ("link", "l")]
+    assert plan(blocks).count("<!DOCTYPE") == 1 and plan(blocks).count("&copy;") == 1
