@@ -79,6 +79,7 @@ LEVELS = [0.7, 0.75, 0.8, 0.9, 0.95]
 
 def leakage_report(best: DataFrame, value: str = "similarity", parts: int | None = None) -> DataFrame:
     """Mean, median, exact matches and the share above each level."""
+    best = once(best.select(value))
     shares = [F.avg((F.col(value) > c).cast("double")).alias(f"above_{int(c * 100)}") for c in LEVELS]
     g = best.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.count_if(F.col(value) >= 1).alias("exact"), *shares)
     return g.withColumn("median", exact_quantiles(best, [], value, {"m": 0.5}, parts).scalar())

@@ -45,3 +45,10 @@ def test_blocks_evaluate_each_pattern_once(spark):
     blocks = pages.page_blocks(df, "id", "html")
     assert [(r.kind, r.text) for r in blocks.orderBy("ord").collect()] == [("title", "t"), ("paragraph", "a b"), ("link", "l")]
     assert plan(blocks).count("<!DOCTYPE") == 1 and plan(blocks).count("&copy;") == 1
+
+
+def test_leakage_report_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    best = spark.createDataFrame([(float(i) / 8,) for i in range(9)], "s double").rdd.map(lambda r: seen.add(1) or r).toDF("similarity double")
+    r = similarity.leakage_report(best).head()
+    assert (r.n, r["mean"], r.exact, r.median) == (9, 0.5, 1, 0.5) and seen.value == 9
