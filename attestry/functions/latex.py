@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.refs import PAPER_ID
+from attestry.functions.text import evaluated
 
 # What may hold digits without stating a result: comments, result macros, references, layout arguments.
 MASKS = [
@@ -55,14 +56,16 @@ MARK = "\x01"
 def cite_keys(df: DataFrame, text: str, file: str) -> DataFrame:
     """Every cited key with the line its command starts on: lists, several groups, stars and line breaks included."""
     pieces = F.split(F.regexp_replace(F.regexp_replace(text, r"(?m)(^|[^\\])%.*$", "$1"), CITE_COMMAND, MARK + "$1"), MARK)
-    breaks = F.transform(pieces, lambda p: F.length(F.regexp_replace(p, r"[^\n]", "")))
+    df = df.select(file, pieces.alias("_pieces"))
+    pieces = F.col("_pieces")
+    breaks = F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
     # Running line number in front of each piece, as one fold over the breaks.
     starts = F.aggregate(breaks, F.array(F.lit(1)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
     zipped = F.filter(F.arrays_zip(pieces.alias("piece"), starts.alias("line")), lambda z: z["piece"].rlike("^[A-Za-z]*cite"))
     cited = df.select(file, F.explode(zipped).alias("z")).select(file, F.col("z.line").alias("line"), F.regexp_extract("z.piece", CITE_GROUPS, 1).alias("groups"))
     groups = cited.select(file, "line", F.explode(F.regexp_extract_all("groups", F.lit(CITE_GROUP), F.lit(1))).alias("g"))
     keys = groups.select(file, "line", F.explode(F.split("g", ",")).alias("key"))
-    return keys.select(file, "line", F.regexp_replace("key", r"^\s+|\s+$", "").alias("key")).filter("key <> ''")
+    return evaluated(keys, [file, "line"], key=F.btrim("key", F.lit(" \t\n\x0b\f\r"))).filter("key <> ''")
 
 
 ENTRY = r"@([A-Za-z]+)\s*[{(]\s*([^,\s{}()]+)\s*,"

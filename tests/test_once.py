@@ -47,6 +47,12 @@ def test_blocks_evaluate_each_pattern_once(spark):
     assert plan(blocks).count("<!DOCTYPE") == 1 and plan(blocks).count("&copy;") == 1
 
 
+def test_cite_keys_evaluate_each_pattern_once(spark):
+    keys = latex.cite_keys(spark.createDataFrame([("f", "cite\n\\cite{a,\n b\t}% \\cite{c}\n x \\citep[x]{d}{ }")], "file string, tex string"), "tex", "file")
+    assert sorted(tuple(r) for r in keys.collect()) == [("f", 2, "a"), ("f", 2, "b"), ("f", 4, "d")]
+    assert plan(keys).count("regexp_replace") == 2
+
+
 def test_leakage_report_reads_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
     best = spark.createDataFrame([(float(i) / 8,) for i in range(9)], "s double").rdd.map(lambda r: seen.add(1) or r).toDF("similarity double")
