@@ -58,8 +58,10 @@ FRONTMATTER = r"^---\n(?:[^\n]*\n)*?---\n"
 TABLE_ROW = r"(?m)^[ \t]*\|.*$"
 REFERENCES = r"(?s)(^|\n)#+ References.*$"
 NUMBER = r"(^|[^A-Za-z0-9_.])([0-9]+(?:[.,][0-9]+)*%?)"
-# The same for Spark: what has been taken is never given back, so a long list of numbers needs no depth.
-NUMBER_ONCE = NUMBER.replace(")*%?", ")*+%?")
+# The same for Spark, without the sign in front: it looks for a digit first, which most signs are not, and then behind it. A
+# percent sign that ends the number before is taken. What has been taken is never given back, so a long list of numbers
+# needs no depth.
+NUMBER_ONCE = r"(?=[0-9])(?<![A-Za-z0-9_.])(?!\G(?<=%))([0-9]+(?:[.,][0-9]+)*+%?)"
 YEAR = r"^(19|20)[0-9][0-9]$"
 
 
@@ -74,7 +76,7 @@ def extract_numbers(col: Column) -> Column:
     col = without_frontmatter(col)
     for region in (REFERENCES, TABLE_ROW):
         col = F.regexp_replace(col, region, "")
-    found = F.regexp_extract_all(col, F.lit(NUMBER_ONCE), F.lit(2))
+    found = F.regexp_extract_all(col, F.lit(NUMBER_ONCE), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: ~x.rlike(YEAR)))
 
 

@@ -36,7 +36,7 @@ def number_presence(source: DataFrame, derived: DataFrame, key: str, text: str)
 
     def parts(df: DataFrame) -> DataFrame:
         equations = F.transform(extract_equations(F.col(text)), normalize)
-        nums = df.select(key, F.lit("number").alias("kind"), F.explode(extract_numbers(F.col(text))).alias("token"))
-        return nums.unionByName(df.select(key, F.lit("equation").alias("kind"), F.explode(F.array_distinct(equations)).alias("token")))
+        of = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token")))
+        return df.select(key, F.inline(F.concat(of("number", extract_numbers(F.col(text))), of("equation", F.array_distinct(equations)))))
 
     return parts(source).join(parts(derived), [key, "kind", "token"], "left_anti")

@@ -1,9 +1,12 @@
 """Work that is done once, in shares: what a row costs, what a round carries, where rows without a key go."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from attestry.functions import latex, pages
-from attestry.operators import coverage, findings, records, similarity, statistics
+from attestry.functions import latex, pages, text
+from attestry.operators import coverage, findings, records, similarity
 from attestry.session import written
 
 
@@ -58,3 +61,16 @@ def test_leakage_report_reads_its_input_once(spark):
     best = spark.createDataFrame([(float(i) / 8,) for i in range(9)], "s double").rdd.map(lambda r: seen.add(1) or r).toDF("similarity double")
     r = similarity.leakage_report(best).head()
     assert (r.n, r["mean"], r.exact, r.median) == (9, 0.5, 1, 0.5) and seen.value == 9
+
+
+def test_number_presence_reads_each_side_once(spark):
+    src = spark.createDataFrame([("d", "12 and 7.5% with $x+1$ and $y$")], "doc string, text string")
+    bad = spark.createDataFrame([("d", "12 and $y$")], "doc string, text string")
+    lost = coverage.number_presence(src, bad, "doc", "text")
+    # A digit of an equation is a number of its text as well.
+    assert {(r.kind, r.token) for r in lost.collect()} == {("number", "7.5%"), ("number", "1"), ("equation", "x+1")}
+    assert plan(lost).count("LogicalRDD") == 2
+    rng = random.Random(3)
+    texts = ["12%34 a12%34 1%2%3", *["".join(rng.choice("12%%.,a_ \n") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(text.NUMBER_ONCE), F.lit(1))).collect()
+    assert [r[0] for r in found] == [[m.group(2) for m in re.finditer(text.NUMBER, t)] for t in texts]
