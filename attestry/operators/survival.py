@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.operators.ordering import exact_quantiles, once, running
+from attestry.functions.text import bind
+from attestry.operators.ordering import exact_quantiles, once, running, span_count
 from attestry.operators.statistics import resampled, with_weights
+from attestry.session import written
 
 
 def rule_key(col: Column) -> Column:
@@ -20,41 +22,52 @@ def rule_key(col: Column) -> Column:
 def _match_equal(rules: DataFrame, keep: Sequence[str], key: str, stage: str) -> tuple[DataFrame, DataFrame]:
     """Pair the n-th old rule with the n-th new rule of the same key; returns the pairs and what is left over.
 
-    The rows arrive partitioned by file, and every step here groups by the file first, so nothing is shuffled.
+    The rows arrive partitioned by file, and every step here groups by the file first, so nothing is shuffled. Both results
+    come from one written table, which holds texts only where they are left over.
     """
     nth = Window.partitionBy(*keep, "side", key).orderBy("i")
     numbered = rules.withColumn("_nth", F.row_number().over(nth))
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    g = numbered.groupBy(*keep, key, "_nth").agg(of("o", "i").alias("old_at"), of("n", "i").alias("new_at"), of("o", "t").alias("_to"), of("n", "t").alias("_tn"))
+    # Texts that are the key need no aggregation of their own.
+    texts = [] if key == "t" else [of("o", "t").alias("_to"), of("n", "t").alias("_tn")]
+    g = numbered.groupBy(*keep, key, "_nth").agg(of("o", "i").alias("old_at"), of("n", "i").alias("new_at"), *texts)
     both = F.col("old_at").isNotNull() & F.col("new_at").isNotNull()
+    left_text = F.col("t") if key == "t" else F.coalesce("_to", "_tn")
+    g = written(g.select(*keep, "old_at", "new_at", F.when(~both, left_text).alias("t")), stage)
     pairs = g.filter(both).select(*keep, "old_at", "new_at", F.lit(stage).alias("stage"), F.lit(100).alias("score"))
-    left = g.filter(~both).select(*keep, F.when(F.col("old_at").isNotNull(), "o").otherwise("n").alias("side"), F.coalesce("old_at", "new_at").alias("i"), F.coalesce("_to", "_tn").alias("t"))
-    return pairs, left.withColumn("k", rule_key(F.col("t")))
+    left = g.filter(~both).select(*keep, F.when(F.col("old_at").isNotNull(), "o").otherwise("n").alias("side"), F.coalesce("old_at", "new_at").alias("i"), "t")
+    return pairs, _by_file(left, keep).withColumn("k", rule_key(F.col("t")))
+
+
+def _by_file(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Files dealt over all partitions: matching costs far more than its bytes tell, so small shares are not merged."""
+    return df.repartition(span_count(df, None), *keep)
 
 
 def version_match(pairs: DataFrame, keep: Sequence[str], old: str, new: str, cut: int = 70) -> DataFrame:
     """Rules of two versions of one file, matched by exact text, then by key, then by similarity above ``cut`` percent.
 
-    Rows are spread by file once. The first two stages are counts; only the few rules they leave over meet each other,
+    Rows are spread by file. The first two stages are counts; only the few rules they leave over meet each other,
     inside their own file, where the best pair is taken first and a rule matches once. A file is one row of input, which
     bounds the group. Result rows: ``(old_at, new_at, stage, score)`` with stage exact, normalised, similar, death, birth.
     """
     side = lambda c, s: F.transform(c, lambda x, i: F.struct(F.lit(s).alias("side"), i.alias("i"), x.alias("t")))
-    rules = pairs.select(*keep, F.explode(F.concat(side(old, "o"), side(new, "n"))).alias("r")).select(*keep, "r.*").repartition(*keep)
+    rules = pairs.select(*keep, F.explode(F.concat(side(old, "o"), side(new, "n"))).alias("r")).select(*keep, "r.*")
+    rules = _by_file(rules, keep)
     exact, rest = _match_equal(rules, keep, "t", "exact")
     normalised, rest = _match_equal(rest, keep, "k", "normalised")
-    held = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("i", "t")))
+    held = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("i", "t", F.length("t").alias("len"))))
     left = rest.groupBy(*keep).agg(held("o").alias("o"), held("n").alias("n"))
 
     def scored(o: Column, n: Column) -> Column:
-        longest = F.greatest(F.length(o["t"]), F.length(n["t"]), F.lit(1))
+        longest = F.greatest(o["len"], n["len"], F.lit(1))
         # The distance stops counting once it can no longer reach the cut (-1).
         edits = F.call_function("levenshtein", o["t"], n["t"], F.floor(longest * (100 - cut) / 100).cast("int"))
-        score = F.when(edits < 0, 0).otherwise(100 - F.floor(100 * edits / longest))
+        score = bind(edits, lambda e: F.when(e < 0, 0).otherwise(100 - F.floor(100 * e / longest)))
         return F.struct((-score).cast("long").alias("s"), o["i"].alias("o"), n["i"].alias("n"))
 
     # Lengths alone rule most pairs out before any distance is computed.
-    near = lambda o, n: F.abs(F.length(o["t"]) - F.length(n["t"])) * 100 <= (100 - cut) * F.greatest(F.length(o["t"]), F.length(n["t"]))
+    near = lambda o, n: F.abs(o["len"] - n["len"]) * 100 <= (100 - cut) * F.greatest(o["len"], n["len"])
     met = F.flatten(F.transform(F.col("o"), lambda o: F.transform(F.filter(F.col("n"), lambda n: near(o, n)), lambda n: scored(o, n))))
     left = left.withColumn("_met", F.array_sort(F.filter(met, lambda p: p["s"] < -cut)))
     start = F.array().cast("array<struct<s:bigint,o:int,n:int>>")

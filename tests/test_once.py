@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from attestry.functions import latex, pages, text
-from attestry.operators import coverage, findings, records, similarity
+from attestry.operators import coverage, findings, records, similarity, survival
 from attestry.session import written
 
 
@@ -74,3 +74,12 @@ def test_number_presence_reads_each_side_once(spark):
     texts = ["12%34 a12%34 1%2%3", *["".join(rng.choice("12%%.,a_ \n") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(text.NUMBER_ONCE), F.lit(1))).collect()
     assert [r[0] for r in found] == [[m.group(2) for m in re.finditer(text.NUMBER, t)] for t in texts]
+
+
+def test_version_match_reads_its_rules_once_in_even_shares(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, [f"rule {i} one.", "same", "same", f"the old wording of a long rule {i}"], ["same", f"Rule {i} one", f"the new wording of a long rule {i}", "same"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "f int, o array<string>, n array<string>").rdd.map(lambda r: seen.add(1) or r).toDF("f int, o array<string>, n array<string>")
+    got = survival.version_match(df, ["f"], "o", "n")
+    assert sorted(tuple(r)[1:4] for r in got.filter("f = 3").collect()) == [(0, 1, "normalised"), (1, 0, "exact"), (2, 3, "exact"), (3, 2, "similar")]
+    assert got.count() == 160 and seen.value == 40
