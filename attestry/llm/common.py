@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -31,45 +31,34 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; emptied when it has grown past ``most`` words."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, found: Iterable[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of whole numbers (shifts and odd multipliers)."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def shingles(text: str | None, memo: WordHashes, size: int = 5) -> np.ndarray:
+def shingles(text: str | bytes | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word shingles of the lower-cased text; fewer words count as one shingle."""
     if not text:
         return np.empty(0, np.uint64)
-    h = memo.of(text.encode("utf-8", "surrogatepass").lower().split())
+    # Hashing a word costs less than looking it up among very many.
+    found = (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     if not len(h):
-        return np.empty(0, np.uint64)
+        return h
     width = min(size, len(h))
     step = np.uint64(0x100000001B3 if width == size else 0x1000193 + 2 * width)
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        out = mixed(out * step + h[i : len(h) - width + 1 + i])
-    return np.unique(out)
+        out *= step
+        out += h[i : len(h) - width + 1 + i]
+        out = mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def components(edges: DataFrame) -> DataFrame:

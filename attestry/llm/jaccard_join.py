@@ -5,8 +5,9 @@ similar ones: each is compared with the leader of every bucket of equal minima i
 threshold is one group, connected already. The matrix holds, for each group, the union of its members' index prefixes; a
 class asks it with its probe prefix. Both follow one global order with frequent shingles last, and are so long that a
 pair at the threshold shares a fortieth of the class's shingles there: a group that holds fewer of them cannot hold a
-partner. A class never asks its own group, so a crowd of near copies costs no more than its size. A group that qualifies
-is first compared by its leader. It is opened, member by member, only where a part of it is not yet connected with the
+partner. Nor can it if the class has too many shingles in its prefix that come before one it shares, or before all that
+follow a group's index prefixes, and are not held there: they are not in the partner. A class never asks its own group,
+so a crowd of near copies costs no more than its size. A group that qualifies is first compared by its leader. It is opened, member by member, only where a part of it is not yet connected with the
 asking class. Small bit sets, of which no pair at the threshold may differ too much, pass over most pairs; the rest are
 compared exactly on their sets.
 """
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WordHashes, components, mixed, shingles
+from attestry.llm.common import components, mixed, shingles
 from attestry.session import written
 
 
@@ -30,30 +32,53 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def small(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.DataFrame]:
+def small(batches: Iterator[pa.RecordBatch], most: int = 500) -> Iterator[pa.RecordBatch]:
     """Smaller batches: a text gives hundreds of hashes, and what goes out at once is held twice."""
     for batch in batches:
-        for start in range(0, len(batch), most):
-            yield batch.iloc[start : start + most]
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
+def cut_texts(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    """Sets of shingles of the column ``text``, whose bytes are taken as they are."""
+    return [shingles(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """An Arrow column of lists; None stays null."""
+    ends = np.cumsum([0, *[0 if v is None else len(v) for v in values]]).astype(np.int32)
+    found = [v for v in values if v is not None]
+    flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), kind)
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+# A shingle's upper half stands for it where only its place in the order is at stake.
+HALF = np.uint64(32)
 
 
 def frequent_shingles(docs: DataFrame, size: int, share: float, over: int, most: int) -> np.ndarray:
-    """Sorted hashes of shingles that stand among the first ``share`` of more than ``over`` texts, the ``most`` frequent ones.
+    """Sorted upper halves of shingles counted more than ``over`` times, the ``most`` frequent ones.
 
-    Only their place in the global order depends on them: the join is exact with any list, so its bound costs time, not pairs.
+    Counted are those among the first ``share`` of each text's set, and wherever they stand those that the texts of a
+    batch share. Only their place in the global order depends on them: the join is exact with any list, so its bound
+    costs time, not pairs.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes(200_000)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [shingles(t, memo, size) for t in batch["text"]]
-            first = [s[: int(np.ceil(share * len(s))) + 1] for s in sets]
-            tokens, n = np.unique(np.concatenate(first), return_counts=True) if first else (np.empty(0, np.uint64), np.empty(0, int))
-            yield pd.DataFrame({"token": tokens.view(np.int64), "n": n.astype(np.int64)})
-
-    counts = docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            first, rest = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for s in cut_texts(batch, size):
+                to = int(np.ceil(share * len(s))) + 1
+                first.append(s[:to] >> HALF)
+                rest.append(s[to:] >> HALF)
+            tokens, n = np.unique(np.concatenate(first), return_counts=True)
+            further, m = np.unique(np.concatenate(rest), return_counts=True)
+            tokens, n = np.concatenate([tokens, further[m > 1]]), np.concatenate([n, m[m > 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int32))], names=["token", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "token int, n int").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") > over).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
-    return np.sort(rows.column("token").to_numpy().view(np.uint64))
+    return np.sort(rows.column("token").to_numpy().view(np.uint32))
 
 
 def asked_overlap(n: int) -> int:
@@ -80,46 +105,43 @@ def bit_set(s: np.ndarray) -> np.ndarray:
 
 
 # Odd multipliers give each minimum an order of its own.
-ORDERS = np.arange(1, 13, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+ORDERS = mixed(np.arange(1, 7, dtype=np.uint64)) | np.uint64(1)
 
 
 def minima(s: np.ndarray) -> np.ndarray:
     """The smallest value of a set in each of the orders: near copies share most of them."""
-    return np.array([mixed(s * m).min() for m in ORDERS], np.uint64)
+    return np.array([(s * m).min() for m in ORDERS], np.uint64)
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
     """Per text: ``id, t`` (hash of the text), ``n``, the class ``x``, and at a class's first text in a task its minima, probe
-    prefix, the length of its index prefix and its bit set."""
+    prefix (``rare`` of it not frequent), the length of its index prefix and its bit set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes(200_000)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in small(batches):
             rows = []
-            for text in batch["text"]:
-                s = shingles(text, memo, size)
+            for s in cut_texts(batch, size):
                 if not len(s):
-                    rows.append((0, None, None, None, 0, None))
+                    rows.append((0, None, None, None, 0, 0, None))
                     continue
                 x = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
                 if x in seen:
-                    rows.append((len(s), x, None, None, 0, None))
+                    rows.append((len(s), x, None, None, 0, 0, None))
                     continue
                 seen.add(x)
-                at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
-                often = hot[at] == s if len(hot) else np.zeros(len(s), bool)
-                rare = s[~often]
-                probe = np.concatenate([rare, s[often]])[: probe_length(len(s), percent)]
-                rows.append((len(s), x, minima(s).view(np.int64), probe.view(np.int64), index_length(len(s), percent), bit_set(s)))
-            out = pd.DataFrame(rows, columns=["n", "x", "keys", "probe", "short", "bits"])
-            out["x"] = out["x"].astype("Int64")
-            out.insert(0, "id", batch["id"].values)
-            out.insert(1, "t", batch["t"].values)
-            yield out
+                half = (s >> HALF).astype(np.uint32)
+                at = np.minimum(np.searchsorted(hot, half), max(0, len(hot) - 1))
+                often = hot[at] == half if len(hot) else np.zeros(len(s), bool)
+                probe = np.concatenate([s[~often], s[often]])[: probe_length(len(s), percent)]
+                rare = min(len(probe), int(len(s) - often.sum()))
+                rows.append((len(s), x, minima(s).view(np.int64), probe.view(np.int64), rare, index_length(len(s), percent), bit_set(s)))
+            n, x, keys, probe, rare, short, bits = zip(*rows, strict=True)
+            told = [pa.array(n, pa.int64()), pa.array(x, pa.int64()), lists(keys, pa.int64()), lists(probe, pa.int64()), pa.array(rare, pa.int32()), pa.array(short, pa.int32()), lists(bits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *told], names=["id", "t", "n", "x", "keys", "probe", "rare", "short", "bits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, t long, n long, x long, keys array<long>, probe array<long>, short int, bits array<long>")
+    return docs.mapInArrow(run, f"id {kind}, t long, n long, x long, keys array<long>, probe array<long>, rare int, short int, bits array<long>")
 
 
 def near(n: Column, m: Column, percent: int) -> Column:
@@ -127,52 +149,62 @@ def near(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sizes and bit sets do not rule out the threshold."""
-    left, right = (classes.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
-    sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def spared(missed: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether a set of ``n`` that lacks ``missed`` of its shingles in one of ``m`` may still reach the threshold with it."""
+    return missed * (100 + percent) <= 100 * n - percent * m
+
+
+def resembling(percent: int) -> Column:
+    """Whether the sizes ``na, nb`` and bit sets ``sa, sb`` of two classes do not rule out the threshold."""
     half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), lambda p, q: p.bitwiseOR(q))
     fold = lambda s, o: F.when(F.size(s) > F.size(o), half(F.col(s))).otherwise(F.col(s))
     apart = F.aggregate(F.zip_with(fold("sa", "sb"), fold("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
-    return sized.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    return F.when(near(F.col("na"), F.col("nb"), percent), apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).otherwise(False)
+
 
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose sizes and bit sets do not rule out the threshold."""
+    left, right = (classes.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(resembling(percent)).select("a", "b")
 
-def likely(rows: DataFrame, reps: DataFrame, log_bits: int = 26) -> DataFrame:
-    """Rows whose hash ``t`` may be among ``reps``: a Bloom filter of a fixed size (8 MB) spares most texts the shuffle.
 
-    The join that follows decides. With very many classes the filter fills up and lets more texts through, no fewer.
-    """
-    mask, t = (1 << log_bits) - 1, F.col("_t")
+def bloom(keys: DataFrame, log_bits: int = 26) -> np.ndarray:
+    """A Bloom filter of a fixed size (8 MB) over one column of hashes; with very many it fills up and lets more through, no fewer."""
+    mask, t = (1 << log_bits) - 1, F.col(keys.columns[0])
     places = F.array(t.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(t, log_bits).bitwiseAND(F.lit(mask)))
-    words = reps.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    words = keys.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     flags = np.zeros(1 << (log_bits - 6), np.int64)
     flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return flags
+
 
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = flags.view(np.uint64)
+def likely(rows: DataFrame, flags: np.ndarray, column: str, wanted: bool = True) -> DataFrame:
+    """Rows whose hash in ``column`` may be in the filter, or with ``wanted`` false those that surely are not: most need no shuffle."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, size = flags.view(np.uint64), np.uint64(64 * len(flags))
         for batch in batches:
-            t = batch["t"].to_numpy(np.int64).view(np.uint64)
-            ok = np.ones(len(batch), bool)
-            for p in (t & np.uint64(mask), (t >> np.uint64(log_bits)) & np.uint64(mask)):
+            t = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ok = np.ones(len(t), bool)
+            for p in (t % size, t // size % size):
                 ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            yield batch[ok]
+            yield batch.filter(pa.array(ok == wanted))
 
-    return rows.mapInPandas(some, rows.schema)
+    return rows.mapInArrow(some, rows.schema)
 
 
 def class_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """``x, n, s``: the whole sets of the classes in ``pairs``, cut anew from one text of each."""
     active = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).distinct()
     reps = written(classes.join(active, "x").select("x", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t")), "active")
-    texts = likely(rows, reps).join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
+    texts = likely(rows, bloom(reps.select("_t")), "t").join(reps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("x", "text")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes(200_000)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [shingles(t, memo, size).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"x": batch["x"].values, "n": np.array([len(s) for s in sets], np.int64), "s": sets})
+            sets = cut_texts(batch, size)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([len(s) for s in sets], pa.int64()), lists([s.view(np.int64) for s in sets], pa.int64())], names=["x", "n", "s"])
 
-    return written(texts.mapInPandas(cut, "x long, n long, s array<long>").dropDuplicates(["x"]), "sets")
+    return written(texts.mapInArrow(cut, "x long, n long, s array<long>").dropDuplicates(["x"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,8 +248,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     bounds the list of frequent shingles that tasks receive (8 bytes each); whatever is not on it is handled exactly.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    # A little more than index prefixes reach: only what stands in the matrix can meet many classes.
-    hot = frequent_shingles(rows, size, 0.17, over, most)
+    # A little more than probe prefixes reach: what is counted only below that meets ever more classes above it.
+    hot = frequent_shingles(rows, size, 0.25, over, most)
     told = written(signatures(rows, hot, size, percent), "signatures")
     some = told.filter("n > 0")
     classes = some.groupBy("x").agg(F.min(F.struct("id", "t")).alias("rep"), F.min("id").alias("low"), F.min("n").alias("n"), F.count("probe").alias("copies"), F.max("keys").alias("keys"), F.max("bits").alias("bits"))
@@ -232,30 +264,49 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
     # The smallest class of a group names and leads it. Classes that are alone, and stand in one task, need no distinct.
     placed = written(classes.join(labels.toDF("x", "g"), "x", "left").select("x", "n", "copies", F.coalesce("g", "x").alias("g"), F.col("g").isNull().alias("alone")), "placed")
-    groups = written(placed.groupBy("g").agg(F.max(F.when(F.col("x") == F.col("g"), F.col("n"))).alias("nl"), F.count(F.lit(1)).alias("members")), "groups")
-    first = some.filter("probe is not null").select("x", "probe", "short").join(placed.filter("not alone or copies > 1").select("x", "g"), "x", "left")
-    lone, many = first.filter("g is null").withColumn("g", F.col("x")), first.filter("g is not null")
-    held = lambda d: d.select("g", F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token"))
-    asks = lambda d: d.select("x", "g", F.explode("probe").alias("token"))
+    # Nor do they move before they are taken apart.
+    first = some.filter("probe is not null").select("x", "n", "probe", "rare", "short")
+    named = placed.filter("not alone or copies > 1").select("x", "g", "alone")
+    known = bloom(named.select("x"))
+    perhaps, apart = likely(first, known, "x").join(named, "x", "left"), [F.col("x").alias("g"), F.lit(True).alias("alone")]
+    lone = likely(first, known, "x", False).select("*", *apart).union(perhaps.filter("g is null").drop("g", "alone").select("*", *apart))
+    many = perhaps.filter("g is not null")
+    held = lambda d: d.select(F.col("g").alias("h"), F.when(F.col("alone"), F.col("n")).alias("m"), F.explode(F.slice("probe", F.lit(1), F.col("short"))).alias("token"))
+    asked_by = lambda d: d.select("x", "g", "n", "rare", F.posexplode("probe").alias("at", "token"))
     matrix = held(lone).union(held(many).distinct())
-    asked = asks(lone).union(asks(many).distinct())
-    met = asked.join(matrix.withColumnRenamed("g", "h"), "token").filter("h <> g").groupBy("x", "h").agg(F.count(F.lit(1)).alias("k"))
-    met = met.join(placed.select("x", "n"), "x").filter(F.col("k") >= F.ceil(F.col("n") / 40))
-    found = met.select("x", "h", "n").join(groups.withColumnRenamed("g", "h"), "h").withColumn("near", near(F.col("n"), F.col("nl"), percent))
-    found = written(found.filter("near or members > 1"), "candidates")
-
-    pairs = written(alike(found.filter("near").select(*ordered("x", "h")).distinct(), classes, percent), "pairs")
+    asked = asked_by(lone).union(asked_by(many).distinct())
+    # The overlap is certain where the larger asks; of equal ones a member of a group is asked by the lone one, else the smaller asks.
+    turn = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("g") == F.col("x")) & (F.col("x") < F.col("h")))
+    met = asked.join(matrix, "token").filter((F.col("h") != F.col("g")) & (F.col("m").isNull() | (turn & near(F.col("n"), F.col("m"), percent))))
+    early = F.count(F.when(F.col("at") < F.col("rare"), 1))
+    met = met.groupBy("x", "h").agg(F.min("n").alias("n"), F.min("m").alias("m"), F.count(F.lit(1)).alias("k"), (F.max("at") + 1).alias("last"), (F.min("rare") - early).alias("missed"))
+    met = met.filter(F.col("k") >= F.ceil(F.col("n") / 40)).filter(F.col("m").isNull() | spared(F.col("last") - F.col("k"), F.col("n"), F.col("m"), percent))
+    met = written(met, "met")
+    # What a group says of all its members: the smallest size, and whether all index prefixes hold every rare shingle.
+    reach = first.join(placed.filter("not alone").select("x", "g"), "x").groupBy("g").agg(F.min("n").alias("least"), F.min(F.col("short") > F.col("rare")).alias("reach"))
+    groups = written(placed.filter("not alone").groupBy("g").agg(F.max(F.when(F.col("x") == F.col("g"), F.col("n"))).alias("nl"), F.count(F.lit(1)).alias("members")).join(reach, "g"), "groups")
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    found = met.filter("m is null").join(groups.withColumnRenamed("g", "h"), "h").filter(~F.col("reach") | spared(F.col("missed"), F.col("n"), least, percent))
+    found = written(found.select("x", "h", "n", near(F.col("n"), F.col("nl"), percent).alias("near")), "candidates")
+
+    leads = met.filter("m is not null").select("x", "h").union(found.filter("near").select("x", "h"))
+    pairs = written(alike(leads.select(*ordered("x", "h")).distinct(), classes, percent), "pairs")
     labels = connected(pairs, class_sets(rows, classes, pairs, size), percent, labels)
 
-    # Groups of several members: the parts that their leaders have not connected with the asking class.
-    crowd = placed.filter("not alone").select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("n").alias("ny"))
-    crowd = written(crowd.join(labels.toDF("y", "cy"), "y", "left").withColumn("cy", F.coalesce("cy", "y")), "crowd")
-    asking = written(found.filter("members > 1").select("x", "h", "n").join(labels.toDF("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x")), "asking")
-    opened = asking.join(crowd, "h").filter((F.col("cx") != F.col("cy")) & near(F.col("n"), F.col("ny"), percent))
-    more = alike(opened.select(*ordered("x", "y")).distinct(), classes, percent).join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
-    if not more.isEmpty():
-        labels = joined(verified(more, class_sets(rows, classes, more, size), percent), labels)
+    # Groups of several members: the parts that their leaders have not connected with the asking class. A few members
+    # of each group come first, since one link to it is enough; the others only where these have not connected it.
+    members = placed.filter("not alone").select(F.col("g").alias("h"), F.col("x").alias("y"), F.col("n").alias("nb"))
+    members = members.join(groups.select(F.col("g").alias("h"), "members"), "h").withColumn("few", F.pmod(F.xxhash64("y"), F.col("members")) < 16)
+    # Bit sets come along with each side, not with each pair.
+    members = members.join(classes.select(F.col("x").alias("y"), F.col("bits").alias("sb")), "y")
+    asks = found.select("x", "h", F.col("n").alias("na")).join(classes.select("x", F.col("bits").alias("sa")), "x")
+    for few in ("few", "not few"):
+        crowd = members.filter(few).join(labels.toDF("y", "cy"), "y", "left").select("h", "y", "nb", "sb", F.coalesce("cy", "y").alias("cy"))
+        asking = asks.join(labels.toDF("x", "cx"), "x", "left").withColumn("cx", F.coalesce("cx", "x"))
+        opened = written(asking, "asking").join(written(crowd, "crowd"), "h").filter((F.col("cx") != F.col("cy")) & resembling(percent))
+        more = written(opened.select(*ordered("x", "y")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            labels = connected(more, class_sets(rows, classes, more, size), percent, labels)
 
     placed = classes.join(labels.toDF("x", "c"), "x", "left").select("x", "low", F.coalesce("c", "x").alias("c"))
     lowest = placed.groupBy("c").agg(F.min("low").alias("component_id"))

@@ -171,6 +171,28 @@ def test_jaccard_brute(spark, over):
     assert got == jaccard_brute(values)
 
 
+def test_jaccard_orders_what_a_crowd_shares_last(spark):
+    passage = " ".join(f"said{i}" for i in range(204))
+    rows = texts(spark, [(i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(50))) for i in range(40)]).withColumnRenamed("doc_id", "id")
+    # All 200 shingles of the passage, wherever their hashes stand in the sets.
+    assert len(jaccard_join.frequent_shingles(rows.coalesce(1), 5, 0.25, 32, 1000)) == 200
+
+
+def test_jaccard_crowd_around_the_threshold(spark):
+    rnd = random.Random(8)
+    base, values = [f"w{i}" for i in range(70)], []
+    for i in range(90):
+        w = base[: rnd.choice([60, 66, 70])]
+        for at in rnd.sample(range(len(w)), rnd.choice([0, 1, 1, 2, 3, 4])):
+            w[at] = f"new{i}x{at}"
+        values.append((i, " ".join(w)))
+    want = jaccard_brute(values)
+    assert 1 < len({c for _, _, c in want}) < 90
+    for over in (32, 2):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(texts(spark, values), over=over).collect()), key=repr)
+        assert got == want
+
+
 def test_jaccard_keeps_one_of_each(spark):
     values = near_texts(6, 30) + [(900, None), (901, ""), (903, "One Two"), (904, "one two"), (950, "same"), (950, "same")]
     docs = texts(spark, values).withColumn("lang", F.lit("x"))
