@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions.text import extract_numbers
 from attestry.operators.ordering import exact_quantiles, once, running, shifted
@@ -118,17 +119,24 @@ def common_support(panel: DataFrame, key: Sequence[str], agent: str, clean: Colu
 def effect_retention(df: DataFrame, keys: Sequence[str], condition: str, base: str, compressed: str, upper: str, value: Column) -> DataFrame:
     """Compliance per condition and the retained share of the effect.
 
-    Means and differences come from sums and counts, so a decimal ``value`` gives the same result in any order of rows and
-    an effect of nothing is exactly zero.
+    Doubles are added in the order of the input, shares of it in theirs, so a run gives what the one before gave. A decimal
+    ``value`` gives the same result in any order of rows, and an effect of nothing is exactly zero.
     """
     sides = {"base": base, "compressed": compressed, "upper": upper}
-    of = {n: F.when(F.col(condition) == c, value) for n, c in sides.items()}
-    g = df.groupBy(*keys).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in of.items()], *[F.count(v).alias(f"_n_{n}") for n, v in of.items()])
+    exact = isinstance(df.select(value).schema[0].dataType, T.DecimalType)
+    of = {n: F.when(F.col(condition) == c, value if exact else value.cast("double")) for n, c in sides.items()}
+    shares = df.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in of.items()], *[F.count(v).alias(f"_n_{n}") for n, v in of.items()])
+    in_order = lambda c: F.aggregate(F.sort_array(F.collect_list(F.struct("_part", c))), F.lit(0.0), lambda a, x: a + F.coalesce(x[c], F.lit(0.0)))
+    total = F.sum if exact else in_order
+    g = shares.groupBy(*keys).agg(*[total(f"_s_{n}").alias(f"_s_{n}") for n in sides], *[F.sum(f"_n_{n}").alias(f"_n_{n}") for n in sides])
     s, n = (lambda side: F.col(f"_s_{side}")), (lambda side: F.col(f"_n_{side}"))
-    above = lambda side: (s(side) * n("base") - s("base") * n(side)).cast("double")
-    whole = F.nullif(n("compressed") * above("upper"), F.lit(0.0))
-    means = [(s(side).cast("double") / F.nullif(n(side), F.lit(0))).alias(side) for side in sides]
-    return g.select(*keys, *means, (n("upper") * above("compressed") / whole).alias("retention"))
+    means = g.select("*", *[(s(side).cast("double") / F.nullif(n(side), F.lit(0))).alias(side) for side in sides])
+    if exact:
+        above = lambda side: (s(side) * n("base") - s("base") * n(side)).cast("double")
+        kept = n("upper") * above("compressed") / F.nullif(n("compressed") * above("upper"), F.lit(0.0))
+    else:
+        kept = (F.col("compressed") - F.col("base")) / F.nullif(F.col("upper") - F.col("base"), F.lit(0.0))
+    return means.select(*keys, *sides, kept.alias("retention"))
 
 
 def rate_decomposition(tasks: DataFrame, family: str, treated: Column, in_context: Column, success: Column) -> DataFrame:
