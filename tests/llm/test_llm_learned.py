@@ -286,6 +286,18 @@ def test_pieces_round_trip_and_edges(spark):
     assert [r.text for r in pieces.decode(odd, PIECE_MODEL).collect()] == ["", None, None, None, None]
 
 
+@needs_model
+def test_pieces_query_reads_every_segmentation(spark, tmp_path):
+    from attestry.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "Hello wörld, again"), (2, "🦄 on the\nroad"), (3, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = pieces.encode(docs, PIECE_MODEL, all_ids=True)
+    want = {r.doc_id: (r.margin, r.a, r.b) for r in found.select("doc_id", (F.get("scores", F.lit(0)) - F.get("scores", F.lit(1))).alias("margin"), F.xxhash64("ids").alias("a"), F.xxhash64(F.get("n_best", F.lit(1))).alias("b")).collect()}
+    assert want[1][1] != want[1][2] and want[2][1] != want[2][2]
+    assert {r.doc_id: (r.margin, r.ids_hash, r.second_hash) for r in QUERIES["op8_sentencepiece"](spark, str(tmp_path)).collect()} == want
+
+
 # --- the pipeline
 
 
