@@ -334,3 +334,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {1, 500} & {r.doc_id for r in seen["n-gram Jaccard join"].collect()} == {1} and 501 not in {r.doc_id for r in seen["n-gram Jaccard join"].collect()}
     assert seen["pieces"].filter("decoded = false").count() == 0 and seen["pieces"].count() == seen["mixing"].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["pieces"].count()
+
+
+@needs_model
+def test_last_stage_returns_every_segmentation(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "Hello wörld, again"), (2, ""), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in corpus_pipeline.in_pieces(spark, docs, str(tmp_path)).collect()}
+    assert out[3].n_best is None and all(len(out[i].n_best) == len(out[i].scores) and out[i].n_best[0] == out[i].ids for i in (1, 2))
+    assert len(out[1].n_best) == 2 and out[1].n_best[0] != out[1].n_best[1]
