@@ -282,7 +282,7 @@ def style_auc(texts: DataFrame, text: str, label: str, problem: str, folds: int
     pieces = lambda n: F.coalesce(F.transform(starts(n), lambda i: F.concat(*[F.get("c", i + j) for j in range(n)])), F.array().cast("array<string>"))
     d = d.select("label", "fold", F.concat(*[pieces(n) for n in (3, 4, 5)]).alias("g"))
     hashed = HashingTF(inputCol="g", outputCol="tf", numFeatures=features).transform(d)
-    ready = written(Normalizer(inputCol="tf", outputCol="features", p=2.0).transform(hashed).select("label", "fold", "features"), "style")
+    ready = written(Normalizer(inputCol="tf", outputCol="features", p=2.0).transform(hashed).select("label", "fold", "features"), "style", block=1 << 20)
     score = BinaryClassificationEvaluator(metricName="areaUnderROC")
     out = []
     for fold in range(folds):

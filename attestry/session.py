@@ -49,8 +49,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back: every later branch sees the same rows at no second cost."""
+def written(df: DataFrame, purpose: str, block: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: every later branch sees the same rows at no second cost.
+
+    Readers hold up to 4,096 rows of a row group at once; for rows of long arrays, ``block`` bytes make the groups smaller.
+    """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.size": str(block)} if block else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
