@@ -165,6 +165,16 @@ def diverse_select(items: DataFrame, key: str, text: str, fitness: Column, k: in
     return items.sparkSession.createDataFrame(chosen, schema)
 
 
+def _lots(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in lots of at most ``words`` words; a text of more is a lot of its own."""
+    for batch in batches:
+        ends, start, done = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False)), 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, done + words, "right")))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(ends[stop - 1])
+
+
 def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per length up to ``most``: length, starts of the word runs that stay inside their text, and a 64-bit hash of each."""
     w = batch.column("w")
@@ -204,17 +214,18 @@ def _passes(flags: np.ndarray, h: np.ndarray, log_bits: int = LOG_BITS) -> np.nd
     return ok
 
 
-def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = LOG_BITS) -> DataFrame:
+def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = LOG_BITS, lot: int = 1 << 20) -> DataFrame:
     """``(group, gram, y, b)`` with every gram of 1 to ``most`` words that occurs ``least`` times or more; rarer ones may be among them.
 
     ``marked(group, _bg, w)``. Rare grams are nearly all of the distinct ones, so they travel as counted hashes only: a
     hash seen too rarely belongs to rare grams alone. The frequent hashes set the bits of a filter of a fixed size (16 MB),
-    and only grams that pass it are counted as texts. A full filter lets more rare grams through and loses none.
+    and only grams that pass it are counted as texts. A full filter lets more rare grams through and loses none. A task
+    holds the grams of ``lot`` words at once, however long the texts of a batch are.
     """
     kind = marked.schema[group].dataType
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lots(batches, lot):
             for _, _, h in _runs(batch, most):
                 values, n = np.unique(h, return_counts=True)
                 yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -224,7 +235,7 @@ def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bit
     flags = hash_filter(often, "h", log_bits)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lots(batches, lot):
             w, groups = batch.column("w"), batch.column(group)
             flat = w.flatten()
             texts = np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False))
