@@ -237,13 +237,21 @@ def decompose(items: DataFrame, constraints: DataFrame, topic: str, item: str, l
     chunk = F.floor((F.col("_cum") - F.col(length)) / F.greatest(F.lit(1), budget - longest))
     placed = cum.select(topic, chunk.alias("chunk"), item)
     placed = written(placed, "placed")
-    # A topic's copies are made by as many tasks as there are spans, whatever share of the rows the topic holds.
-    shares = span_count(placed, parts)
-    present = placed.select(topic, "chunk").distinct().withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    present = written(placed.select(topic, "chunk").distinct(), "present")
     # A constraint lies in one chunk of a topic at most, so that chunk is looked up before its copies are made.
     own = placed.select(topic, item, F.col("chunk").alias("_own"))
-    wanted = constraints.select(F.col("scope").alias(topic), item).distinct().join(own, [topic, item], "left").withColumn("_share", F.pmod(F.xxhash64(item), F.lit(shares)).cast("int"))
-    copies = wanted.join(present, [topic, "_share"]).filter(F.col("_own").isNull() | (F.col("_own") != F.col("chunk")))
+    wanted = written(constraints.select(F.col("scope").alias(topic), item).distinct().join(own.hint("merge"), [topic, item], "left"), "wanted")
+    # A topic's copies are made by as many tasks as there are spans, whatever share of the rows the topic holds: one side is
+    # dealt over them, the one of fewer rows goes to all. Files and plans show far less than that comes to, so neither side
+    # may be sent through the driver.
+    shares = span_count(placed, parts)
+    dealt = lambda d, name: d.withColumn("_share", F.pmod(F.xxhash64(name), F.lit(shares)).cast("int"))
+    everywhere = lambda d: d.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    if wanted.count() < present.count():
+        present, wanted = dealt(present, "chunk"), everywhere(wanted)
+    else:
+        present, wanted = everywhere(present), dealt(wanted, item)
+    copies = present.join(wanted.hint("merge"), [topic, "_share"]).filter(F.col("_own").isNull() | (F.col("_own") != F.col("chunk")))
     return placed.withColumn("replicated", F.lit(False)).unionByName(copies.select(topic, "chunk", item).withColumn("replicated", F.lit(True)))
 
 
