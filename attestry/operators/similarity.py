@@ -351,29 +351,29 @@ def stitch(items: DataFrame, key: str, vector: str, length: str, target: int, k:
         fresh, wishes = seeds.select(F.col("id").alias("chain"), "id"), None
         while graph is not None:
             open_ = chains.filter((F.col("total") < target) & F.col("sum").isNotNull())
-            near = fresh.join(graph, "id").select("chain", F.col("neighbour").alias("id"))
-            near = unused(near, "id").join(good, "id").select("chain", "id", "len", "z")
+            # Wishes are kept without their vectors, which would make up nearly all that the rounds write.
+            near = unused(fresh.join(graph, "id").select("chain", F.col("neighbour").alias("id")), "id")
             wishes = near if wishes is None else unused(wishes, "id").unionByName(near)
             wishes = written(wishes.join(open_.select("chain"), "chain", "left_semi").dropDuplicates(["chain", "id"]), "wishes")
             score = F.round(dot(F.col("sum"), F.col("z")) / norm(F.col("sum")), 9)
-            best = wishes.join(open_.select("chain", "sum"), "chain").groupBy("chain").agg(F.max_by(F.struct("id", "len", "z"), F.struct(score, -F.col("id"))).alias("b")).select("chain", "b.*")
+            best = wishes.join(good, "id").join(open_.select("chain", "sum"), "chain").groupBy("chain").agg(F.max_by(F.struct("id", "len", "z"), F.struct(score, -F.col("id"))).alias("b")).select("chain", "b.*")
             won = best.groupBy("id").agg(F.min("chain").alias("chain"))
             picks = best.join(won, ["id", "chain"], "left_semi")
             asked = open_.join(best.select("chain", F.lit(True).alias("_asked")), "chain", "left").join(picks.withColumnRenamed("id", "_pick"), "chain", "left")
-            turn = written(asked.select("chain", "place", "total", "sum", "_pick", "len", "z", F.coalesce("_asked", F.lit(False)).alias("asked")), "turn")
+            grown = F.when(F.col("_pick").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "z", lambda a, b: a + b))
+            turn = written(asked.select("chain", "place", "total", grown.alias("sum"), "_pick", "len", F.coalesce("_asked", F.lit(False)).alias("asked")), "turn")
             told = turn.agg(F.count(F.lit(1)).alias("open"), F.count_if(~F.col("asked")).alias("empty"), F.count("_pick").alias("picked")).head()
             taken = turn.filter("_pick is not null").select("chain", (F.col("place") + 1).alias("place"), F.col("_pick").alias("id"), "len", "total")
             if told.picked:
                 taken.select("chain", "place", "id", cut(F.col("total")).alias("used")).write.mode("append").parquet(out)
             fresh = taken.select("chain", "id")
-            grown = F.when(F.col("_pick").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "z", lambda a, b: a + b))
-            chains = turn.select("chain", (F.col("place") + F.col("_pick").isNotNull().cast("int")).alias("place"), (F.col("total") + F.coalesce("len", F.lit(0))).alias("total"), grown.alias("sum"))
+            chains = turn.select("chain", (F.col("place") + F.col("_pick").isNotNull().cast("int")).alias("place"), (F.col("total") + F.coalesce("len", F.lit(0))).alias("total"), "sum")
             if told.empty:
                 pool = written(unused(good, "id"), "pool")
                 asking = written(turn.filter("not asked").select(F.col("chain").alias("id"), F.col("sum").alias("z")), "asking")
                 if not pool.isEmpty():
                     more = neighbour_join(pool.select("id", "z"), "id", "z", k, asking).select(F.col("id").alias("chain"), F.col("neighbour").alias("id"))
-                    wishes = wishes.unionByName(more.join(good, "id").select("chain", "id", "len", "z"))
+                    wishes = wishes.unionByName(more)
                 elif not told.picked:
                     break
             if not told.open:
