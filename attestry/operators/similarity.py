@@ -214,7 +214,7 @@ def _passes(flags: np.ndarray, h: np.ndarray, log_bits: int = LOG_BITS) -> np.nd
     return ok
 
 
-def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = LOG_BITS, lot: int = 1 << 20) -> DataFrame:
+def frequent_grams(marked: DataFrame, group: str, most: int, least: int, log_bits: int = LOG_BITS, lot: int = 1 << 19) -> DataFrame:
     """``(group, gram, y, b)`` with every gram of 1 to ``most`` words that occurs ``least`` times or more; rarer ones may be among them.
 
     ``marked(group, _bg, w)``. Rare grams are nearly all of the distinct ones, so they travel as counted hashes only: a
